@@ -7,6 +7,9 @@ through to the sink, and the same code runs on a stream.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +130,18 @@ def with_line_items(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def computed_once(df: DataFrame, **counts: Column) -> DataFrame:
+    """Keep later filters and explodes from repeating the extraction.
+
+    Catalyst moves a filter on an extracted column below the extraction by copying
+    its whole expression, so every pattern behind it would run again. It does not
+    move filters past observed metrics; these are also the counters of the run.
+    """
+    observed = [F.count(F.lit(1)).alias("documents")]
+    observed += [c.alias(name) for name, c in counts.items()]
+    return df.observe(f"extraction-{uuid.uuid4().hex}", *observed)
+
+
 def error_class(text: Column, items: Column) -> Column:
     """Why a document cannot become a record; null when it can."""
     overflow = F.exists(items, lambda i: i["quantity"].isNull())
@@ -151,7 +166,8 @@ def structure_records(df: DataFrame, text: str = "text") -> DataFrame:
             "error_class": error_class(F.col(text), items),
         }
     )
-    return _drop_steps(out).withColumnRenamed(text, "raw_text")
+    out = _drop_steps(out).withColumnRenamed(text, "raw_text")
+    return computed_once(out, failed=F.count("error_class"))
 
 
 def split_quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +179,7 @@ def split_quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def explode_amounts(df: DataFrame) -> DataFrame:
     """One row per amount; documents without amounts keep one row of nulls."""
-    return df.select("*", F.posexplode_outer("amounts").alias("pos", "amount")).drop(
+    return computed_once(df).select("*", F.posexplode_outer("amounts").alias("pos", "amount")).drop(
         "amounts"
     )
 
@@ -175,12 +191,12 @@ def explode_line_items(records: DataFrame, *keep: str) -> DataFrame:
         *keep,
         "pos",
         "item.*",
-        F.coalesce("item.description", F.lit(quality.MISSING)).alias("Description"),
+        F.coalesce("item.description", F.lit(quality.MISSING)).alias("show_description"),
         F.coalesce(F.col("item.quantity").cast("string"), F.lit(quality.MISSING)).alias(
-            "Qty"
+            "show_qty"
         ),
-        quality.display_money(F.col("item.unit_price"), "$0.00").alias("Unit Price"),
-        quality.display_money(F.col("item.total"), "$0.00").alias("Total"),
+        quality.display_money(F.col("item.unit_price"), "$0.00").alias("show_unit_price"),
+        quality.display_money(F.col("item.total"), "$0.00").alias("show_total"),
     )
 
 
@@ -219,20 +235,38 @@ def check_method(method: str) -> str:
 
 
 def dispatch(
-    documents: DataFrame, rule_records: DataFrame, model_records: DataFrame, key: list[str]
+    documents: DataFrame, model: Callable[[DataFrame], DataFrame], text: str = "text"
 ) -> DataFrame:
     """Records of each document by the method its ``method`` column names.
 
-    Documents naming any other method come back with ``error_class`` set to
-    ``unknown_method``; none is dropped.
+    The rules run on their documents only and ``model`` on its own; documents
+    naming any other method come back with ``unknown_method``. No join is needed.
     """
-    wanted = documents.select(*key, "method")
-    chosen = rule_records.unionByName(model_records, allowMissingColumns=True)
-    out = wanted.join(chosen, [*key, "method"], "left")
-    unknown = ~F.col("method").isin(*METHODS)
-    return out.withColumn(
-        "error_class",
-        F.when(F.col("method").isNull() | unknown, F.lit("unknown_method")).otherwise(
-            F.col("error_class")
-        ),
+    method = F.coalesce("method", F.lit(""))
+    by_rules = structure_records(documents.filter(method == RULES), text)
+    by_model = model(documents.filter(method == MODEL))
+    unknown = (
+        documents.filter(~method.isin(*METHODS))
+        .withColumnRenamed(text, "raw_text")
+        .withColumn("error_class", F.lit("unknown_method"))
+    )
+    return by_rules.unionByName(by_model, allowMissingColumns=True).unionByName(
+        unknown, allowMissingColumns=True
+    )
+
+
+def section_lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """Lines of the item section with the numbers, quantity and text read from each."""
+    lines = F.split("item_section", "\n")
+    rows = computed_once(with_item_section(df, text)).select(
+        *keep, F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line_no", "line")
+    )
+    line = F.col("line")
+    return rows.withColumn("_digits", fields.leading_digits(line)).select(
+        *keep,
+        "line_no",
+        "line",
+        fields.line_numbers(line).alias("numbers"),
+        fields.quantity(F.col("_digits")).alias("quantity"),
+        fields.description(line).alias("description"),
     )

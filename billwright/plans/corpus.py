@@ -268,7 +268,9 @@ def ocr_variants(documents: DataFrame) -> DataFrame:
         text,
         F.replace(text, F.lit(","), F.lit("")),
         F.when(doc % 3 == 0, F.concat(text, F.lit(" ~"))).otherwise(text),
-        F.when(doc % 4 == 1, F.concat(text, F.lit(" ."))).otherwise(F.upper(text)),
+        F.when(doc % 4 == 1, F.concat(text, F.lit(" ."))).otherwise(
+            F.replace(text, F.lit("e"), F.lit("E"))
+        ),
         F.when(doc % 5 == 2, F.concat(text, F.lit("---"))).otherwise(text),
         F.replace(text, F.lit(" "), F.lit("")),
     )
