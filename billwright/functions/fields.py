@@ -23,7 +23,6 @@ from billwright.functions.text import (
     WORD,
     WS,
     any_of,
-    ascii_digits,
     contains_any,
     first_non_empty,
     line_at,
@@ -116,22 +115,6 @@ def first_date(runs: Column) -> Column:
     return first_non_empty(*[F.regexp_extract(runs, p, 0) for p in DATE_PATTERNS])
 
 
-def parsed_date(date: Column) -> Column:
-    """Calendar date of an extracted string (day first), null when there is none."""
-    shapes = (
-        (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-        (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-        (r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"),
-    )
-    slashed = F.translate(ascii_digits(date), "-", "/")
-    return F.coalesce(
-        *[
-            F.when(slashed.rlike(shape), F.try_to_date(slashed, fmt))
-            for shape, fmt in shapes
-        ]
-    )
-
-
 # ---- Amounts and totals ----------------------------------------------------------
 def amounts(plain: Column) -> Column:
     """Every readable two-decimal amount in order of appearance."""

@@ -16,9 +16,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Inputs estimated below this many bytes per core are spread over all cores
-# before the extraction work; larger inputs keep the partitions of their scan.
+# Small inputs (below both limits) are spread over all cores before the extraction
+# work, at the cost of one cheap shuffle; larger ones keep the partitions of their scan.
 SPREAD_BELOW_BYTES_PER_CORE = 64 << 20
+SPREAD_BELOW_BYTES = 4 << 30
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -49,6 +50,6 @@ def spread_small(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_BELOW_BYTES_PER_CORE * cores:
+    if size < min(SPREAD_BELOW_BYTES_PER_CORE * cores, SPREAD_BELOW_BYTES):
         return df.repartition(cores)
     return df
