@@ -237,28 +237,23 @@ def token_predictions(kept_words: DataFrame) -> DataFrame:
     """
     word = F.col("word_idx")
     label = _word_label(F.col("doc_id"), word)
-    parts = F.when(
-        word % 2 == 0,
+    padded = F.when(word % 41 == 40, -100).otherwise(label)
+
+    def token(token_idx: Column, word_idx: Column, label_id: Column) -> Column:
+        return F.struct(
+            token_idx.cast("bigint").alias("token_idx"),
+            word_idx.cast("bigint").alias("word_idx"),
+            label_id.cast("int").alias("label_id"),
+        )
+
+    tokens = F.array_compact(
         F.array(
-            F.struct(F.lit(0).alias("sub"), label.alias("label_id")),
-            F.struct(F.lit(1).alias("sub"), ((label + 1) % 9).alias("label_id")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("sub"), label.alias("label_id"))))
-    per_word = kept_words.select("doc_id", "word_idx", F.explode(parts).alias("part")).select(
-        "doc_id",
-        (2 * word + 1 + F.col("part.sub")).alias("token_idx"),
-        "word_idx",
-        F.when((word % 41 == 40) & (F.col("part.sub") == 0), -100)
-        .otherwise(F.col("part.label_id"))
-        .alias("label_id"),
-    )
-    special = kept_words.filter(word == 0).select(
-        "doc_id",
-        F.lit(0).cast("bigint").alias("token_idx"),
-        F.lit(None).cast("bigint").alias("word_idx"),
-        F.lit(0).alias("label_id"),
+            F.when(word == 0, token(F.lit(0), F.lit(None), F.lit(0))),
+            token(2 * word + 1, word, padded),
+            F.when(word % 2 == 0, token(2 * word + 2, word, (label + 1) % 9)),
+        )
     )
-    return special.unionByName(per_word)
+    return kept_words.select("doc_id", F.explode(tokens).alias("t")).select("doc_id", "t.*")
 
 
 def ocr_variants(documents: DataFrame) -> DataFrame:

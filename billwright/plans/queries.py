@@ -14,7 +14,7 @@ from billwright.functions import entities as ent
 from billwright.functions import quality
 from billwright.operators import entities, records, reports, words
 from billwright.plans import corpus as src
-from billwright.session import shared_folder, spread_small
+from billwright.session import shared_folder, spread_small, stored
 from billwright.sources import images, sinks, tables
 from billwright.streaming import ingest
 
@@ -59,18 +59,17 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.token_predictions(_kept_words(spark, sf_dir))
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.word_labels(_tokens(spark, sf_dir), src.LABELS)
+def _labels_of(kept: DataFrame) -> DataFrame:
+    return entities.word_labels(src.token_predictions(kept), src.LABELS)
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.merge_entities(_labels(spark, sf_dir), _boxed_words(spark, sf_dir))
+def _entities_of(kept: DataFrame) -> DataFrame:
+    return entities.merge_entities(_labels_of(kept), words.word_boxes(kept))
 
 
 def _model_records(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
-    return entities.entities_to_record(
-        documents, _entities(spark, sf_dir), _kept_words(spark, sf_dir)
-    )
+    kept = stored(_kept_words(spark, sf_dir), "kept-words")
+    return entities.entities_to_record(documents, _entities_of(kept), kept)
 
 
 # ---- Scans and sinks ---------------------------------------------------------------
@@ -364,7 +363,9 @@ def words_lost(spark, sf_dir):
 
 @query
 def word_labels(spark, sf_dir):
-    return _labels(spark, sf_dir).select("doc_id", "word_idx", "label_id", "label")
+    return _labels_of(_kept_words(spark, sf_dir)).select(
+        "doc_id", "word_idx", "label_id", "label"
+    )
 
 
 @query
@@ -375,7 +376,8 @@ def logits_to_label(spark, sf_dir):
 
 @query
 def merge_entities(spark, sf_dir):
-    return _entities(spark, sf_dir).select(
+    kept = stored(_kept_words(spark, sf_dir), "kept-words")
+    return _entities_of(kept).select(
         "doc_id",
         "entity_type",
         "text",
@@ -389,7 +391,8 @@ def merge_entities(spark, sf_dir):
 
 @query
 def parse_entity_total(spark, sf_dir):
-    return _entities(spark, sf_dir).select(
+    kept = stored(_kept_words(spark, sf_dir), "kept-words")
+    return _entities_of(kept).select(
         "doc_id", "entity_type", ent.entity_total(F.col("text")).alias("amount")
     )
 
@@ -506,9 +509,12 @@ def incremental_ingest(spark, sf_dir):
         "o_totalprice",
         "o_orderpriority",
     )
-    docs = src.invoices(orders).select("doc_id", "text")
+
+    def extract(batch: DataFrame) -> DataFrame:
+        return records.structure_records(src.invoices(batch).select("doc_id", "text"))
+
     output, checkpoint = shared_folder(spark, "ingest"), shared_folder(spark, "ingest-state")
-    ingest.incremental_ingest(docs, output, checkpoint).awaitTermination()
+    ingest.incremental_ingest(orders, output, checkpoint, extract).awaitTermination()
     return spark.read.parquet(output).select(
         "doc_id",
         "receipt_number",

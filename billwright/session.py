@@ -20,6 +20,8 @@ SETTINGS = {
 # work, at the cost of one cheap shuffle; larger ones keep the partitions of their scan.
 SPREAD_BELOW_BYTES_PER_CORE = 64 << 20
 SPREAD_BELOW_BYTES = 4 << 30
+# Texts differ in length, so each core gets several tasks.
+TASKS_PER_CORE = 2
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -45,11 +47,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    Without it each of them would run the whole lineage again. The table lies in
+    the shared folder, so it also survives the loss of executors.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for an input of few, small partitions; leave big ones alone."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < min(SPREAD_BELOW_BYTES_PER_CORE * cores, SPREAD_BELOW_BYTES):
-        return df.repartition(cores)
+        return df.repartition(TASKS_PER_CORE * cores)
     return df

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billwright.operators.records import structure_records
 from billwright.operators.reports import processed_per_day
+from billwright.session import spread_small
 
 
 def stream_table(
@@ -28,24 +29,34 @@ def drop_repeats(docs: DataFrame, key: list[str], ts: str, within: str) -> DataF
     return docs.withWatermark(ts, within).dropDuplicatesWithinWatermark(key)
 
 
-def _write_batches(output: str) -> Callable[[DataFrame, int], None]:
+def _write_batches(
+    output: str, prepare: Callable[[DataFrame], DataFrame] | None = None
+) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         # One folder per micro-batch, replaced as a whole when a batch is retried.
-        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        rows = prepare(batch) if prepare else batch
+        rows.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return write
 
 
 def incremental_ingest(
-    docs: DataFrame, output: str, checkpoint: str, text: str = "text"
+    docs: DataFrame,
+    output: str,
+    checkpoint: str,
+    extract: Callable[[DataFrame], DataFrame] = structure_records,
 ) -> StreamingQuery:
     """Extract records from a stream of texts into a table, without any state.
 
+    A micro-batch of few files is spread over all cores like a small batch input.
     Failed documents are written too, with their ``error_class``.
     """
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return extract(spread_small(batch))
+
     return (
-        structure_records(docs, text)
-        .writeStream.foreachBatch(_write_batches(output))
+        docs.writeStream.foreachBatch(_write_batches(output, prepare))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
