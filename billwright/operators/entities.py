@@ -118,10 +118,27 @@ def merge_entities(labels: DataFrame, boxed_words: DataFrame) -> DataFrame:
     )
 
 
+def page_errors(labels: DataFrame, normalized_boxes: DataFrame) -> DataFrame:
+    """Pages the model path fails on: unknown labels, or no usable page size."""
+    parts = [
+        df.filter(F.col("error_class").isNotNull()).select("doc_id", "error_class")
+        for df in (labels, normalized_boxes)
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(
+        F.min("error_class").alias("error_class")
+    )
+
+
 def entities_to_record(
-    documents: DataFrame, entities: DataFrame, kept_words: DataFrame
+    documents: DataFrame,
+    entities: DataFrame,
+    kept_words: DataFrame,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
-    """One model record per document, also for documents without any entity."""
+    """One model record per document, also for documents without any entity.
+
+    ``errors`` (see :func:`page_errors`) gives failed documents their reason.
+    """
     value = F.struct("text", "bbox")
     wide = entities.groupBy("doc_id").agg(
         *[
@@ -135,6 +152,10 @@ def entities_to_record(
     )
     pages = page_text(kept_words, with_words=True)
     out = documents.join(pages, "doc_id", "left").join(wide, "doc_id", "left")
+    if errors is None:
+        out = out.withColumn("error_class", F.lit(None).cast("string"))
+    else:
+        out = out.join(errors, "doc_id", "left")
     null = F.lit(None)
     return out.select(
         *documents.columns,
@@ -156,7 +177,7 @@ def entities_to_record(
         ).alias("raw_predictions"),
         null.cast("int").alias("extraction_confidence"),
         null.cast("boolean").alias("validation_passed"),
-        null.cast("string").alias("error_class"),
+        "error_class",
     )
 
 

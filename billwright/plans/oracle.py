@@ -264,7 +264,8 @@ SELECT d.doc_id, 'ml' AS method,
   max(e.text) FILTER (WHERE entity_type = 'ADDRESS') AS address,
   max(e.text) FILTER (WHERE entity_type = 'DATE') AS date,
   try_cast(regexp_replace(max(e.text) FILTER (WHERE entity_type = 'TOTAL'), '[^\d.]', '', 'g') AS double) AS total_amount,
-  count(e.entity_type) AS n_entities
+  count(e.entity_type) AS n_entities,
+  CASE WHEN d.doc_id % 50 = 7 AND d.doc_id IN (SELECT doc_id FROM kept) THEN 'zero_page_size' END AS error_class
 FROM documents d LEFT JOIN entities e ON d.doc_id = e.doc_id GROUP BY d.doc_id"""
 
 CTES["variants"] = """
@@ -473,7 +474,7 @@ oracle(
     "entities_to_record",
     """
 SELECT m.doc_id, method, vendor, address, date, total_amount, md5(coalesce(raw_text, '')) AS raw_text_md5,
-  coalesce(n_words, 0) AS n_words, n_entities, cast(NULL AS int) AS extraction_confidence
+  coalesce(n_words, 0) AS n_words, n_entities, cast(NULL AS int) AS extraction_confidence, error_class
 FROM model_records m LEFT JOIN pages_text p USING (doc_id)""",
 )
 oracle(
@@ -482,7 +483,7 @@ oracle(
 SELECT corpus, doc_id, 'auto' AS method, NULL AS date, NULL AS total_amount, NULL AS vendor,
   NULL AS receipt_number, 'unknown_method' AS error_class FROM corpus_text WHERE doc_id % 101 = 100
 UNION ALL
-SELECT 'documents', doc_id, 'ml', date, total_amount, vendor, NULL, NULL FROM model_records WHERE doc_id % 101 <> 100
+SELECT 'documents', doc_id, 'ml', date, total_amount, vendor, NULL, error_class FROM model_records WHERE doc_id % 101 <> 100
 UNION ALL
 SELECT t.corpus, t.doc_id, 'rules', date, total_amount, NULL, receipt_number,
   CASE WHEN t.text IS NULL THEN 'null_text' END
@@ -501,9 +502,14 @@ FROM model_records m JOIN records r ON r.corpus = 'documents' AND r.doc_id = m.d
 oracle(
     "batch_summary",
     """
-SELECT 'rules' AS method, CASE WHEN text IS NULL THEN 'failed' ELSE 'ok' END AS status,
-  CASE WHEN text IS NULL THEN 'null_text' END AS error_class, count(*) AS documents
-FROM corpus_text GROUP BY ALL""",
+SELECT method, CASE WHEN error_class IS NULL THEN 'ok' ELSE 'failed' END AS status, error_class, count(*) AS documents
+FROM (
+  SELECT CASE WHEN doc_id % 101 = 100 THEN 'auto' WHEN corpus = 'documents' THEN 'ml' ELSE 'rules' END AS method,
+    CASE WHEN doc_id % 101 = 100 THEN 'unknown_method' WHEN corpus = 'invoices' AND text IS NULL THEN 'null_text'
+         ELSE m.error_class END AS error_class
+  FROM corpus_text t LEFT JOIN (SELECT 'documents' AS corpus, doc_id, error_class FROM model_records) m
+    USING (corpus, doc_id))
+GROUP BY ALL""",
 )
 oracle(
     "unprocessed_docs",

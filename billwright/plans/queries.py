@@ -69,7 +69,12 @@ def _entities_of(kept: DataFrame) -> DataFrame:
 
 def _model_records(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     kept = stored(_kept_words(spark, sf_dir), "kept-words")
-    return entities.entities_to_record(documents, _entities_of(kept), kept)
+    labels = stored(_labels_of(kept), "word-labels")
+    boxed = words.word_boxes(kept)
+    sizes = src.page_sizes(_documents(spark, sf_dir))
+    errors = entities.page_errors(labels, words.normalize_boxes(boxed, sizes))
+    merged = entities.merge_entities(labels, boxed)
+    return entities.entities_to_record(documents, merged, kept, errors)
 
 
 # ---- Scans and sinks ---------------------------------------------------------------
@@ -411,11 +416,12 @@ def entities_to_record(spark, sf_dir):
         F.size("raw_ocr_words").alias("n_words"),
         F.size("raw_predictions").alias("n_entities"),
         "extraction_confidence",
+        "error_class",
     )
 
 
-@query
-def dispatch_method(spark, sf_dir):
+def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices by the rules, documents by the model, a few naming neither."""
     method = (
         F.when(F.col("doc_id") % 101 == 100, "auto")
         .when(F.col("corpus") == src.DOCUMENTS, records.MODEL)
@@ -426,7 +432,12 @@ def dispatch_method(spark, sf_dir):
     def model(chosen: DataFrame) -> DataFrame:
         return _model_records(spark, sf_dir, chosen.select(*KEY))
 
-    return records.dispatch(docs, model).select(
+    return records.dispatch(docs, model)
+
+
+@query
+def dispatch_method(spark, sf_dir):
+    return _dispatched(spark, sf_dir).select(
         *KEY, "method", "date", "total_amount", "vendor", "receipt_number", "error_class"
     )
 
@@ -449,8 +460,7 @@ def complete_from_rules(spark, sf_dir):
 # ---- Reports -----------------------------------------------------------------------------
 @query
 def batch_summary(spark, sf_dir):
-    by_rules = records.structure_records(src.corpus(spark, sf_dir))
-    return reports.batch_summary(by_rules)
+    return reports.batch_summary(_dispatched(spark, sf_dir))
 
 
 @query

@@ -60,6 +60,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for an input of few, small partitions; leave big ones alone."""
+    if not hasattr(df, "_jdf"):  # remote sessions do not show the size estimate
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

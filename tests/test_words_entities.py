@@ -87,6 +87,19 @@ def test_word_label_is_that_of_first_labelled_token(spark):
     assert (lost.words, lost.words_lost) == (6, 1)
 
 
+def test_failed_pages_keep_their_reason(spark):
+    words = words_df(spark, [(d, 0, "a", 99.0, 0, 0, 1, 1) for d in (1, 2, 3)])
+    sizes = spark.createDataFrame([(1, 9, 9), (2, 0, 9), (3, 9, 9)], "doc_id long, width int, height int")
+    tokens = spark.createDataFrame([(1, 1, 0, 1), (2, 1, 0, 1), (3, 1, 0, 9)], TOKEN_SCHEMA)
+    kept, labels = W.filter_confident_words(words), E.word_labels(tokens, NAMES)
+    boxed = W.word_boxes(kept)
+    errors = E.page_errors(labels, W.normalize_boxes(boxed, sizes))
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    out = E.entities_to_record(docs, E.merge_entities(labels, boxed), kept, errors)
+    got = {r.doc_id: r.error_class for r in out.collect()}
+    assert got == {1: None, 2: "zero_page_size", 3: "unknown_label"}
+
+
 def sequential(labels):
     """One pass over the words of a page, keeping one entity per type."""
     kept, previous = {}, None
