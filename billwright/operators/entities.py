@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from billwright.functions import entities as ent
 from billwright.functions.text import strip
 from billwright.operators.records import MODEL
-from billwright.operators.words import page_text
+from billwright.operators.words import page_size_errors, page_text
 
 RECORD_ENTITIES = {"COMPANY": "vendor", "ADDRESS": "address", "DATE": "date"}
 TOTAL_ENTITY = "TOTAL"
@@ -118,14 +118,17 @@ def merge_entities(labels: DataFrame, boxed_words: DataFrame) -> DataFrame:
     )
 
 
-def page_errors(labels: DataFrame, normalized_boxes: DataFrame) -> DataFrame:
+def page_errors(
+    labels: DataFrame, kept_words: DataFrame, page_sizes: DataFrame
+) -> DataFrame:
     """Pages the model path fails on: unknown labels, or no usable page size."""
-    parts = [
-        df.filter(F.col("error_class").isNotNull()).select("doc_id", "error_class")
-        for df in (labels, normalized_boxes)
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(
-        F.min("error_class").alias("error_class")
+    by_label = labels.filter(F.col("error_class").isNotNull()).select(
+        "doc_id", "error_class"
+    )
+    return (
+        by_label.unionByName(page_size_errors(kept_words, page_sizes))
+        .groupBy("doc_id")
+        .agg(F.min("error_class").alias("error_class"))
     )
 
 

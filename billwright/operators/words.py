@@ -57,19 +57,35 @@ def word_boxes(words: DataFrame) -> DataFrame:
     )
 
 
-def normalize_boxes(boxed_words: DataFrame, page_sizes: DataFrame) -> DataFrame:
-    """Boxes on the 0-1000 grid; ``error_class`` tells why a page has none."""
+def _with_page_size(df: DataFrame, page_sizes: DataFrame) -> DataFrame:
+    """Adds the page size, and ``error_class`` when there is none to divide by."""
     sizes = page_sizes.select(
         "doc_id", F.col("width").alias("page_width"), F.col("height").alias("page_height")
     )
     width, height = F.col("page_width"), F.col("page_height")
-    return boxed_words.join(sizes, "doc_id", "left").withColumns(
-        {
-            "norm_box": ent.normalized_box(F.col("box"), width, height),
-            "error_class": F.when(width.isNull() | height.isNull(), "no_page_size").when(
-                (width == 0) | (height == 0), "zero_page_size"
-            ),
-        }
+    return df.join(sizes, "doc_id", "left").withColumn(
+        "error_class",
+        F.when(width.isNull() | height.isNull(), "no_page_size").when(
+            (width == 0) | (height == 0), "zero_page_size"
+        ),
+    )
+
+
+def normalize_boxes(boxed_words: DataFrame, page_sizes: DataFrame) -> DataFrame:
+    """Boxes on the 0-1000 grid; ``error_class`` tells why a page has none."""
+    return _with_page_size(boxed_words, page_sizes).withColumn(
+        "norm_box",
+        ent.normalized_box(F.col("box"), F.col("page_width"), F.col("page_height")),
+    )
+
+
+def page_size_errors(kept_words: DataFrame, page_sizes: DataFrame) -> DataFrame:
+    """Pages with words but no usable size. Words are reduced to pages before the join."""
+    pages = kept_words.select("doc_id").distinct()
+    return (
+        _with_page_size(pages, page_sizes)
+        .filter(F.col("error_class").isNotNull())
+        .select("doc_id", "error_class")
     )
 
 
@@ -95,20 +111,16 @@ def best_ocr_variant(
 ) -> DataFrame:
     """Longest text of each page; the first setting wins ties.
 
-    A plain aggregate with map-side combine, so a page with very many variants is
-    reduced before the shuffle. The winner is found on lengths alone and its text
-    fetched afterwards, so only one text per page is moved.
+    One aggregate with map-side combine: the variants of a page that lie together
+    are reduced to one before the shuffle, and no page is gathered as a group.
     """
     if configs is not None:
         variants = variants.filter(F.col("config").isin(*configs))
-    rank = F.struct(F.length("text").alias("n_chars"), (-F.col("config_rank")).alias("r"))
-    best = variants.groupBy("doc_id").agg(F.max(rank).alias("_best"))
-    best = best.select(
-        "doc_id",
-        (-F.col("_best.r")).alias("config_rank"),
-        F.col("_best.n_chars").alias("n_chars"),
-    )
-    return variants.join(best, ["doc_id", "config_rank"])
+    n_chars = F.length("text")
+    rank = F.struct(n_chars, -F.col("config_rank"))
+    row = F.struct("config_rank", "config", n_chars.alias("n_chars"), "text")
+    best = variants.groupBy("doc_id").agg(F.max_by(row, rank).alias("best"))
+    return best.select("doc_id", "best.*")
 
 
 def ocr_variant_lengths(variants: DataFrame) -> DataFrame:

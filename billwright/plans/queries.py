@@ -70,10 +70,9 @@ def _entities_of(kept: DataFrame) -> DataFrame:
 def _model_records(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     kept = stored(_kept_words(spark, sf_dir), "kept-words")
     labels = stored(_labels_of(kept), "word-labels")
-    boxed = words.word_boxes(kept)
     sizes = src.page_sizes(_documents(spark, sf_dir))
-    errors = entities.page_errors(labels, words.normalize_boxes(boxed, sizes))
-    merged = entities.merge_entities(labels, boxed)
+    errors = entities.page_errors(labels, kept, sizes)
+    merged = entities.merge_entities(labels, words.word_boxes(kept))
     return entities.entities_to_record(documents, merged, kept, errors)
 
 

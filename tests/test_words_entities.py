@@ -93,7 +93,7 @@ def test_failed_pages_keep_their_reason(spark):
     tokens = spark.createDataFrame([(1, 1, 0, 1), (2, 1, 0, 1), (3, 1, 0, 9)], TOKEN_SCHEMA)
     kept, labels = W.filter_confident_words(words), E.word_labels(tokens, NAMES)
     boxed = W.word_boxes(kept)
-    errors = E.page_errors(labels, W.normalize_boxes(boxed, sizes))
+    errors = E.page_errors(labels, kept, sizes)
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     out = E.entities_to_record(docs, E.merge_entities(labels, boxed), kept, errors)
     got = {r.doc_id: r.error_class for r in out.collect()}
