@@ -27,6 +27,10 @@ HEADLINE = (
     "entities_to_record",
     "best_ocr_variant",
     "incremental_ingest",
+    "dispatch_method",
+    "complete_from_rules",
+    "batch_summary",
+    "sink_json",
 )
 
 
@@ -47,6 +51,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": cpus,
+            # the test tables are single files: deal them out over the cores
+            "spark.billwright.inputPartitions": str(2 * int(cpus)),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
         },
     )

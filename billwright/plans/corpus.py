@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.session import spread_small
+from billwright.session import input_partitions, spread
 
 INVOICES, DOCUMENTS = "invoices", "documents"
 
@@ -177,11 +177,12 @@ def read_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_totalprice",
         "o_orderpriority",
     )
-    return invoices(spread_small(orders))
+    return invoices(spread(orders, input_partitions(spark)))
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_small(table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    docs = spread(docs, input_partitions(spark))
     return docs.select("doc_id", F.lit(DOCUMENTS).alias("corpus"), "lang", "source", "text")
 
 

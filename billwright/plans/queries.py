@@ -14,7 +14,7 @@ from billwright.functions import entities as ent
 from billwright.functions import quality
 from billwright.operators import entities, records, reports, words
 from billwright.plans import corpus as src
-from billwright.session import shared_folder, spread_small, stored
+from billwright.session import input_partitions, shared_folder, spread, stored
 from billwright.sources import images, sinks, tables
 from billwright.streaming import ingest
 
@@ -79,7 +79,7 @@ def _model_records(spark: SparkSession, sf_dir: str, documents: DataFrame) -> Da
 # ---- Scans and sinks ---------------------------------------------------------------
 @query
 def scan_text(spark, sf_dir):
-    docs = spread_small(tables.scan_text(spark, f"{sf_dir}/documents.parquet"))
+    docs = tables.scan_text(spark, f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
@@ -374,7 +374,8 @@ def word_labels(spark, sf_dir):
 
 @query
 def logits_to_label(spark, sf_dir):
-    logits = spread_small(src.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    logits = src.table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    logits = spread(logits, input_partitions(spark))
     return entities.logits_to_labels(logits, "embedding").select("vec_id", "label_id")
 
 

@@ -1,4 +1,4 @@
-"""Session settings and the shared work folder."""
+"""Session settings, shared work folders and stored intermediate tables."""
 
 from __future__ import annotations
 
@@ -16,12 +16,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Small inputs (below both limits) are spread over all cores before the extraction
-# work, at the cost of one cheap shuffle; larger ones keep the partitions of their scan.
-SPREAD_BELOW_BYTES_PER_CORE = 64 << 20
-SPREAD_BELOW_BYTES = 4 << 30
-# Texts differ in length, so each core gets several tasks.
-TASKS_PER_CORE = 2
+FOLDER_KEY = "spark.billwright.sessionFolder"
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -33,38 +28,67 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder path for this run under the cluster's shared work folder.
+def work_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` that the driver and all executors share.
 
-    The root is ``spark.checkpoint.dir``. Only a local session may go without
-    it; there a temporary folder of this machine is visible to every task.
+    Where it is unset, only a single-JVM session (master ``local`` or
+    ``local[...]``) gets one: a temporary folder, set once for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="billwright-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The session's own folder under the work root, deleted when the session ends."""
+    path = spark.conf.get(FOLDER_KEY, None)
+    if not path:
+        path = f"{work_root(spark)}/billwright-{uuid.uuid4().hex}"
+        target, files = _file_system(spark, path)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        spark.conf.set(FOLDER_KEY, path)
+    return path
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path of this run in the session's folder, not yet made."""
+    return f"{session_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a work folder before the session ends."""
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
     Without it each of them would run the whole lineage again. The table lies in
-    the shared folder, so it also survives the loss of executors.
+    the shared folder (or at ``path``), so it also survives the loss of executors.
     """
-    path = shared_folder(df.sparkSession, purpose)
+    path = path or shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of few, small partitions; leave big ones alone."""
-    if not hasattr(df, "_jdf"):  # remote sessions do not show the size estimate
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min(SPREAD_BELOW_BYTES_PER_CORE * cores, SPREAD_BELOW_BYTES):
-        return df.repartition(TASKS_PER_CORE * cores)
-    return df
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a table out over ``partitions`` tasks, or keep the partitions of its scan."""
+    return df if partitions is None else df.repartition(partitions)
+
+
+def input_partitions(spark: SparkSession) -> int | None:
+    """The setting ``spark.billwright.inputPartitions``: for inputs of few files; unset: none."""
+    setting = spark.conf.get("spark.billwright.inputPartitions", None)
+    return int(setting) if setting else None

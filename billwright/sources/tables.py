@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.session import spread_small
+from billwright.session import spread
 
 TEXT_SCHEMA = "doc_id long, text string"
 WORD_SCHEMA = (
@@ -59,12 +59,14 @@ def with_engine(
     inputs: DataFrame,
     step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     schema: str,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Run a user's own OCR or model step over the inputs.
 
     ``step`` gets and yields Arrow-backed batches (``mapInPandas``) and must produce
     ``WORD_SCHEMA`` or ``TOKEN_SCHEMA``; it should load its engine once per call.
+    ``partitions`` deals the inputs out first, for few large files.
     """
     if schema not in (WORD_SCHEMA, TOKEN_SCHEMA):
         raise ValueError("the step must produce WORD_SCHEMA or TOKEN_SCHEMA rows")
-    return spread_small(inputs).mapInPandas(step, schema)
+    return spread(inputs, partitions).mapInPandas(step, schema)

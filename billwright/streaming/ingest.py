@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billwright.operators.records import structure_records
 from billwright.operators.reports import processed_per_day
-from billwright.session import spread_small
+from billwright.session import spread
 
 
 def stream_table(
@@ -45,15 +45,16 @@ def incremental_ingest(
     output: str,
     checkpoint: str,
     extract: Callable[[DataFrame], DataFrame] = structure_records,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Extract records from a stream of texts into a table, without any state.
 
-    A micro-batch of few files is spread over all cores like a small batch input.
+    ``partitions`` deals each micro-batch out, for batches of few files.
     Failed documents are written too, with their ``error_class``.
     """
 
     def prepare(batch: DataFrame) -> DataFrame:
-        return extract(spread_small(batch))
+        return extract(spread(batch, partitions))
 
     return (
         docs.writeStream.foreachBatch(_write_batches(output, prepare))

@@ -9,7 +9,7 @@ import pytest
 
 from billwright.operators import records as R
 from billwright.plans.queries import QUERIES
-from billwright.session import shared_folder, spread_small
+from billwright.session import spread, work_root
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,9 +65,10 @@ def test_long_texts_are_linear(texts):
     assert max(len(r["items"]) for r in rows) == LONG // 9
 
 
-def test_small_inputs_are_spread(spark, tmp_path):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= cores
+def test_inputs_keep_their_partitions_unless_told(spark):
+    one = spark.range(10).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 1
+    assert spread(one, 5).rdd.getNumPartitions() == 5
 
 
 def session_stub(master, **conf):
@@ -79,6 +80,7 @@ def session_stub(master, **conf):
 
 def test_shared_folder_follows_the_session():
     named = session_stub("yarn", spark_checkpoint_dir="/shared/work/")
-    assert shared_folder(named, "x").startswith("/shared/work/x-")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session_stub("yarn"), "x")
+    assert work_root(named) == "/shared/work"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_root(session_stub(master))
