@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billwright.llm import quality_rules
+from billwright.llm import byte_bpe, chat_format, quality_rules, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,8 +22,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+@query
+def op1_url_filter(spark, sf_dir):
+    """A page shows the document whose number ends its url: that document's label is the
+    page's outcome, bad if of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("path", r"/(\d+)[^/]*/?$", 1)
+    shown = url_filter.with_host(pages).select("page_id", number.try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    outcomes = shown.filter("doc_id is not null").join(labels, "doc_id").select("page_id", "bad")
+    return url_filter.judged(pages, outcomes, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_tokens")
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judged(docs, columns=["doc_id"])
     return judged.select("doc_id", *quality_rules.BASE_COLUMNS, "base_failed", "kept")
+
+
+@query
+def op7_chat_format(spark, sf_dir):
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op10_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = byte_bpe.encoded(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.decoded(ids, RANKS).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
