@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.llm import byte_bpe, chat_format, quality_rules, token_counts, url_filter
+from billwright.llm import byte_bpe, chat_format, quality_rules, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +65,18 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.formatted(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op9_warc(spark, sf_dir):
+    captures = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0, payloads=False)
+    return captures.select(
+        "page_id",
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        "refers_to",
+    )
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
