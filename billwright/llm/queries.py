@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.llm import byte_bpe, chat_format, quality_rules, token_counts, url_filter, warc
+from billwright.llm import (
+    byte_bpe,
+    chat_format,
+    html_extract,
+    quality_rules,
+    token_counts,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_document(pages: DataFrame) -> DataFrame:
+    """Add ``doc_id``: a page shows the document whose number ends its url's path."""
+    number = F.regexp_extract("path", r"/(\d+)[^/]*/?$", 1)
+    parsed = url_filter.with_host(pages).withColumn("doc_id", number.try_cast("long"))
+    return parsed.drop("host", "path")
+
+
 URL_RULES = (
     url_filter.Rule("block", "net", "/"),
     url_filter.Rule("allow", "example.net", "/en/"),
@@ -32,11 +47,10 @@ URL_RULES = (
 
 @query
 def op1_url_filter(spark, sf_dir):
-    """A page shows the document whose number ends its url: that document's label is the
-    page's outcome, bad if of low quality or toxic."""
+    """The label of the document that a page shows is its outcome: bad if of low quality or
+    toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.regexp_extract("path", r"/(\d+)[^/]*/?$", 1)
-    shown = url_filter.with_host(pages).select("page_id", number.try_cast("long").alias("doc_id"))
+    shown = with_document(pages).select("page_id", "doc_id")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     )
@@ -65,6 +79,21 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.formatted(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op8_html_extract(spark, sf_dir):
+    """Pages are labelled by the document that they show. At most SAMPLE_PAGES ids are
+    broadcast."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    sample = html_extract.sampled(with_document(pages).filter("doc_id is not null"))
+    wanted = F.broadcast(sample.select("doc_id").distinct())
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article"))
+    labelled = sample.join(texts.join(wanted, "doc_id"), "doc_id")
+    weights = html_extract.learned_weights(labelled)
+    return html_extract.extracted(pages, weights).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 @query
 def op9_warc(spark, sf_dir):
     captures = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0, payloads=False)
