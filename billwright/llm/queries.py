@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from billwright.llm import (
     byte_bpe,
     chat_format,
+    decontaminate,
     html_extract,
     quality_rules,
     token_counts,
@@ -60,6 +61,21 @@ def op1_url_filter(spark, sf_dir):
     )
 
 
+@query
+def op2_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
