@@ -13,6 +13,7 @@ from billwright.llm import (
     chat_format,
     decontaminate,
     html_extract,
+    jaccard_join,
     quality_rules,
     token_counts,
     url_filter,
@@ -83,6 +84,11 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_tokens")
 
 
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
