@@ -10,12 +10,15 @@ content. Where light ends is chosen by the rows both ways would make for the siz
 Lists are never expanded to pairs. Every member is compared with its list's first member;
 linked nodes are merged; only lists that still hold several components are compared further,
 in blocks of bounded size, on odd sketches whose distance is a lower bound of the true one,
-and only the closest pair of each two components goes on to the exact check.
+and the closest pairs of each two components go on to the exact check, more of them in each
+round, until no allowed pair is left untested.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -40,6 +43,9 @@ LARGEST_LIGHT = 40
 #: Members of a list that are compared in one go; longer lists are cut into such blocks.
 UNIT = 1000
 ROWS_PER_TASK = 20_000
+#: Pairs of two components that a unit gives in the first round; each later round gives 16
+#: times as many, and rounds go on until none is left.
+FIRST_CLOSEST = 50
 WORDS_REMEMBERED = 500_000
 #: Node lists (under 50 bytes a row) are broadcast up to so many rows, counted first; longer
 #: ones meet the texts in a shuffle.
@@ -374,8 +380,10 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _split_pairs(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Closest allowed pairs of different components in the same list, not yet tested.
+def _split_pairs(members: DataFrame, tested: DataFrame, closest: int) -> DataFrame:
+    """Allowed pairs of different components in the same list that are not yet tested.
+
+    Of each two components in a unit, the ``closest`` pairs; the caller comes back for the rest.
 
     ``members`` has (key, node, n, sketch, root, place, members): ``place`` is the row's
     number in its list. Lists longer than UNIT are compared block against block; the units
@@ -396,15 +404,18 @@ def _split_pairs(members: DataFrame, tested: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        best: dict[tuple[bytes, bytes], tuple[int, bytes, bytes]] = {}
+        pairs: set[tuple[bytes, bytes]] = set()
         for (_, low, high), unit in frame.groupby(["key", "low", "high"], sort=False):
-            _compare_unit(unit, low, high, best)
-        return pd.DataFrame([(a, b) for _, a, b in best.values()], columns=["u", "v"])
+            for found in _compared(unit, low, high).values():
+                pairs.update((a, b) for _, a, b in heapq.nsmallest(closest, found))
+        return pd.DataFrame(list(pairs), columns=["u", "v"])
 
     return dealt.groupBy("task").applyInPandas(compare, "u binary, v binary").distinct()
 
 
-def _compare_unit(unit: pd.DataFrame, low: int, high: int, best: dict) -> None:
+def _compared(unit: pd.DataFrame, low: int, high: int) -> dict[tuple, list]:
+    """Allowed untested pairs of a unit, with their sketches' distance, by components."""
+    pairs: dict[tuple[bytes, bytes], list[tuple[int, bytes, bytes]]] = defaultdict(list)
     sizes = unit["n"].to_numpy()
     sketches = unit["sketch"].tolist()
     width = min(map(len, sketches))
@@ -429,9 +440,8 @@ def _compare_unit(unit: pd.DataFrame, low: int, high: int, best: dict) -> None:
                 continue
             roots_pair = tuple(sorted((roots[at], roots[other])))
             a, b = sorted((nodes[at], nodes[other]))
-            old = best.get(roots_pair)
-            if old is None or (distance, a, b) < old:
-                best[roots_pair] = (int(distance), a, b)
+            pairs[roots_pair].append((int(distance), a, b))
+    return pairs
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -476,7 +486,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     star = lists.filter("place > 1").select(F.col("first").alias("u"), F.col("node").alias("v"))
     star = stored(_close_pairs(star.distinct(), nodes), "star-pairs")
     links = stored(_linked(star, texts).unionByName(light), "star-links")
-    tested = star
+    tested, closest = star, FIRST_CLOSEST
     while True:
         parts = stored(components(links), "components")
         named_lists = lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -484,11 +494,11 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             "high", F.max("root").over(whole)
         )
         members = mixed.filter("low != high").drop("low", "high", "first").join(nodes, "node")
-        pairs = stored(_split_pairs(members, tested), "split-pairs")
+        pairs = stored(_split_pairs(members, tested, closest), "split-pairs")
         if pairs.isEmpty():
             break
         links = stored(links.unionByName(_linked(pairs, texts)), "links-so-far")
-        tested = tested.unionByName(pairs)
+        tested, closest = tested.unionByName(pairs), closest * 16
     smallest = (
         classes.select("node", "first_doc")
         .join(parts, "node")
