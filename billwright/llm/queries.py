@@ -14,6 +14,7 @@ from billwright.llm import (
     decontaminate,
     html_extract,
     jaccard_join,
+    lm_scoring,
     quality_rules,
     token_counts,
     url_filter,
@@ -84,6 +85,16 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_tokens")
 
 
+@query
+def op4_lm_scoring(spark, sf_dir):
+    """Held out are the documents of remainder 2; those of remainder 3 teach the weights."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    part = F.when(remainder == 2, "held_out").when(remainder == 3, "apart").otherwise("learn")
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), part).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
