@@ -175,9 +175,12 @@ def contamination(
     test_key: str = "item_id",
     test_text: str = "text",
     slack: int = 0,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: (key, n_words, n_hit, n_items, items, contaminated).
 
+    ``keep`` names the columns of ``docs`` to carry instead of the key alone.
+
     ``n_hit`` counts the words inside any occurrence of a phrase, ``items`` are the ids (as
     strings, sorted) of the tests whose phrases occur. Null and empty texts have no words and
     no hits; null ids of tests are left out of ``items``; repeated rows each get the result
@@ -202,23 +205,24 @@ def contamination(
         .groupBy("doc", "text_hash")
         .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("__items"))
     )
+    named = {"doc": "__d", "text_hash": "__h"}
+    marks = hit.withColumnsRenamed(named)
+    same = F.col("doc").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))
+    marks = stored(items.join(marks, same).drop("doc", "text_hash"), "contaminated")
+    results = ("n_words", "n_hit", "n_items", "items", "contaminated")
     rows = docs.select(
+        *(c for c in (keep or [key]) if c not in results),
         F.col(key).alias("__doc"),
         F.xxhash64(text).alias("__hash"),
         F.size(words_of(F.col(text))).cast("long").alias("n_words"),
     )
-
-    def added(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({"doc": "__d", "text_hash": "__h"})
-        same = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
-        return left.join(right, same, "left").drop("__d", "__h")
-
-    none = F.array().cast("array<string>")
-    return added(added(rows, hit), items).select(
-        F.col("__doc").alias(key),
-        "n_words",
-        F.coalesce("__hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(F.coalesce("__items", none)).cast("long").alias("n_items"),
-        F.coalesce("__items", none).alias("items"),
-        F.col("__hit").isNotNull().alias("contaminated"),
+    same = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
+    found_items = F.coalesce("__items", F.array().cast("array<string>"))
+    return (
+        rows.join(_small(marks, marks.count()), same, "left")
+        .withColumn("n_hit", F.coalesce("__hit", F.lit(0).cast("long")))
+        .withColumn("n_items", F.size(found_items).cast("long"))
+        .withColumn("items", found_items)
+        .withColumn("contaminated", F.col("__hit").isNotNull())
+        .drop("__doc", "__hash", "__d", "__h", "__hit", "__items")
     )
