@@ -1,11 +1,20 @@
-"""Corpus pipeline: quality rules, near duplicates, decontamination, tokenizing."""
+"""Corpus pipeline: quality rules, near duplicates, decontamination, tokenizing.
+
+Each stage works on all that the one before it kept; its result is stored and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from billwright.llm import byte_bpe, decontaminate, jaccard_join, quality_rules
+from billwright.session import shared_folder, stored
 
-from billwright.llm import quality_rules
-from billwright.session import shared_folder
+#: Ids of kept documents are broadcast up to so many rows of 8 bytes (counted first); beyond
+#: it they meet the documents in a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +22,53 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_good)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates.
+
+    Rows that repeat an id and a text count as one document.
+    """
+    linked = jaccard_join.linked_components(docs)
+    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = stored(first.groupBy("doc_id").agg(F.count("*").alias("__rows")), "first-documents")
+    size = first.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
+    ids = first.select(F.col("doc_id").alias("__first"))
+    if size["n"] <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")
+    if (size["most"] or 0) > 1:  # some row repeats an id
+        kept = kept.withColumn("__text", F.xxhash64("text"))
+        kept = kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = decontaminate.contamination(docs, tests, keep=docs.columns)
+    return judged.filter("NOT contaminated").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    kept = [c for c in docs.columns if c != "text"]
+    source = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    ids = byte_bpe.encoded(source, ranks, public_tokenizers.PATTERN, keep=[*kept, "__sha"])
+    same = F.sha2("decoded", 256) == F.col("__sha")
+    return byte_bpe.decoded(ids, ranks).select(
+        *kept, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
+    )
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("jaccard_join", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", tokenize),
+]
 
+#: Quantile sketches and byte-pair merges have no SQL form: tests/llm checks each stage by
+#: brute force on a small fixture.
 ORACLE_SQL = None
 
 
