@@ -121,9 +121,9 @@ def _intersected(
     if slack:
         same &= F.abs(F.col("position") - expected) <= slack
     needed = places.groupBy("phrase").agg(F.count("*").alias("__needed"))
+    # several postings serve one place where rows repeat, or within the slack
     found = wanted.join(listed, same)
-    if slack:  # several postings may serve one place
-        found = found.select("doc", "text_hash", "phrase", "start", "offset").distinct()
+    found = found.select("doc", "text_hash", "phrase", "start", "offset").distinct()
     found = found.groupBy("doc", "text_hash", "phrase", "start").agg(F.count("*").alias("__n"))
     return (
         found.join(_small(needed, n_places), "phrase")
@@ -141,7 +141,6 @@ def occurrences(phrases: DataFrame, postings: DataFrame, slack: int = 0) -> Data
     """
     plan = stored(_plan(phrases, postings), "phrase-plan")
     n_places = plan.count()
-    postings = postings.dropDuplicates() if slack else postings
     rarest = plan.filter("rank = 1").select("phrase", "term", "offset")
     candidates = postings.join(_small(rarest, n_places), "term").select(
         "doc", "text_hash", "phrase", (F.col("position") - F.col("offset")).alias("start")
