@@ -264,8 +264,12 @@ def learned_weights(labelled: DataFrame) -> dict[str, float]:
 
 
 def sampled(pages: DataFrame, key: str = "page_id", at_most: int = SAMPLE_PAGES) -> DataFrame:
-    """The pages of the smallest key hashes: a bounded sample to label."""
-    return pages.orderBy(F.xxhash64(key), key).limit(at_most)
+    """The pages of the smallest key hashes: a bounded sample to label.
+
+    Only keys are ordered; they are broadcast (``at_most`` rows) to fetch the whole rows.
+    """
+    keys = pages.select(key).orderBy(F.xxhash64(key), key).limit(at_most)
+    return pages.join(F.broadcast(keys.distinct()), key)
 
 
 def extracted(
