@@ -111,12 +111,12 @@ def reputations(hosts: DataFrame, error_share: float = 1.645) -> DataFrame:
     """Posterior of each host of ``host_counts``: ``bad_rate`` and its ``lower_bound``.
 
     ``error_share`` is the number of posterior standard deviations below the mean. Three
-    numbers, the strengths of the levels, go through the driver. A table without labels
-    has the rate 1/2 everywhere.
+    numbers, the strengths of the levels, go through the driver. Without any
+    labels every rate is 0.
     """
     hosts = stored(hosts, "host-counts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    root = ((total.k or 0) + 1) / ((total.n or 0) + 2)
+    root = (total.k + 1) / (total.n + 2) if total.n else 0.0
     above, above_key = None, None
     for level in ("suffix", "domain", "host"):
         if level == "host":
