@@ -43,21 +43,20 @@ def box(left: Column, top: Column, width: Column, height: Column) -> Column:
     return F.struct(
         left.alias("x0"),
         top.alias("y0"),
-        (left + width).alias("x1"),
-        (top + height).alias("y1"),
+        F.try_add(left, width).alias("x1"),
+        F.try_add(top, height).alias("y1"),
     )
 
 
 def normalized_box(b: Column, width: Column, height: Column) -> Column:
-    """Box on a 0-1000 grid, truncated; null when the page has no width or height."""
+    """Box on a 0-1000 grid, truncated; null without a page size or beyond whole numbers."""
 
     def scaled(name: str, size: Column) -> Column:
         ratio = F.try_divide(b[name].cast("double"), size.cast("double"))
-        return (F.lit(BOX_SCALE) * ratio).cast("int").alias(name)
+        return (F.lit(BOX_SCALE) * ratio).try_cast("int").alias(name)
 
-    return F.when(
-        (width != 0) & (height != 0),
-        F.struct(
-            scaled("x0", width), scaled("y0", height), scaled("x1", width), scaled("y1", height)
-        ),
-    )
+    corners = [scaled(c, size) for c, size in zip(("x0", "y0", "x1", "y1"), (width, height) * 2)]
+    usable = (width != 0) & (height != 0)
+    for corner in corners:
+        usable &= corner.isNotNull()
+    return F.when(usable, F.struct(*corners))

@@ -87,4 +87,25 @@ def display_text(col: Column) -> Column:
 
 
 def display_money(col: Column, missing: str = MISSING) -> Column:
-    return F.when(col.isNull(), F.lit(missing)).otherwise(F.format_string("$%.2f", col))
+    """Dollars with two decimals, rounded half to even on the exact binary value.
+
+    ``100 * value`` is split into a double and its exact rounding error, so that a value
+    just under a half cent is not taken for one. Above 10^13 no double has a half cent.
+    """
+    size = F.abs(col)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    cents = size * 100.0
+    error = (high * 100.0 - cents) + (size - high) * 100.0
+    whole = F.floor(cents)
+    over_half = (cents - whole - 0.5) + error
+    odd = F.pmod(whole, F.lit(2)) == 1
+    rounded = whole + F.when((over_half > 0) | ((over_half == 0) & odd), 1).otherwise(0)
+    sign = F.when(col < 0, "-").otherwise("")
+    hundredths = F.pmod(rounded, F.lit(100))
+    dollars = ((rounded - hundredths) / 100).cast("long")
+    exact = F.format_string("$%s%d.%02d", sign, dollars, hundredths)
+    large = F.format_string("$%.2f", col)
+    ordinary = (size < 1e13) & ~F.isnan(col)
+    return (
+        F.when(col.isNull(), F.lit(missing)).when(ordinary, exact).otherwise(large)
+    )

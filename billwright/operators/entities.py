@@ -97,24 +97,33 @@ def entity_words(labels: DataFrame) -> DataFrame:
 
 
 def merge_entities(labels: DataFrame, boxed_words: DataFrame) -> DataFrame:
-    """Text and boxes of the remaining entity per page and type."""
-    words = boxed_words.select("doc_id", "word_idx", "text", "box")
-    parts = entity_words(labels).join(words, ["doc_id", "word_idx"])
-    ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text", "box")))
-    return (
-        parts.groupBy("doc_id", "entity_type")
-        .agg(ordered.alias("_words"))
-        .select(
-            "doc_id",
-            "entity_type",
-            strip(F.array_join(F.transform("_words", lambda w: w["text"]), " ")).alias("text"),
-            F.transform(
-                "_words",
-                lambda w: F.array(
-                    w["box"]["x0"], w["box"]["y0"], w["box"]["x1"], w["box"]["y1"]
-                ),
-            ).alias("bbox"),
-        )
+    """Text and boxes of the remaining entity per page and type.
+
+    A word has one token at least, so only the first ``TOKEN_LIMIT`` words of a page can
+    have a label: the others are cut off before any shuffle, and a page's words are one
+    short array. An entity is a run of words, so its labels come down to a first and last
+    word, and both sides meet once per page.
+    """
+    spans = (
+        entity_words(labels)
+        .groupBy("doc_id", "entity_type")
+        .agg(F.min("word_idx").alias("_first"), F.max("word_idx").alias("_last"))
+    )
+    short = boxed_words.filter(F.col("word_idx") < ent.TOKEN_LIMIT)
+    in_order = F.array_sort(F.collect_list(F.struct("word_idx", "text", "box")))
+    pages = short.groupBy("doc_id").agg(in_order.alias("_page"))
+    own = F.filter(
+        "_page", lambda w: (w["word_idx"] >= F.col("_first")) & (w["word_idx"] <= F.col("_last"))
+    )
+    parts = spans.join(pages, "doc_id").withColumn("_words", own).filter(F.size("_words") > 0)
+    return parts.select(
+        "doc_id",
+        "entity_type",
+        strip(F.array_join(F.transform("_words", lambda w: w["text"]), " ")).alias("text"),
+        F.transform(
+            "_words",
+            lambda w: F.array(w["box"]["x0"], w["box"]["y0"], w["box"]["x1"], w["box"]["y1"]),
+        ).alias("bbox"),
     )
 
 
@@ -140,7 +149,8 @@ def entities_to_record(
 ) -> DataFrame:
     """One model record per document, also for documents without any entity.
 
-    ``errors`` (see :func:`page_errors`) gives failed documents their reason.
+    ``errors`` (see :func:`page_errors`) gives failed documents their reason; they have no
+    values besides their text and words.
     """
     value = F.struct("text", "bbox")
     wide = entities.groupBy("doc_id").agg(
@@ -160,20 +170,21 @@ def entities_to_record(
     else:
         out = out.join(errors, "doc_id", "left")
     null = F.lit(None)
+    good = F.col("error_class").isNull()
     return out.select(
         *documents.columns,
         F.lit(MODEL).alias("method"),
         null.cast("string").alias("receipt_number"),
-        "date",
+        F.when(good, F.col("date")).alias("date"),
         null.cast("struct<name:string,email:string>").alias("bill_to"),
         F.array().cast(_ITEMS).alias("items"),
-        ent.entity_total(F.col("_total")).alias("total_amount"),
-        "vendor",
-        "address",
+        F.when(good, ent.entity_total(F.col("_total"))).alias("total_amount"),
+        F.when(good, F.col("vendor")).alias("vendor"),
+        F.when(good, F.col("address")).alias("address"),
         F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.coalesce("words", F.array().cast("array<string>")).alias("raw_ocr_words"),
         F.coalesce(
-            "raw_predictions",
+            F.when(good, F.col("raw_predictions")),
             F.create_map().cast(
                 "map<string,struct<text:string,bbox:array<array<int>>>>"
             ),

@@ -46,52 +46,53 @@ MODEL_FIELDS = (
 
 # Steps are kept in columns of their own where a later step uses them more than
 # once: Catalyst then computes each pattern once per document. The step columns
-# start with an underscore and are dropped at the end.
+# start with STEP and are dropped at the end.
+STEP = "__rule_"
 
 
 def _cased(df: DataFrame, text: str) -> DataFrame:
     t = F.col(text)
     return df.withColumns(
-        {"_lower": F.lower(t), "_upper": F.upper(t), "_plain": ascii_digits(t)}
+        {"__rule_lower": F.lower(t), "__rule_upper": F.upper(t), "__rule_plain": ascii_digits(t)}
     )
 
 
 def _drop_steps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return df.drop(*[c for c in df.columns if c.startswith(STEP)])
 
 
 def _add_date(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_runs", fields.date_runs(F.col(text))).withColumn(
-        "date", fields.first_date(F.col("_runs"))
+    return df.withColumn("__rule_runs", fields.date_runs(F.col(text))).withColumn(
+        "date", fields.first_date(F.col("__rule_runs"))
     )
 
 
 def _add_total(df: DataFrame) -> DataFrame:
-    return df.withColumn("_total", fields.total_digits(F.col("_plain"), F.col("_lower"))).withColumn(
-        "total_amount", to_double(F.col("_total"))
+    return df.withColumn("__rule_total", fields.total_digits(F.col("__rule_plain"), F.col("__rule_lower"))).withColumn(
+        "total_amount", to_double(F.col("__rule_total"))
     )
 
 
 def _add_vendor(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_through", fields.through_company_suffix(F.col("_upper"))).withColumn(
-        "vendor_rules", fields.vendor(F.col(text), F.col("_through"))
+    return df.withColumn("__rule_through", fields.through_company_suffix(F.col("__rule_upper"))).withColumn(
+        "vendor_rules", fields.vendor(F.col(text), F.col("__rule_through"))
     )
 
 
 def _add_bill_to(df: DataFrame, text: str) -> DataFrame:
-    bill_text, mail, name = map(F.col, ("_bill_text", "_bill_mail", "_bill_name"))
+    bill_text, mail, name = map(F.col, ("__rule_bill_text", "__rule_bill_mail", "__rule_bill_name"))
     return (
-        df.withColumn("_bill_text", fields.bill_to_text(F.col(text), F.col("_lower")))
-        .withColumn("_bill_mail", fields.email(bill_text))
-        .withColumn("_bill_name", fields.bill_to_name(bill_text, mail))
+        df.withColumn("__rule_bill_text", fields.bill_to_text(F.col(text), F.col("__rule_lower")))
+        .withColumn("__rule_bill_mail", fields.email(bill_text))
+        .withColumn("__rule_bill_name", fields.bill_to_name(bill_text, mail))
         .withColumn("bill_to", fields.bill_to(name, mail))
     )
 
 
 def with_dates(df: DataFrame, text: str = "text") -> DataFrame:
     return _drop_steps(
-        df.withColumn("_runs", fields.date_runs(F.col(text)))
-        .withColumn("dates", fields.dates(F.col("_runs")))
+        df.withColumn("__rule_runs", fields.date_runs(F.col(text)))
+        .withColumn("dates", fields.dates(F.col("__rule_runs")))
         .withColumn("date", F.get("dates", F.lit(0)))
     )
 
@@ -118,7 +119,7 @@ def with_bill_to(df: DataFrame, text: str = "text") -> DataFrame:
 
 def with_item_section(df: DataFrame, text: str = "text") -> DataFrame:
     return _drop_steps(
-        _cased(df, text).withColumn("item_section", fields.item_section(F.col("_plain"), F.col("_lower")))
+        _cased(df, text).withColumn("item_section", fields.item_section(F.col("__rule_plain"), F.col("__rule_lower")))
     )
 
 
@@ -142,17 +143,30 @@ def computed_once(df: DataFrame, **counts: Column) -> DataFrame:
     return df.observe(f"extraction-{uuid.uuid4().hex}", *observed)
 
 
-def error_class(text: Column, items: Column) -> Column:
+def error_class(text: Column) -> Column:
     """Why a document cannot become a record; null when it can."""
+    return F.when(text.isNull(), "null_text")
+
+
+def warning(items: Column) -> Column:
+    """What a good record lacks: a quantity above BIGINT is null in its item."""
     overflow = F.exists(items, lambda i: i["quantity"].isNull())
-    return F.when(text.isNull(), "null_text").when(overflow, "quantity_overflow")
+    return F.when(overflow, "quantity_overflow")
 
 
-def structure_records(df: DataFrame, text: str = "text") -> DataFrame:
-    """Full rule-based record of every text, with ``error_class`` for the bad ones."""
+def structure_records(df: DataFrame, text: str = "text", only: Column | None = None) -> DataFrame:
+    """Full rule-based record of every text, with ``error_class`` for the bad ones.
+
+    All other input columns are kept. ``only`` is a condition on input columns: it is
+    applied before the extraction, so that key and partition filters reach the scan (later
+    filters stay above the extraction, see ``computed_once``). ``warning`` names a loss
+    within a good record.
+    """
+    if only is not None:
+        df = df.filter(only)
     out = _add_bill_to(_add_vendor(_cased(df, text), text), text)
     out = _add_total(_add_date(with_receipt_number(out, text), text)).withColumn(
-        "items", fields.line_items(fields.item_section(F.col("_plain"), F.col("_lower")))
+        "items", fields.line_items(fields.item_section(F.col("__rule_plain"), F.col("__rule_lower")))
     )
     items = F.col("items")
     found = [F.col(c) for c in ("receipt_number", "date", "bill_to", "total_amount")]
@@ -163,7 +177,8 @@ def structure_records(df: DataFrame, text: str = "text") -> DataFrame:
                 F.col("total_amount"), quality.items_total(items)
             ),
             "method": F.lit(RULES),
-            "error_class": error_class(F.col(text), items),
+            "error_class": error_class(F.col(text)),
+            "warning": warning(items),
         }
     )
     out = _drop_steps(out).withColumnRenamed(text, "raw_text")
@@ -240,9 +255,10 @@ def dispatch(
     """Records of each document by the method its ``method`` column names.
 
     The rules run on their documents only and ``model`` on its own; documents
-    naming any other method come back with ``unknown_method``. No join is needed.
+    naming any other method come back with ``unknown_method``. Without a method the model
+    is meant. No join is needed here; ``model`` must work on the rows it is given.
     """
-    method = F.coalesce("method", F.lit(""))
+    method = F.coalesce("method", F.lit(MODEL))
     by_rules = structure_records(documents.filter(method == RULES), text)
     by_model = model(documents.filter(method == MODEL))
     unknown = (
@@ -262,11 +278,11 @@ def section_lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         *keep, F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line_no", "line")
     )
     line = F.col("line")
-    return rows.withColumn("_digits", fields.leading_digits(line)).select(
+    return rows.withColumn("__rule_digits", fields.leading_digits(line)).select(
         *keep,
         "line_no",
         "line",
         fields.line_numbers(line).alias("numbers"),
-        fields.quantity(F.col("_digits")).alias("quantity"),
+        fields.quantity(F.col("__rule_digits")).alias("quantity"),
         fields.description(line).alias("description"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billwright.functions import entities as ent
@@ -19,12 +19,33 @@ RUN_ROWS = 1024
 
 
 def confident_words(words: DataFrame) -> DataFrame:
-    """Words above the confidence limit that are not blank."""
+    """Words above the confidence limit that are not blank.
+
+    The whole part of the confidence counts. Words without a usable confidence or text are
+    no confident words; ``word_quarantine`` has them with the reason.
+    """
+    enough = F.col("conf") >= ent.CONFIDENCE_ABOVE + 1
     return words.filter(
-        (F.col("conf").cast("int") > ent.CONFIDENCE_ABOVE) & (strip(F.col("text")) != "")
+        word_error(F.col("conf"), F.col("text")).isNull() & enough & (strip(F.col("text")) != "")
     )
 
 
+def word_error(conf: Column, text: Column) -> Column:
+    """Why an OCR row can't be judged; null when it can."""
+    unbounded = F.isnan(conf) | (F.abs(conf) == float("inf"))
+    return (
+        F.when(conf.isNull(), "no_confidence")
+        .when(unbounded, "bad_confidence")
+        .when(text.isNull(), "no_text")
+    )
+
+
+def word_quarantine(words: DataFrame) -> DataFrame:
+    """OCR rows that no rule can judge, with ``error_class``."""
+    marked = words.withColumn("error_class", word_error(F.col("conf"), F.col("text")))
+    return marked.filter(F.col("error_class").isNotNull())
+
+
 def filter_confident_words(words: DataFrame) -> DataFrame:
     """Confident words with ``word_idx``, their rank on the page in OCR order.
 
@@ -72,11 +93,15 @@ def _with_page_size(df: DataFrame, page_sizes: DataFrame) -> DataFrame:
 
 
 def normalize_boxes(boxed_words: DataFrame, page_sizes: DataFrame) -> DataFrame:
-    """Boxes on the 0-1000 grid; ``error_class`` tells why a page has none."""
-    return _with_page_size(boxed_words, page_sizes).withColumn(
+    """Boxes on the 0-1000 grid; ``error_class`` tells why a page or word has none."""
+    sized = _with_page_size(boxed_words, page_sizes).withColumn(
         "norm_box",
         ent.normalized_box(F.col("box"), F.col("page_width"), F.col("page_height")),
     )
+    lost = F.col("norm_box").isNull() & F.col("error_class").isNull()
+    return sized.withColumn(
+        "error_class", F.when(lost, "box_out_of_range").otherwise(F.col("error_class"))
+    )
 
 
 def page_size_errors(kept_words: DataFrame, page_sizes: DataFrame) -> DataFrame:

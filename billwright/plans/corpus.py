@@ -65,14 +65,14 @@ CASE (k + i) % 6
 END"""
 
 _INVOICE_LINES = (
-    "CASE WHEN k % 3 <> 1 THEN '*** COPY ***' END",
+    "CASE WHEN k % 3 <> 1 THEN '# # second print # #' END",
     """CASE k % 6
          WHEN 0 THEN concat('Vendor ', cast(k % 97 as string), ' SDN BHD')
          WHEN 1 THEN concat('  Vendor ', cast(k % 97 as string), ' Ltd')
          WHEN 2 THEN concat('Prince Cafe ', cast(k % 97 as string))
          WHEN 3 THEN concat('Shop ', cast(k % 97 as string), ' Corp.')
          WHEN 4 THEN concat('Kedai ', cast(k % 97 as string)) END""",
-    "CASE WHEN k % 4 = 0 THEN 'ROC NO: 538358-H' END",
+    "CASE WHEN k % 4 = 0 THEN 'Reg. no. 77-4410 Q' END",
     "truth_number_line",
     "truth_date_line",
     """CASE k % 5

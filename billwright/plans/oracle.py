@@ -259,6 +259,10 @@ CTES["pages_text"] = """
 SELECT doc_id, string_agg(text, ' ' ORDER BY word_idx) AS raw_text, count(*) AS n_words FROM kept GROUP BY ALL"""
 
 CTES["model_records"] = r"""
+SELECT doc_id, method, error_class, CASE WHEN error_class IS NULL THEN vendor END AS vendor,
+  CASE WHEN error_class IS NULL THEN address END AS address, CASE WHEN error_class IS NULL THEN date END AS date,
+  CASE WHEN error_class IS NULL THEN total_amount END AS total_amount,
+  CASE WHEN error_class IS NULL THEN n_entities ELSE 0 END AS n_entities FROM (
 SELECT d.doc_id, 'ml' AS method,
   max(e.text) FILTER (WHERE entity_type = 'COMPANY') AS vendor,
   max(e.text) FILTER (WHERE entity_type = 'ADDRESS') AS address,
@@ -266,7 +270,7 @@ SELECT d.doc_id, 'ml' AS method,
   try_cast(regexp_replace(max(e.text) FILTER (WHERE entity_type = 'TOTAL'), '[^\d.]', '', 'g') AS double) AS total_amount,
   count(e.entity_type) AS n_entities,
   CASE WHEN d.doc_id % 50 = 7 AND d.doc_id IN (SELECT doc_id FROM kept) THEN 'zero_page_size' END AS error_class
-FROM documents d LEFT JOIN entities e ON d.doc_id = e.doc_id GROUP BY d.doc_id"""
+FROM documents d LEFT JOIN entities e ON d.doc_id = e.doc_id GROUP BY d.doc_id)"""
 
 CTES["variants"] = """
 SELECT doc_id, 0 AS config_rank, '' AS config, text FROM documents
@@ -317,6 +321,28 @@ SELECT corpus, doc_id, output_name, count(*) OVER (PARTITION BY output_name) > 1
   bill_to_name IS NULL AS null_kept
 FROM (SELECT *, cast(doc_id % 20000 AS varchar) || '_rules.json' AS output_name FROM records)""",
 )
+oracle(
+    "sink_export_named",
+    """
+SELECT corpus, doc_id, output_name, count(*) OVER (PARTITION BY output_name) > 1 AS duplicate_name, method,
+  receipt_number, date, bill_to_name, n_items, total_amount, extraction_confidence, validation_passed,
+  bill_to_name IS NULL AS null_kept, 'invoice_data_20240203_040506.json' AS export_name
+FROM (SELECT *, cast(doc_id % 20000 AS varchar) || '_rules.json' AS output_name FROM records)""",
+)
+oracle(
+    "word_quarantine",
+    """
+SELECT doc_id, row_no, CASE WHEN row_no % 97 <> 8 THEN text END AS text,
+  CASE row_no % 97 WHEN 5 THEN 'no_confidence' WHEN 6 THEN 'bad_confidence' ELSE 'no_text' END AS error_class
+FROM ocr WHERE row_no % 97 IN (5, 6, 8)""",
+)
+oracle(
+    "confident_spoiled_words",
+    """
+SELECT doc_id, count(*) AS n_words FROM ocr
+WHERE row_no % 97 NOT IN (5, 6, 8) AND (conf >= 61 OR row_no % 97 = 7) AND trim(text) <> ''
+GROUP BY doc_id""",
+)
 
 # ---- OCR words -----------------------------------------------------------------------
 oracle("filter_confident_words", "SELECT doc_id, row_no, word_idx, text, conf FROM kept")

@@ -6,6 +6,7 @@ Nested results are flattened to scalar columns, so that any engine can compare t
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +68,12 @@ def _entities_of(kept: DataFrame) -> DataFrame:
     return entities.merge_entities(_labels_of(kept), words.word_boxes(kept))
 
 
-def _model_records(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
-    kept = stored(_kept_words(spark, sf_dir), "kept-words")
+def _model_records(documents: DataFrame, *keys: str) -> DataFrame:
+    """Model records of the given documents (keys, doc_id, text): only their words are made."""
+    kept = stored(words.filter_confident_words(src.ocr_words(documents)), "kept-words")
     labels = stored(_labels_of(kept), "word-labels")
-    sizes = src.page_sizes(_documents(spark, sf_dir))
+    sizes = src.page_sizes(documents)
+    documents = documents.select(*keys)
     errors = entities.page_errors(labels, kept, sizes)
     merged = entities.merge_entities(labels, words.word_boxes(kept))
     return entities.entities_to_record(documents, merged, kept, errors)
@@ -90,7 +93,7 @@ def scan_image_manifest(spark, sf_dir):
 
 @query
 def first_sample(spark, sf_dir):
-    return images.first_sample(scan_image_manifest(spark, sf_dir))
+    return images.first_sample(src.landed_files(_documents(spark, sf_dir)), LANDING)
 
 
 @query
@@ -100,26 +103,29 @@ def scan_ocr_words(spark, sf_dir):
     return tables.scan_ocr_words(spark, path)
 
 
-@query
-def sink_json(spark, sf_dir):
-    path = shared_folder(spark, "records-json")
-    named = sinks.with_output_name(
-        _records(spark, sf_dir).withColumn("stem", F.col("doc_id") % 20000), "stem"
-    )
-    keep = named.select(*KEY, "output_name", "method", *records.RULE_FIELDS)
-    sinks.record_json(keep).select(*KEY, "output_name", "json", "method").write.partitionBy(
-        "method"
-    ).parquet(path)
-    stored = sinks.mark_shared_names(spark.read.parquet(path))
-    schema = (
-        "receipt_number string, date string, bill_to struct<name:string,email:string>, "
-        "items array<struct<description:string,quantity:bigint,unit_price:double,total:double>>, "
-        "total_amount double, extraction_confidence int, validation_passed boolean"
-    )
-    return stored.withColumn("r", F.from_json("json", schema)).select(
-        *KEY,
-        "output_name",
-        "duplicate_name",
+JSON_SCHEMA = (
+    "corpus string, doc_id long, output_name string, receipt_number string, date string, "
+    "bill_to struct<name:string,email:string>, "
+    "items array<struct<description:string,quantity:bigint,unit_price:double,total:double>>, "
+    "total_amount double, extraction_confidence int, validation_passed boolean, method string"
+)
+
+
+def _records_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _records(spark, sf_dir).withColumn("stem", F.col("doc_id") % 20000)
+    return kept.select(*KEY, "stem", "method", *records.RULE_FIELDS)
+
+
+def _read_back(spark: SparkSession, path: str, shared: DataFrame) -> DataFrame:
+    lines = spark.read.text(path)
+    written = lines.withColumn("r", F.from_json("value", JSON_SCHEMA.rpartition(", ")[0]))
+    marked = shared.select(F.col("output_name").alias("_shared"))
+    rows = written.join(marked, F.col("r.output_name") == F.col("_shared"), "left")
+    return rows.select(
+        "r.corpus",
+        "r.doc_id",
+        "r.output_name",
+        F.col("_shared").isNotNull().alias("duplicate_name"),
         "method",
         "r.receipt_number",
         "r.date",
@@ -128,10 +134,49 @@ def sink_json(spark, sf_dir):
         "r.total_amount",
         "r.extraction_confidence",
         "r.validation_passed",
-        F.contains("json", F.lit('"bill_to":null')).alias("null_kept"),
+        F.contains("value", F.lit('"bill_to":null')).alias("null_kept"),
     )
 
 
+@query
+def sink_json(spark, sf_dir):
+    path = shared_folder(spark, "records-json")
+    shared = sinks.sink_json(_records_to_write(spark, sf_dir), path, "stem", tuple(KEY))
+    return _read_back(spark, path, shared)
+
+
+@query
+def sink_export_named(spark, sf_dir):
+    run_time = datetime(2024, 2, 3, 4, 5, 6)
+    folder = shared_folder(spark, "export")
+    path = sinks.sink_export_named(_records_to_write(spark, sf_dir), folder, run_time, "stem", tuple(KEY))
+    shared = spark.read.parquet(f"{path}-shared-names")
+    return _read_back(spark, path, shared).withColumn("export_name", F.lit(path.rpartition("/")[2]))
+
+
+# Confidences of some words are made unusable, huge or missing.
+def _spoiled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod(F.col("row_no"), F.lit(97))
+    conf = F.when(part == 5, None).when(part == 6, float("nan")).when(part == 7, 1e300)
+    text = F.when(part != 8, F.col("text"))
+    known = part.isin(5, 6, 7)
+    return _ocr_words(spark, sf_dir).withColumns(
+        {"conf": F.when(known, conf).otherwise(F.col("conf")), "text": text}
+    )
+
+
+@query
+def word_quarantine(spark, sf_dir):
+    found = words.word_quarantine(_spoiled_words(spark, sf_dir))
+    return found.select("doc_id", "row_no", "text", "error_class")
+
+
+@query
+def confident_spoiled_words(spark, sf_dir):
+    kept = words.confident_words(_spoiled_words(spark, sf_dir))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_words"))
+
+
 # ---- OCR words ---------------------------------------------------------------------
 @query
 def filter_confident_words(spark, sf_dir):
@@ -404,8 +449,7 @@ def parse_entity_total(spark, sf_dir):
 
 @query
 def entities_to_record(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select("doc_id")
-    return _model_records(spark, sf_dir, docs).select(
+    return _model_records(_documents(spark, sf_dir), "doc_id").select(
         "doc_id",
         "method",
         "vendor",
@@ -430,7 +474,7 @@ def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir).withColumn("method", method)
 
     def model(chosen: DataFrame) -> DataFrame:
-        return _model_records(spark, sf_dir, chosen.select(*KEY))
+        return _model_records(chosen, *KEY)
 
     return records.dispatch(docs, model)
 
@@ -445,7 +489,7 @@ def dispatch_method(spark, sf_dir):
 @query
 def complete_from_rules(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    model = _model_records(spark, sf_dir, docs.select("doc_id"))
+    model = _model_records(docs, "doc_id")
     rules = records.structure_records(docs)
     return entities.complete_from_rules(model, rules).select(
         "doc_id",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import posixpath
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Supported extensions in their listing order, case as given.
@@ -27,18 +30,37 @@ def image_manifest(files: DataFrame, folder: str) -> DataFrame:
     Adds stem, extension, its rank in the listing order and a content hash. The
     bytes are hashed where they are read and not carried further.
     """
+    return _hashed(_listed(files, folder))
+
+
+def _directly_in(folder: str) -> Column:
+    """Whether ``path`` is a file directly in the folder, however the folder is spelled.
+
+    The folder may have a scheme, repeated or dotted parts, or be a glob pattern; then the
+    depth of the path decides, as it does for a folder given relative to a working one.
+    """
+    plain = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", folder)
+    plain = posixpath.normpath(plain)
+    path = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*(?=/))?", "")
+    path = F.regexp_replace(path, "//+", "/")
+    if not plain.startswith("/"):
+        inside = F.concat(F.lit(plain + "/"), F.substring_index("path", "/", -1))
+        return F.endswith(path, inside)
+    depth = F.size(F.split(path, "/"))
+    same = depth == len(plain.rstrip("/").split("/")) + 1
+    if re.search(r"[*?\[{]", plain):
+        return same
+    return same & F.startswith(path, F.lit(plain.rstrip("/") + "/"))
+
+
+def _listed(files: DataFrame, folder: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
-    inside = F.concat(F.lit(folder.rstrip("/") + "/"), name)
-    parts = files.withColumns(
-        {
-            "name": name,
-            "ext": F.regexp_extract(name, r"\.([^.]*)$", 1),
-            "sha256": F.sha2("content", 256),
-        }
-    )
-    listed = parts.filter(
-        F.col("ext").isin(*EXTENSIONS) & F.endswith("path", inside)
-    )
+    ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    parts = files.withColumns({"name": name, "ext": ext})
+    return parts.filter(F.col("ext").isin(*EXTENSIONS) & _directly_in(folder))
+
+
+def _hashed(listed: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(e) for e in EXTENSIONS]), F.col("ext"))
     return listed.select(
         "path",
@@ -46,7 +68,7 @@ def image_manifest(files: DataFrame, folder: str) -> DataFrame:
         "ext",
         order.cast("int").alias("ext_rank"),
         "length",
-        "sha256",
+        F.sha2("content", 256).alias("sha256"),
     )
 
 
@@ -54,9 +76,23 @@ def scan_image_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return image_manifest(scan_files(spark, folder), folder)
 
 
-def first_sample(manifest: DataFrame) -> DataFrame:
-    """The first image of a listing (top-1, no full sort)."""
-    return manifest.orderBy("path").limit(1)
+def first_sample(files: DataFrame, folder: str) -> DataFrame:
+    """The first image of a listing; only the chosen file is hashed."""
+    return _hashed(_listed(files, folder).orderBy("path").limit(1))
+
+
+def first_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Path of the first image of a folder; the scan lists files and reads none."""
+    paths = scan_files(spark, folder).select("path")
+    return _listed(paths, folder).select("path").orderBy("path").limit(1)
+
+
+def scan_first_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The first image of a folder: its path goes to the driver, then one file is read."""
+    first = first_path(spark, folder).first()
+    if first is None:
+        return image_manifest(scan_files(spark, folder), folder)
+    return _hashed(_listed(scan_files(spark, first.path), posixpath.dirname(first.path)))
 
 
 def scan_image_checked(spark: SparkSession, folder: str) -> DataFrame:

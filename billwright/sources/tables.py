@@ -44,14 +44,33 @@ def scan_text(
 
 
 def scan_ocr_words(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """OCR word table. Unreadable rows of a tab-separated file keep their raw line."""
+    """OCR word table.
+
+    Tab-separated files are read by the names in their header (all files of a call share
+    one order): further columns don't matter, ``doc_id`` comes from the file's name where
+    the header lacks it (its number, else a hash of the path). A row with a value that
+    can't be read keeps null there and its fields in ``_corrupt_record``.
+    """
     if fmt == "tsv":
-        return (
-            spark.read.schema(f"{WORD_SCHEMA}, {CORRUPT} string")
-            .options(sep="\t", header=True, quote="", mode="PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(path)
-        )
+        raw = spark.read.options(sep="\t", header=True, quote="", mode="PERMISSIVE").csv(path)
+        wanted = dict(part.split() for part in WORD_SCHEMA.split(", "))
+        missing = set(wanted) - set(raw.columns) - {"doc_id"}
+        if missing:
+            raise ValueError(f"the header lacks {sorted(missing)}")
+        file = F.col("_metadata.file_path")
+        stem = F.regexp_extract(file, r"([0-9]+)\.[^/]*$", 1)
+        from_file = F.coalesce(stem.try_cast("long"), F.xxhash64(file))
+        values, unread = [], F.lit(False)
+        for name, kind in wanted.items():
+            if name not in raw.columns:
+                values.append(from_file.alias(name))
+                continue
+            value = F.col(name) if kind == "string" else F.col(name).try_cast(kind)
+            values.append(value.alias(name))
+            if kind != "string":
+                unread = unread | value.isNull()
+        line = F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in raw.columns))
+        return raw.select(*values, F.when(unread, line).alias(CORRUPT))
     return spark.read.schema(WORD_SCHEMA).format(fmt).load(path)
 
 

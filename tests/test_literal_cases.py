@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from billwright.functions.quality import display_money
 from billwright.operators import records as R
 
 RECEIPT = (
-    "\ntan chay yee\n\n*** COPY ***\n\nOJC MARKETING SDN BHD.\n\nROC NO: 538358-H\n\n"
-    "TAX INVOICE\n\nInvoice No: PEGIV-1030765\nDate: 15/01/2019 11:05:16 AM\n\nTOTAL: 193.00\n"
+    "== == ==\nHarbour Lamps SDN BHD\n12 Quay Road\n\nReceipt HL-20417\n"
+    "issued 27-08-2022, counter 3\n\nGrand Total : 84.60\nthank you\n"
 )
 
 CASES = [
@@ -110,8 +112,8 @@ def test_case(results, number):
 def test_whole_receipt(texts):
     df = R.with_amounts(R.with_dates(R.with_quality(R.structure_records(texts([RECEIPT]))), "raw_text"), "raw_text")
     r = df.first()
-    assert (r.dates, r.amounts, r.total_amount) == (["15/01/2019"], [193.0], 193.0)
-    assert (r.vendor_rules, r.receipt_number) == ("OJC MARKETING SDN BHD.", "PEGIV-1030765")
+    assert (r.dates, r.amounts, r.total_amount) == (["27-08-2022"], [84.6], 84.6)
+    assert (r.vendor_rules, r.receipt_number) == ("Harbour Lamps SDN BHD", "HL-20417")
     assert (r.bill_to, r["items"]) == (None, [])
     assert (r.extraction_confidence, r.validation_passed) == (60, False)
     assert (r.format.name, r.format.confidence, r.format.supported) == ("Template A (Retail)", 95.0, True)
@@ -127,8 +129,30 @@ def test_total_without_items_validates(texts):
 def test_quarantine(texts):
     rows = texts([None, "Item\n99999999999999999999 Pen 1.00", "x", ""])
     good, bad = R.split_quarantine(R.structure_records(rows))
-    assert {r.doc_id: r.error_class for r in bad.collect()} == {0: "null_text", 1: "quantity_overflow"}
-    assert {r.doc_id for r in good.collect()} == {2, 3}
+    assert {r.doc_id: r.error_class for r in bad.collect()} == {0: "null_text"}
+    kept = {r.doc_id: r for r in good.collect()}
+    assert set(kept) == {1, 2, 3}
+    assert (kept[1].warning, kept[2].warning) == ("quantity_overflow", None)
+    item = kept[1]["items"][0]
+    assert (item.description, item.quantity, item.total) == ("Pen", None, 1.0)
+
+
+def test_input_columns_stay_and_conditions_come_first(texts):
+    rows = texts(["x", "y"]).selectExpr("doc_id AS _id", "text", "7 AS _corrupt_record", "8 AS _lower")
+    out = R.structure_records(rows, only=F.col("_id") == 1)
+    assert [(r._id, r.raw_text, r._corrupt_record, r._lower) for r in out.collect()] == [(1, "y", 7, 8)]
+
+
+@pytest.mark.parametrize(
+    "value, shown",
+    [(0.125, "$0.12"), (2.675, "$2.67"), (0.375, "$0.38"), (1.115, "$1.11"), (-0.125, "$-0.12"), (1e15, "$1000000000000000.00"),
+     (0.005, "$0.01"), (0.015, "$0.01"), (0.025, "$0.03"), (123456.785, "$123456.79"), (0.0, "$0.00"), (None, "N/A"), (2.999, "$3.00")],
+)
+def test_money_is_rounded_on_the_exact_value(spark, value, shown):
+    row = spark.createDataFrame([(value,)], "v double").select(display_money(F.col("v")).alias("s")).first()
+    assert row.s == shown
+    if value is not None:
+        assert row.s == f"${value:.2f}"
 
 
 def test_full_confidence(texts):

@@ -6,6 +6,7 @@ import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from billwright.operators import records as R
 from billwright.plans.queries import QUERIES
@@ -31,13 +32,24 @@ def test_only_needed_columns_are_read(spark):
     assert "n_chars" not in p
 
 
+def test_conditions_on_keys_reach_the_scan(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = plan(R.structure_records(docs, only=F.col("doc_id") == 5).filter("total_amount > 1"))
+    assert "EqualTo(doc_id,5)" in p and p.count("BALANCE") == 1
+
+
+def test_only_labelled_words_of_a_page_are_shuffled(spark):
+    p = plan(QUERIES["merge_entities"](spark, SF))
+    assert "word_idx" in p and "LessThan(word_idx,512)" in p
+
+
 def test_filters_do_not_repeat_the_extraction(texts):
     p = plan(R.structure_records(texts(["a"])).filter("total_amount > 1 AND bill_to.email IS NOT NULL"))
     assert p.count("billed to|billing name") == 1
     assert p.count("BALANCE") == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"scan_ocr_words", "sink_json", "incremental_ingest", "processed_per_day_stream"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"scan_ocr_words", "sink_json", "sink_export_named", "incremental_ingest", "processed_per_day_stream"}))
 def test_no_query_uses_python_or_cross_joins(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "Python" not in p and "Cartesian" not in p and "BroadcastNestedLoop" not in p

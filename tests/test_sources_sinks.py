@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billwright.operators import records as R
+from billwright.operators import words as W
 from billwright.sources import images, sinks, tables
 from billwright.streaming import ingest
 
@@ -43,7 +44,23 @@ def test_image_manifest(spark, folder):
     rows = images.scan_image_manifest(spark, folder).orderBy("ext_rank", "path").collect()
     assert [(r.stem, r.ext) for r in rows] == [("c", "jpg"), ("b", "png"), ("a", "jpeg")]
     assert all(len(r.sha256) == 64 for r in rows)
-    assert images.first_sample(images.scan_image_manifest(spark, folder)).first().stem == "a"
+    assert images.first_sample(images.scan_files(spark, folder), folder).first().stem == "a"
+
+
+def test_first_sample_reads_one_file(spark, folder, tmp_path):
+    row = images.scan_first_sample(spark, folder).first()
+    assert (row.stem, row.length, len(row.sha256)) == ("a", 12, 64)
+    scan = images.first_path(spark, folder)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<path:string" in scan and "content:binary" not in scan.split("ReadSchema")[-1]
+    (tmp_path / "sub2").mkdir()
+    assert images.scan_first_sample(spark, str(tmp_path / "sub2")).count() == 0
+
+
+def test_spellings_of_a_folder(spark, folder):
+    start, _, last = folder.rpartition("/")
+    for same in (folder + "/", f"{start}//{last}", f"{start}/./{last}", f"{start}/{last[:-1]}?", "file:" + folder, "file://" + folder):
+        rows = images.scan_image_manifest(spark, same).collect()
+        assert sorted(r.stem for r in rows) == ["a", "b", "c"], same
 
 
 def test_image_check(spark, folder):
@@ -79,7 +96,35 @@ def test_scan_ocr_words_keeps_bad_rows(spark, tmp_path):
     rows = tables.scan_ocr_words(spark, str(tmp_path), "tsv").collect()
     good = [r for r in rows if r[tables.CORRUPT] is None]
     assert [(r.text, r.conf, r.height) for r in good] == [('"a', 96.5, 4)]
-    assert [r[tables.CORRUPT] for r in rows if r not in good] == ["1\tx\tb\t9\t1\t2\t3\t4"]
+    bad = [r for r in rows if r not in good]
+    assert [r[tables.CORRUPT] for r in bad] == ["1\tx\tb\t9\t1\t2\t3\t4"]
+    assert (bad[0].row_no, bad[0].text, bad[0].conf) == (None, "b", 9.0)
+
+
+def test_ocr_words_are_read_by_name(spark, tmp_path):
+    head = "level\trow_no\tleft\ttop\twidth\theight\tconf\ttext\n"
+    (tmp_path / "page-31.tsv").write_text(head + "5\t0\t1\t2\t3\t4\t95\t42\n")
+    row = tables.scan_ocr_words(spark, str(tmp_path), "tsv").first()
+    assert (row.doc_id, row.row_no, row.text, row.conf, row.height, row[tables.CORRUPT]) == (31, 0, "42", 95.0, 4, None)
+    (tmp_path / "page-31.tsv").write_text("row_no\ttext\n1\tx\n")
+    with pytest.raises(ValueError, match="header lacks"):
+        tables.scan_ocr_words(spark, str(tmp_path), "tsv")
+
+
+def test_unusable_words_have_a_reason(spark):
+    rows = [(1, 0, "a", None, 1), (1, 1, "b", float("nan"), 1), (1, 2, "c", 1e300, 1), (1, 3, None, 99.0, 1), (1, 4, "d", 60.9, 1),
+            (1, 5, "e", 61.0, 2**31 - 1), (1, 6, "f", float("inf"), 1)]
+    words = spark.createDataFrame(rows, "doc_id long, row_no int, text string, conf double, left int").selectExpr(
+        "*", "1 AS top", "5 AS width", "6 AS height"
+    )
+    kept = W.filter_confident_words(words)
+    assert sorted(r.text for r in kept.collect()) == ["c", "e"]
+    reasons = {r.row_no: r.error_class for r in W.word_quarantine(words).collect()}
+    assert reasons == {0: "no_confidence", 1: "bad_confidence", 3: "no_text", 6: "bad_confidence"}
+    sizes = spark.createDataFrame([(1, 1, 1)], "doc_id long, width int, height int")
+    boxes = {r.text: r for r in W.normalize_boxes(W.word_boxes(kept), sizes).collect()}
+    assert boxes["c"].error_class is None and tuple(boxes["c"].norm_box) == (1000, 1000, 6000, 7000)
+    assert (boxes["e"].norm_box, boxes["e"].error_class) == (None, "box_out_of_range")
 
 
 def test_user_step(spark, texts):
@@ -103,7 +148,8 @@ def test_json_output(spark, texts, tmp_path):
     lines = [r.value for r in spark.read.text(f"{path}/method=rules").collect()]
     out = {json.loads(line)["raw_text"]: json.loads(line) for line in lines}
     first = out["Café GmbH\nItem\n2 Pen 1.00\nTotal 1.00"]
-    assert list(first) == list(R.RULE_FIELDS)
+    assert list(first) == ["doc_id", "output_name", *R.RULE_FIELDS]
+    assert (first["doc_id"], first["output_name"]) == (0, "0_rules.json")
     assert first["bill_to"] is None and first["total_amount"] == 1.0
     assert first["items"] == [{"description": "Pen", "quantity": 2, "unit_price": 2.0, "total": 1.0}]
     assert any("Café" in line for line in lines)
@@ -111,10 +157,16 @@ def test_json_output(spark, texts, tmp_path):
 
 def test_output_names(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "stem string").withColumn("method", F.lit("ml"))
-    out = sinks.mark_shared_names(sinks.with_output_name(df, "stem")).collect()
-    assert sorted((r.output_name, r.duplicate_name) for r in out) == [
-        ("a_ml.json", True), ("a_ml.json", True), ("b_ml.json", False)
-    ]
+    out = sinks.shared_names(sinks.with_output_name(df, "stem")).collect()
+    assert [(r.output_name, r.records) for r in out] == [("a_ml.json", 2)]
+
+
+def test_records_of_no_method_are_rejected(spark, texts, tmp_path):
+    records = R.structure_records(texts(["a", "b"])).withColumn("method", F.expr("IF(doc_id = 1, 'auto', method)"))
+    shared = sinks.sink_json(records, str(tmp_path / "out"))
+    assert shared.count() == 0
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/method=rejected")).collect()]
+    assert lines == [{"doc_id": 1, "output_name": "1_auto.json"}]
 
 
 def test_stream_equals_batch(spark, texts, tmp_path):
