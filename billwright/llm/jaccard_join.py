@@ -43,8 +43,8 @@ LARGEST_LIGHT = 40
 #: Members of a list that are compared in one go; longer lists are cut into such blocks.
 UNIT = 1000
 ROWS_PER_TASK = 20_000
-#: Pairs of two components that a unit gives in the first round; each later round gives 16
-#: times as many, and rounds go on until none is left.
+#: A unit first gives a spanning forest of its components; in the next round, so many pairs of
+#: each two components that are still apart, then 16 times as many, until none is left.
 FIRST_CLOSEST = 50
 WORDS_REMEMBERED = 500_000
 #: Node lists (under 50 bytes a row) are broadcast up to so many rows, counted first; longer
@@ -383,7 +383,8 @@ def components(links: DataFrame) -> DataFrame:
 def _split_pairs(members: DataFrame, tested: DataFrame, closest: int) -> DataFrame:
     """Allowed pairs of different components in the same list that are not yet tested.
 
-    Of each two components in a unit, the ``closest`` pairs; the caller comes back for the rest.
+    Of each two components in a unit, the ``closest`` pairs; with 0, a spanning forest of a
+    unit's components (closest pairs first). The caller comes back for the rest.
 
     ``members`` has (key, node, n, sketch, root, place, members): ``place`` is the row's
     number in its list. Lists longer than UNIT are compared block against block; the units
@@ -406,8 +407,12 @@ def _split_pairs(members: DataFrame, tested: DataFrame, closest: int) -> DataFra
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         pairs: set[tuple[bytes, bytes]] = set()
         for (_, low, high), unit in frame.groupby(["key", "low", "high"], sort=False):
-            for found in _compared(unit, low, high).values():
-                pairs.update((a, b) for _, a, b in heapq.nsmallest(closest, found))
+            found = _compared(unit, low, high)
+            if closest:
+                for near in found.values():
+                    pairs.update((a, b) for _, a, b in heapq.nsmallest(closest, near))
+            else:
+                pairs.update(_forest(found))
         return pd.DataFrame(list(pairs), columns=["u", "v"])
 
     return dealt.groupBy("task").applyInPandas(compare, "u binary, v binary").distinct()
@@ -444,6 +449,22 @@ def _compared(unit: pd.DataFrame, low: int, high: int) -> dict[tuple, list]:
     return pairs
 
 
+def _forest(found: dict[tuple, list]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs that join all components with allowed pairs, the closest ones first."""
+    parent: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for (_, a, b), roots in sorted((min(near), roots) for roots, near in found.items()):
+        one, two = (top(r) for r in roots)
+        if one != two:
+            parent[max(one, two)] = min(one, two)
+            yield a, b
+
+
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: (key, n_shingles, component_id).
 
@@ -486,7 +507,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     star = lists.filter("place > 1").select(F.col("first").alias("u"), F.col("node").alias("v"))
     star = stored(_close_pairs(star.distinct(), nodes), "star-pairs")
     links = stored(_linked(star, texts).unionByName(light), "star-links")
-    tested, closest = star, FIRST_CLOSEST
+    tested, closest = star, 0
     while True:
         parts = stored(components(links), "components")
         named_lists = lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -498,7 +519,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         if pairs.isEmpty():
             break
         links = stored(links.unionByName(_linked(pairs, texts)), "links-so-far")
-        tested, closest = tested.unionByName(pairs), closest * 16
+        tested, closest = tested.unionByName(pairs), max(FIRST_CLOSEST, closest * 16)
     smallest = (
         classes.select("node", "first_doc")
         .join(parts, "node")
