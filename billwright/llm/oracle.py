@@ -1,3 +1,96 @@
-"""DuckDB twins of the registered queries that SQL can express."""
+"""DuckDB twins of the registered queries that SQL can express.
+
+The others are checked in ``tests/llm`` against brute force, a library or a round trip: quantile
+sketches, mixture weights, merges, region scans and archives have no SQL form.
+"""
+
+from billwright.llm.url_filter import (
+    CAPITALS,
+    LEAST_SPREAD,
+    MOST_SPREAD,
+    TWO_LABEL_SUFFIXES,
+)
 
 ORACLE: dict[str, str] = {}
+
+_LOWER = f"'{CAPITALS}', '{CAPITALS.lower()}'"
+_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+
+
+def _level(name: str, keys: str, source: str, prior: str) -> str:
+    """CTEs of one level: its groups, its prior strength and its posterior."""
+    return f"""
+{name}_groups AS (SELECT g.*, {prior}),
+{name}_strength AS (
+  SELECT 1 / least(greatest(coalesce((sum(n * pow(k / n - prior, 2)) - sum(prior * (1 - prior)))
+    / nullif(sum(prior * (1 - prior) * (n - 1)), 0), {LEAST_SPREAD}), {LEAST_SPREAD}), {MOST_SPREAD}) - 1 AS s
+  FROM {name}_groups WHERE n > 0),
+{name}_posterior AS (SELECT {keys}, (prior * s + k) / (n + s) AS mean, n + s AS weight FROM {name}_groups, {name}_strength)"""
+
+
+ORACLE["op1_url_filter"] = rf"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+outcomes AS (SELECT page_id, host, (quality = 0 OR toxic = 1) AS bad FROM parsed
+  JOIN labels ON labels.doc_id = try_cast(regexp_extract(path, '/(\d+)[^/]*/?$', 1) AS BIGINT)),
+counted AS (SELECT host, count(o.bad) AS n, count(CASE WHEN o.bad THEN 1 END) AS k
+  FROM (SELECT DISTINCT host FROM parsed) h LEFT JOIN outcomes o USING (host) GROUP BY host),
+labelled AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), '(:\d*|\.+)$', ''), '.') AS parts FROM counted),
+hosts AS (SELECT host, n, k, array_to_string(parts[-(CASE WHEN two THEN 3 ELSE 2 END):], '.') AS domain,
+    CASE WHEN two THEN last_two ELSE parts[-1] END AS suffix
+  FROM (SELECT *, array_to_string(parts[-2:], '.') AS last_two, len(parts) > 1 AND array_to_string(parts[-2:], '.') IN ({_TWO}) AS two FROM labelled)),
+root AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean FROM hosts),
+{_level("suffix", "suffix", "", "root.mean AS prior FROM (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix) g, root")},
+{_level("domain", "domain, suffix", "", "p.mean AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix) g JOIN suffix_posterior p USING (suffix)")},
+{_level("host", "host", "", "p.mean AS prior FROM hosts g JOIN domain_posterior p ON g.domain = p.domain AND g.suffix = p.suffix")},
+fits AS (SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL OR mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.25 THEN 'block' ELSE 'allow' END AS verdict
+FROM fits JOIN host_posterior USING (host)"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op2_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, pos, pos + 9), ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+runs AS (SELECT doc_id, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos
+        FROM docs, (SELECT DISTINCT size FROM phrases) WHERE len(w) >= size)),
+found AS (SELECT DISTINCT r.doc_id, r.pos, r.size, p.item_id FROM runs r JOIN phrases p ON r.size = p.size AND r.phrase = p.phrase),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM
+  (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM
+  (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+ORACLE["op5_jaccard_join"] = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 2), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS pos FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.u = d.doc_id"""
+
+ORACLE["op7_chat_format"] = """
+WITH turns AS (SELECT conv_id, turn, role, text, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg(role || chr(1) || text || chr(2), '') OVER w AS prefix
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+wholes AS (SELECT prefix, min(conv_id) AS conv_id, max(n) AS n_turns, count(*) AS n_copies FROM turns WHERE place = n GROUP BY prefix),
+kept AS (SELECT * FROM wholes WHERE prefix NOT IN (SELECT prefix FROM turns WHERE place < n))
+SELECT conv_id, cast(n_turns AS int) AS n_turns, n_copies,
+  string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
+FROM kept JOIN conversations USING (conv_id) GROUP BY conv_id, n_turns, n_copies"""
