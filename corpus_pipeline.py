@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billwright.llm import byte_bpe, decontaminate, jaccard_join, quality_rules
-from billwright.session import shared_folder, stored
+from billwright.session import shared_folder, ship_package, stored
 
 #: Ids of kept documents are broadcast up to so many rows of 8 bytes (counted first); beyond
 #: it they meet the documents in a shuffle.
@@ -27,6 +27,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows that repeat an id and a text count as one document.
     """
+    ship_package(spark)
     linked = jaccard_join.linked_components(docs)
     first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = stored(first.groupBy("doc_id").agg(F.count("*").alias("__rows")), "first-documents")
@@ -50,6 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
+    ship_package(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kept = [c for c in docs.columns if c != "text"]
     source = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
