@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ SETTINGS = {
 }
 
 FOLDER_KEY = "spark.billwright.sessionFolder"
+SHIPPED_KEY = "spark.billwright.shipped"
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +31,24 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per session, for functions that run in Python there.
+
+    A job submitted with the package (``--py-files``) has it anyway; this serves sessions
+    that were started without it.
+    """
+    application = spark.sparkContext.applicationId
+    if spark.conf.get(SHIPPED_KEY, None) == application:
+        return
+    package = Path(__file__).parent
+    archive = f"{tempfile.mkdtemp(prefix='billwright-')}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set(SHIPPED_KEY, application)
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` that the driver and all executors share.
 
