@@ -464,6 +464,23 @@ SELECT corpus, doc_id, CASE WHEN contains(text, 'SDN BHD') THEN '• Extraction
   ELSE '• Results may be incomplete.|• Consider adding patterns for this format.' END AS recommendations
 FROM corpus_text""",
 )
+CTES["shown"] = """
+SELECT corpus, doc_id, method, coalesce(nullif(vendor, ''), 'N/A') AS show_vendor, coalesce(nullif(address, ''), 'N/A') AS show_address,
+  coalesce(nullif(receipt_number, ''), 'N/A') AS show_receipt_number, coalesce(nullif(date, ''), 'N/A') AS show_date,
+  coalesce(printf('$%.2f', total_amount), 'N/A') AS show_total, coalesce(bill_to_name, 'N/A') AS show_bill_to,
+  CASE WHEN confidence >= 80 THEN 'High' WHEN confidence >= 50 THEN 'Medium' ELSE 'Low' END AS confidence_tier, passed AS validation_status
+FROM (
+  SELECT 'documents' AS corpus, doc_id, 'ml' AS method, vendor, address, NULL AS receipt_number, date, total_amount,
+    NULL AS bill_to_name, 0 AS confidence, false AS passed
+  FROM model_records WHERE doc_id % 101 <> 100 AND error_class IS NULL
+  UNION ALL
+  SELECT corpus, doc_id, 'rules', NULL, NULL, receipt_number, date, total_amount, bill_to_name, extraction_confidence, validation_passed
+  FROM records WHERE corpus = 'invoices' AND doc_id % 101 <> 100)"""
+oracle("display_both_methods", "SELECT * FROM shown")
+oracle(
+    "quality_of_both_methods",
+    "SELECT method, confidence_tier, validation_status, count(*) AS documents FROM shown GROUP BY ALL",
+)
 oracle("confidence_tier", "SELECT corpus, doc_id, confidence_tier FROM rated")
 oracle(
     "validation_status",
@@ -576,6 +593,12 @@ FROM (
 )
 
 # ---- Streams -------------------------------------------------------------------------------------
+oracle(
+    "ingest_without_repeats",
+    """
+SELECT d.doc_id, 1 AS records, r.date FROM documents d
+LEFT JOIN (SELECT * FROM records WHERE corpus = 'documents') r ON r.doc_id = d.doc_id""",
+)
 oracle(
     "incremental_ingest",
     """

@@ -486,6 +486,34 @@ def dispatch_method(spark, sf_dir):
     )
 
 
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good records of both methods, with tier, status and the text shown for each field."""
+    good = records.split_quarantine(_dispatched(spark, sf_dir))[0]
+    return records.with_display(records.with_quality(good))
+
+
+@query
+def display_both_methods(spark, sf_dir):
+    return _shown(spark, sf_dir).select(
+        *KEY,
+        "method",
+        "show_vendor",
+        "show_address",
+        "show_receipt_number",
+        "show_date",
+        "show_total",
+        "show_bill_to",
+        "confidence_tier",
+        "validation_status",
+    )
+
+
+@query
+def quality_of_both_methods(spark, sf_dir):
+    rows = _shown(spark, sf_dir).groupBy("method", "confidence_tier", "validation_status")
+    return rows.agg(F.count("*").alias("documents"))
+
+
 @query
 def complete_from_rules(spark, sf_dir):
     docs = _documents(spark, sf_dir)
@@ -551,6 +579,23 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataF
     return ingest.stream_table(spark, sf_dir, ddl, f"{name}.parquet")
 
 
+@query
+def ingest_without_repeats(spark, sf_dir):
+    """Two runs of a stream; the second one brings a tenth of the first one's texts again."""
+    landing, output, checkpoint = (shared_folder(spark, f"repeats-{n}") for n in ("in", "out", "state"))
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", "text", F.to_timestamp(F.lit("2024-01-01 10:00:00")).alias("ingest_ts")
+    )
+    schema = "doc_id long, text string, ingest_ts timestamp"
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 20 = 0"):
+        docs.filter(part).write.mode("append").parquet(landing)
+        stream = ingest.stream_table(spark, landing, schema)
+        once = ingest.drop_repeats(stream, ["doc_id"], "ingest_ts", "1 hour")
+        ingest.incremental_ingest(once, output, checkpoint).awaitTermination()
+    found = spark.read.parquet(output).groupBy("doc_id")
+    return found.agg(F.count("*").alias("records"), F.max("date").alias("date"))
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     orders = _stream(

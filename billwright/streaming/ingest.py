@@ -29,6 +29,16 @@ def drop_repeats(docs: DataFrame, key: list[str], ts: str, within: str) -> DataF
     return docs.withWatermark(ts, within).dropDuplicatesWithinWatermark(key)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished run's watermarks left out, counted over its stateful steps.
+
+    A watermark is how late a row may come; rows later than that are no part of the result,
+    and this is their number.
+    """
+    steps = [s for p in query.recentProgress for s in p["stateOperators"]]
+    return sum(s["numRowsDroppedByWatermark"] for s in steps)
+
+
 def _write_batches(
     output: str, prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:

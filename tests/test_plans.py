@@ -49,7 +49,7 @@ def test_filters_do_not_repeat_the_extraction(texts):
     assert p.count("BALANCE") == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"scan_ocr_words", "sink_json", "sink_export_named", "incremental_ingest", "processed_per_day_stream"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"scan_ocr_words", "sink_json", "sink_export_named", "incremental_ingest", "ingest_without_repeats", "processed_per_day_stream"}))
 def test_no_query_uses_python_or_cross_joins(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "Python" not in p and "Cartesian" not in p and "BroadcastNestedLoop" not in p

@@ -205,3 +205,19 @@ def test_daily_counts_over_two_runs(spark, tmp_path):
         ingest.daily_counts(stream, out, state, "ingest_ts", "2 days").awaitTermination()
     got = {str(r.day): r.documents for r in ingest.latest_daily_counts(spark, out).collect()}
     assert got == {"2024-01-01 00:00:00": 2, "2024-01-02 00:00:00": 1}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "doc_id long, ingest_ts timestamp"
+    days = [(1, datetime(2024, 1, 9, 1)), (2, datetime(2024, 1, 10, 1)), (3, datetime(2024, 1, 2, 1))]
+    late = []
+    for part in (days[:2], days[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = ingest.stream_table(spark, landing, schema)
+        query = ingest.daily_counts(stream, out, state, "ingest_ts", "2 days")
+        query.awaitTermination()
+        late.append(ingest.late_rows(query))
+    got = {str(r.day)[:10]: r.documents for r in ingest.latest_daily_counts(spark, out).collect()}
+    assert got == {"2024-01-09": 1, "2024-01-10": 1}
+    assert late == [0, 1]
