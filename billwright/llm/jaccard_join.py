@@ -380,7 +380,9 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _split_pairs(members: DataFrame, tested: DataFrame, closest: int) -> DataFrame:
+def _split_pairs(
+    members: DataFrame, tested: DataFrame, closest: int, tasks: int
+) -> DataFrame:
     """Allowed pairs of different components in the same list that are not yet tested.
 
     Of each two components in a unit, the ``closest`` pairs; with 0, a spanning forest of a
@@ -400,9 +402,7 @@ def _split_pairs(members: DataFrame, tested: DataFrame, closest: int) -> DataFra
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    dealt = stored(dealt.drop("place", "members", "other"), "list-units")
-    tasks = max(1, math.ceil(dealt.count() / ROWS_PER_TASK))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
+    dealt = dealt.drop("place", "members", "other").withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         pairs: set[tuple[bytes, bytes]] = set()
@@ -504,6 +504,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .filter("members > 1")
     )
     lists = stored(lists, "block-lists")
+    rows = lists.agg(F.sum(F.ceil(F.col("members") / UNIT))).first()[0] or 0
+    tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
     star = lists.filter("place > 1").select(F.col("first").alias("u"), F.col("node").alias("v"))
     star = stored(_close_pairs(star.distinct(), nodes), "star-pairs")
     links = stored(_linked(star, texts).unionByName(light), "star-links")
@@ -515,10 +517,12 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             "high", F.max("root").over(whole)
         )
         members = mixed.filter("low != high").drop("low", "high", "first").join(nodes, "node")
-        pairs = stored(_split_pairs(members, tested, closest), "split-pairs")
+        pairs = stored(_split_pairs(members, tested, closest, tasks), "split-pairs")
         if pairs.isEmpty():
             break
-        links = stored(links.unionByName(_linked(pairs, texts)), "links-so-far")
+        # the links found so far come down to their stars
+        stars = parts.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        links = stored(stars.unionByName(_linked(pairs, texts)), "links-so-far")
         tested, closest = tested.unionByName(pairs), max(FIRST_CLOSEST, closest * 16)
     smallest = (
         classes.select("node", "first_doc")
