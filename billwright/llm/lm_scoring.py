@@ -38,7 +38,7 @@ END = xxhash.xxh3_64_intdigest(b" end")
 #: Context-frequency classes: 0, 1, 2-3, 4-7, ... ; the last takes all larger ones.
 CLASSES = 40
 #: Log-probabilities are tallied for the expectation step in steps of 1/STEPS of a power of e.
-STEPS = 16
+STEPS = 8
 ROUNDS = 60
 #: Share of each weight that is spread evenly, so that no weight is zero.
 EVEN = 1e-4
@@ -233,7 +233,7 @@ def learned_weights(tallies: dict[tuple[int, int, int], int], uniform: float) ->
     """Weights (class, [bigram, unigram, uniform]) by expectation-maximisation.
 
     ``tallies`` counts held-out tokens by context class and by the stepped logarithms of
-    their bigram and unigram estimates (None-like -1 stands for zero). Classes without
+    their bigram and unigram estimates (-1 stands for zero). Classes without
     tokens take the weights of all classes together.
     """
     rows = np.array([(*k, n) for k, n in tallies.items()], np.int64).reshape(-1, 4)
