@@ -19,6 +19,8 @@ def _dialect(sql: str) -> str:
 _ITEM_CENTS = src._ITEM_CENTS
 
 # ---- Common table expressions ------------------------------------------------------
+# The regular expressions, key words, message texts and limits in the SQL below
+# define the results and are those of functions/fields.py and functions/quality.py.
 CTES: dict[str, str] = {}
 
 CTES["inv0"] = f"""
