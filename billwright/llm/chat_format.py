@@ -83,7 +83,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit(UNKNOWN_ROLE))
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |"))
     shown = F.concat(F.lit(OPEN), role, F.lit(CLOSE + "\n"), text, F.lit("\n" + END + "\n"))
-    message = F.struct("turn", "role", _turn_hash(1).alias("t1"), _turn_hash(2).alias("t2"), shown.alias("shown"))
+    hashes = (_turn_hash(1).alias("t1"), _turn_hash(2).alias("t2"))
+    message = F.struct("turn", "role", *hashes, shown.alias("shown"))
     lines = F.transform(F.array_sort(F.collect_set("__message")), lambda m: m["shown"])
     return (
         turns.select("conv_id", message.alias("__message"))

@@ -402,7 +402,8 @@ def _split_pairs(
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    dealt = dealt.drop("place", "members", "other").withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)))
+    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks))
+    dealt = dealt.drop("place", "members", "other").withColumn("task", task)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         pairs: set[tuple[bytes, bytes]] = set()
