@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces remembered by one Python worker; a full table is emptied. Bounds memory only.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 64
 #: Rows handed to Arrow at once hold about so many ids at most (a longer text goes alone).
 IDS_PER_BATCH = 1_000_000

@@ -46,7 +46,7 @@ ROWS_PER_TASK = 20_000
 #: A unit first gives a spanning forest of its components; in the next round, so many pairs of
 #: each two components that are still apart, then 16 times as many, until none is left.
 FIRST_CLOSEST = 50
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
 #: Node lists (under 50 bytes a row) are broadcast up to so many rows, counted first; longer
 #: ones meet the texts in a shuffle.
 BROADCAST_ROWS = 400_000

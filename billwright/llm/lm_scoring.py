@@ -31,7 +31,7 @@ from billwright.session import stored
 
 CHUNK_TOKENS = 2_000_000
 SHARD_TOKENS = 2_000_000
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
 #: Hashes of the text's begin and end: of strings with a blank, so of no word.
 BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 END = xxhash.xxh3_64_intdigest(b" end")
