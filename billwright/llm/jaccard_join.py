@@ -20,6 +20,7 @@ import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -32,9 +33,6 @@ from pyspark.sql import functions as F
 
 from billwright.session import stored
 
-NGRAM = 3
-#: Least similarity: NUMERATOR * union <= DENOMINATOR * intersection.
-NUMERATOR, DENOMINATOR = 9, 10
 #: Classes of set sizes grow by this factor; a class shares its number of blocks.
 CLASS_FACTOR = 1.5
 #: Blocks per element that a pair may differ in; above 1, so that empty blocks don't matter.
@@ -54,18 +52,43 @@ BROADCAST_ROWS = 400_000
 SET_SCHEMA = "doc_id long, n_shingles long, node binary, sketch binary, lists array<long>"
 
 
-def least_overlap(a: int, b: int) -> int:
+@dataclass(frozen=True)
+class Measure:
+    """N-grams of ``ngram`` words; linked sets have numerator * union <= denominator *
+    intersection.
+
+    The least similarity is above 1 / CLASS_FACTOR, so that linked sets are at most one class
+    apart.
+    """
+
+    ngram: int = 3
+    numerator: int = 9
+    denominator: int = 10
+
+    def __post_init__(self):
+        if self.ngram < 1 or not self.denominator < CLASS_FACTOR * self.numerator:
+            raise ValueError(f"least similarity must exceed 1 / {CLASS_FACTOR}, n-grams need a word")
+        if self.numerator > self.denominator:
+            raise ValueError("least similarity must not exceed 1")
+
+
+#: Fixed values of ``op5_jaccard_join``.
+TRIGRAMS = Measure()
+
+
+def least_overlap(a: int, b: int, measure: Measure = TRIGRAMS) -> int:
     """Fewest common elements of linked sets of sizes a and b."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+    return -(-measure.numerator * (a + b) // (measure.numerator + measure.denominator))
 
 
-def most_apart(a, b):
+def most_apart(a, b, measure: Measure = TRIGRAMS):
     """Most differing elements of linked sets of sizes a and b (numbers or arrays)."""
-    return (DENOMINATOR - NUMERATOR) * (a + b) // (NUMERATOR + DENOMINATOR)
+    apart = measure.denominator - measure.numerator
+    return apart * (a + b) // (measure.numerator + measure.denominator)
 
 
-def largest_partner(n: int) -> int:
-    return DENOMINATOR * n // NUMERATOR
+def largest_partner(n: int, measure: Measure = TRIGRAMS) -> int:
+    return measure.denominator * n // measure.numerator
 
 
 @lru_cache(maxsize=200_000)
@@ -79,40 +102,42 @@ def size_class(n: int) -> int:
 
 
 @lru_cache(maxsize=10_000)
-def blocks_of(k: int) -> int:
+def blocks_of(k: int, measure: Measure = TRIGRAMS) -> int:
     largest = math.ceil(CLASS_FACTOR ** (k + 1)) - 1
-    return int(SPARE * most_apart(largest, largest)) + 2
+    return int(SPARE * most_apart(largest, largest, measure)) + 2
 
 
 @lru_cache(maxsize=1000)
-def light_pairs(n: int, boundary: int) -> tuple[tuple[int, int, int], ...]:
+def light_pairs(
+    n: int, boundary: int, measure: Measure = TRIGRAMS
+) -> tuple[tuple[int, int, int], ...]:
     """(smaller size, larger size, overlap) of the linkable pairs of a light set of size n."""
     pairs = []
     for other in range(1, boundary + 1):
         a, b = min(n, other), max(n, other)
-        if least_overlap(a, b) <= a:
-            pairs.append((a, b, least_overlap(a, b)))
+        if least_overlap(a, b, measure) <= a:
+            pairs.append((a, b, least_overlap(a, b, measure)))
     return tuple(pairs)
 
 
-def light_rows(n: int, boundary: int) -> int:
-    return sum(math.comb(n, c) for _, _, c in light_pairs(n, boundary))
+def light_rows(n: int, boundary: int, measure: Measure = TRIGRAMS) -> int:
+    return sum(math.comb(n, c) for _, _, c in light_pairs(n, boundary, measure))
 
 
-def heavy_rows(n: int) -> int:
+def heavy_rows(n: int, measure: Measure = TRIGRAMS) -> int:
     """List rows of a heavy set, and the elements to send for an exact check."""
-    classes = {size_class(n), size_class(largest_partner(n))}
-    return sum(blocks_of(k) for k in classes) + n
+    classes = {size_class(n), size_class(largest_partner(n, measure))}
+    return sum(blocks_of(k, measure) for k in classes) + n
 
 
-def boundary_of(sizes: dict[int, int]) -> int:
+def boundary_of(sizes: dict[int, int], measure: Measure = TRIGRAMS) -> int:
     """Largest light size: the one that makes the fewest rows for so many sets by size."""
 
     def cost(boundary: int) -> int:
         total = 0
         for n, count in sizes.items():
-            total += count * light_rows(n, boundary) if n <= boundary else 0
-            total += count * heavy_rows(n) if largest_partner(n) > boundary else 0
+            total += count * light_rows(n, boundary, measure) if n <= boundary else 0
+            total += count * heavy_rows(n, measure) if largest_partner(n, measure) > boundary else 0
         return total
 
     return min(range(LARGEST_LIGHT + 1), key=cost)
@@ -130,7 +155,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the distinct n-grams of a text's words; remembers word hashes."""
 
-    def __init__(self):
+    def __init__(self, ngram: int = TRIGRAMS.ngram):
+        self.ngram = ngram
         self.known: dict[bytes, int] = {}
 
     def hashes(self, text: str | None) -> np.ndarray:
@@ -146,7 +172,7 @@ class Shingler:
                     known.clear()
                 value = known[word] = xxhash.xxh3_64_intdigest(word)
             hashes[at] = value
-        size = min(NGRAM, len(words))
+        size = min(self.ngram, len(words))
         total = _mixed(hashes[: len(words) - size + 1] + np.uint64(size))
         for k in range(1, size):
             total = _mixed(total + hashes[k : len(words) - size + 1 + k])
@@ -161,7 +187,7 @@ def odd_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(parity, bitorder="little").tobytes()
 
 
-def block_lists(hashes: np.ndarray) -> list[int]:
+def block_lists(hashes: np.ndarray, measure: Measure = TRIGRAMS) -> list[int]:
     """Keys of the inverted lists that a heavy set stands in.
 
     Linked sets differ in fewer elements than there are blocks, so a block is equal in both.
@@ -170,9 +196,10 @@ def block_lists(hashes: np.ndarray) -> list[int]:
     """
     size, keys = len(hashes), []
     content = _mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15))
-    apart = most_apart(size, largest_partner(size))
-    for k in sorted({size_class(size), size_class(largest_partner(size))}):
-        blocks = blocks_of(k)
+    partner = largest_partner(size, measure)
+    apart = most_apart(size, partner, measure)
+    for k in sorted({size_class(size), size_class(partner)}):
+        blocks = blocks_of(k, measure)
         places = (hashes % np.uint64(blocks)).astype(np.int64)
         sums = np.zeros(blocks, np.uint64)
         np.add.at(sums, places, content)
@@ -184,11 +211,13 @@ def block_lists(hashes: np.ndarray) -> list[int]:
     return keys
 
 
-def subset_lists(hashes: np.ndarray, boundary: int) -> tuple[list[int], list[int], list[int]]:
+def subset_lists(
+    hashes: np.ndarray, boundary: int, measure: Measure = TRIGRAMS
+) -> tuple[list[int], list[int], list[int]]:
     """Keys of the subsets that a light set enumerates, with the two sizes each is for."""
     keys, smaller, larger = [], [], []
     values = hashes.tolist()
-    for a, b, overlap in light_pairs(len(values), boundary):
+    for a, b, overlap in light_pairs(len(values), boundary, measure):
         for subset in combinations(values, overlap):
             data = np.array([a, b, *subset], np.uint64).tobytes()
             keys.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
@@ -197,11 +226,13 @@ def subset_lists(hashes: np.ndarray, boundary: int) -> tuple[list[int], list[int
     return keys, smaller, larger
 
 
-def node_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def node_sets(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
+) -> DataFrame:
     """(doc_id, n_shingles, node, sketch, lists): a row per document, without texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(measure.ngram)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -211,7 +242,7 @@ def node_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     sizes.append(len(hashes))
                     nodes.append(_node_of(hashes))
                     sketches.append(odd_sketch(hashes) if len(hashes) else None)
-                    lists.append(block_lists(hashes) if len(hashes) else [])
+                    lists.append(block_lists(hashes, measure) if len(hashes) else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(key).cast(pa.int64()),
@@ -243,17 +274,17 @@ def _node_of(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
-def _light_links(texts: DataFrame, boundary: int) -> DataFrame:
+def _light_links(texts: DataFrame, boundary: int, measure: Measure) -> DataFrame:
     """Links (u, v) among light nodes; ``texts`` has (node, text) of those."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(measure.ngram)
         for batch in batches:
             for node, value in zip(batch.column("node"), batch.column("text"), strict=True):
                 hashes = shingler.hashes(value.as_py())
                 if _node_of(hashes) != node.as_py():
                     continue
-                keys, smaller, larger = subset_lists(hashes, boundary)
+                keys, smaller, larger = subset_lists(hashes, boundary, measure)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([node.as_py()] * len(keys), pa.binary()),
@@ -279,19 +310,20 @@ def _light_links(texts: DataFrame, boundary: int) -> DataFrame:
     return pairs.filter("u != v").distinct()
 
 
-def _close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _close_pairs(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (u, v) whose sizes and sketches allow a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n", "sketch", "m", "sketch_v")]
-            keep = [_allowed(*row) for row in zip(*columns, strict=True)]
+            keep = [_allowed(*row, measure) for row in zip(*columns, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     one = nodes.select(F.col("node").alias("u"), "n", "sketch")
     two = nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("sketch_v"))
     both = pairs.join(one, "u").join(two, "v")
-    most = F.floor((F.col("n") + F.col("m")) * (DENOMINATOR - NUMERATOR) / (NUMERATOR + DENOMINATOR))
+    both_sides = measure.numerator + measure.denominator
+    most = F.floor((F.col("n") + F.col("m")) * (measure.denominator - measure.numerator) / both_sides)
     both = both.filter(F.abs(F.col("n") - F.col("m")) <= most)
     return both.mapInArrow(near, "u binary, v binary")
 
@@ -303,20 +335,20 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return bits
 
 
-def _allowed(n: int, one: bytes, m: int, two: bytes) -> bool:
+def _allowed(n: int, one: bytes, m: int, two: bytes, measure: Measure) -> bool:
     size = min(len(one), len(two))
     apart = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
-    return apart <= most_apart(n, m)
+    return apart <= most_apart(n, m, measure)
 
 
-def _linked(pairs: DataFrame, texts) -> DataFrame:
+def _linked(pairs: DataFrame, texts, measure: Measure) -> DataFrame:
     """The pairs (u, v) that are links, checked on the whole sets.
 
     ``texts`` makes (node, text) of a table of nodes. Only sets of nodes in pairs are sent.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(measure.ngram)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -335,7 +367,7 @@ def _linked(pairs: DataFrame, texts) -> DataFrame:
                 a = np.frombuffer(one.as_py(), np.uint64)
                 b = np.frombuffer(two.as_py(), np.uint64)
                 common = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(common >= least_overlap(len(a), len(b)))
+                keep.append(common >= least_overlap(len(a), len(b), measure))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -381,7 +413,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _split_pairs(
-    members: DataFrame, tested: DataFrame, closest: int, tasks: int
+    members: DataFrame, tested: DataFrame, closest: int, tasks: int, measure: Measure
 ) -> DataFrame:
     """Allowed pairs of different components in the same list that are not yet tested.
 
@@ -408,7 +440,7 @@ def _split_pairs(
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         pairs: set[tuple[bytes, bytes]] = set()
         for (_, low, high), unit in frame.groupby(["key", "low", "high"], sort=False):
-            found = _compared(unit, low, high)
+            found = _compared(unit, low, high, measure)
             if closest:
                 for near in found.values():
                     pairs.update((a, b) for _, a, b in heapq.nsmallest(closest, near))
@@ -419,7 +451,7 @@ def _split_pairs(
     return dealt.groupBy("task").applyInPandas(compare, "u binary, v binary").distinct()
 
 
-def _compared(unit: pd.DataFrame, low: int, high: int) -> dict[tuple, list]:
+def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict[tuple, list]:
     """Allowed untested pairs of a unit, with their sketches' distance, by components."""
     pairs: dict[tuple[bytes, bytes], list[tuple[int, bytes, bytes]]] = defaultdict(list)
     sizes = unit["n"].to_numpy()
@@ -436,11 +468,11 @@ def _compared(unit: pd.DataFrame, low: int, high: int) -> dict[tuple, list]:
     for at in left:
         rest = right[right > at] if low == high else right
         rest = rest[labels[rest] != labels[at]]
-        rest = rest[np.abs(sizes[rest] - sizes[at]) <= most_apart(sizes[rest], sizes[at])]
+        rest = rest[np.abs(sizes[rest] - sizes[at]) <= most_apart(sizes[rest], sizes[at], measure)]
         if not len(rest):
             continue
         apart = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64)
-        near = apart <= most_apart(sizes[rest], sizes[at])
+        near = apart <= most_apart(sizes[rest], sizes[at], measure)
         for other, distance in zip(rest[near], apart[near], strict=True):
             if nodes[at] in tested[other] or nodes[other] in tested[at]:
                 continue
@@ -466,7 +498,9 @@ def _forest(found: dict[tuple, list]) -> Iterator[tuple[bytes, bytes]]:
             yield a, b
 
 
-def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
+) -> DataFrame:
     """One row per row of ``docs``: (key, n_shingles, component_id).
 
     ``component_id`` is the smallest key reachable by links, itself included. Texts without
@@ -474,7 +508,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     an n-gram form one together. Repeated rows belong to the same component. A null key is
     larger than any key. Further columns don't matter; an empty table gives none.
     """
-    sets = stored(node_sets(docs, key, text), "node-sets")
+    sets = stored(node_sets(docs, key, text, measure), "node-sets")
     filled = sets.filter("n_shingles > 0")
     classes = filled.groupBy("node").agg(
         F.min("doc_id").alias("first_doc"),
@@ -485,7 +519,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = stored(classes, "nodes")
     nodes = classes.select("node", "n", "sketch")
     small = classes.filter(F.col("n") <= LARGEST_LIGHT * 2).groupBy("n").count().collect()
-    boundary = boundary_of({r["n"]: r["count"] for r in small})
+    boundary = boundary_of({r["n"]: r["count"] for r in small}, measure)
 
     owners = classes.select(F.col("first_doc").alias("owner"), "node", "n")
 
@@ -493,11 +527,11 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         return _texts_of(docs, owners.drop("n").join(wanted, "node", "left_semi"), key, text)
 
     small_texts = texts(owners.filter(F.col("n") <= boundary).select("node"))
-    light = _light_links(small_texts, boundary)
+    light = _light_links(small_texts, boundary, measure)
     order = Window.partitionBy("key").orderBy("node")
     whole = Window.partitionBy("key")
     lists = (
-        classes.filter(F.floor(F.col("n") * DENOMINATOR / NUMERATOR) > boundary)
+        classes.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
         .select("node", F.explode("lists").alias("key"))
         .withColumn("first", F.first("node").over(order))
         .withColumn("place", F.row_number().over(order))
@@ -508,8 +542,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = lists.agg(F.sum(F.ceil(F.col("members") / UNIT))).first()[0] or 0
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
     star = lists.filter("place > 1").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    star = stored(_close_pairs(star.distinct(), nodes), "star-pairs")
-    links = stored(_linked(star, texts).unionByName(light), "star-links")
+    star = stored(_close_pairs(star.distinct(), nodes, measure), "star-pairs")
+    links = stored(_linked(star, texts, measure).unionByName(light), "star-links")
     tested, closest = star, 0
     while True:
         parts = stored(components(links), "components")
@@ -518,12 +552,12 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             "high", F.max("root").over(whole)
         )
         members = mixed.filter("low != high").drop("low", "high", "first").join(nodes, "node")
-        pairs = stored(_split_pairs(members, tested, closest, tasks), "split-pairs")
+        pairs = stored(_split_pairs(members, tested, closest, tasks, measure), "split-pairs")
         if pairs.isEmpty():
             break
         # the links found so far come down to their stars
         stars = parts.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        links = stored(stars.unionByName(_linked(pairs, texts)), "links-so-far")
+        links = stored(stars.unionByName(_linked(pairs, texts, measure)), "links-so-far")
         tested, closest = tested.unionByName(pairs), max(FIRST_CLOSEST, closest * 16)
     smallest = (
         classes.select("node", "first_doc")

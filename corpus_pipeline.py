@@ -15,6 +15,8 @@ from billwright.session import shared_folder, ship_package, stored
 #: Ids of kept documents are broadcast up to so many rows of 8 bytes (counted first); beyond
 #: it they meet the documents in a shuffle.
 BROADCAST_ROWS = 400_000
+#: Near duplicates share at least 0.8 of their 5-word shingles.
+NEAR = jaccard_join.Measure(ngram=5, numerator=4, denominator=5)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that repeat an id and a text count as one document.
     """
     ship_package(spark)
-    linked = jaccard_join.linked_components(docs)
+    linked = jaccard_join.linked_components(docs, measure=NEAR)
     first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = stored(first.groupBy("doc_id").agg(F.count("*").alias("__rows")), "first-documents")
     size = first.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()

@@ -358,6 +358,38 @@ def test_linked_sets_share_a_list():
             assert set(jaccard_join.block_lists(a)) & set(jaccard_join.block_lists(b))
 
 
+def brute_groups(docs, ngram, least):
+    """Sorted (key, least key of its group) of texts with words, at any n-gram and similarity."""
+    sets = []
+    for key, text in docs:
+        words = (text or "").encode().lower().split()
+        size = min(ngram, len(words))
+        grams = frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else frozenset()
+        sets.append((key, grams))
+    group = list(range(len(sets)))
+    for a, (_, one) in enumerate(sets):
+        for b, (_, two) in enumerate(sets[:a]):
+            common = len(one & two)
+            if one and least[1] * common >= least[0] * (len(one) + len(two) - common):
+                group = [group[b] if g == group[a] else g for g in group]
+    smallest = {g: min(k for (k, _), h in zip(sets, group, strict=True) if h == g) for g in set(group)}
+    return sorted((k, smallest[g]) for (k, _), g in zip(sets, group, strict=True))
+
+
+@pytest.mark.parametrize("unit", [1000, 3])
+def test_other_shingles_and_thresholds_equal_brute_force(spark, monkeypatch, unit):
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    docs = [(k, t) for k, t in dict(near_copies()).items() if k is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    measure = jaccard_join.Measure(ngram=5, numerator=4, denominator=5)
+    rows = jaccard_join.linked_components(frame, measure=measure).collect()
+    expected = brute_groups(docs, 5, (4, 5))
+    assert sorted((r.doc_id, r.component_id) for r in rows) == expected
+    assert expected != brute_groups(docs, 3, (9, 10))
+    with pytest.raises(ValueError):
+        jaccard_join.Measure(numerator=2, denominator=3)
+
+
 # ---- Quality rules -----------------------------------------------------------------------------
 def brute_counts(text):
     text = text or ""
