@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billwright.session import stored
@@ -49,7 +49,9 @@ WORDS_REMEMBERED = 200_000
 #: ones meet the texts in a shuffle.
 BROADCAST_ROWS = 400_000
 
-SET_SCHEMA = "doc_id long, n_shingles long, node binary, sketch binary, lists array<long>"
+SET_SCHEMA = (
+    "doc_id long, mark long, n_shingles long, node binary, sketch binary, lists array<long>"
+)
 
 
 @dataclass(frozen=True)
@@ -229,7 +231,11 @@ def subset_lists(
 def node_sets(
     docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
 ) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch, lists): a row per document, without texts."""
+    """(doc_id, mark, n_shingles, node, sketch, lists): a row per document, without texts.
+
+    ``mark`` is the hash of the text; with the key it tells rows apart whose keys are null or
+    repeated.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(measure.ngram)
@@ -237,7 +243,7 @@ def node_sets(
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sizes, nodes, sketches, lists = [], [], [], []
-                for value in part.column(text):
+                for value in part.column("__text"):
                     hashes = shingler.hashes(value.as_py())
                     sizes.append(len(hashes))
                     nodes.append(_node_of(hashes))
@@ -245,29 +251,36 @@ def node_sets(
                     lists.append(block_lists(hashes, measure) if len(hashes) else [])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(key).cast(pa.int64()),
+                        part.column("__key"),
+                        part.column("__mark"),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
                         pa.array(sketches, pa.binary()),
                         pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sketch", "lists"],
+                    names=["doc_id", "mark", "n_shingles", "node", "sketch", "lists"],
                 )
 
-    return docs.select(key, text).mapInArrow(read, SET_SCHEMA)
+    return _named(docs, key, text).mapInArrow(read, SET_SCHEMA)
+
+
+def mark_of(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    named = (F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    return docs.select(*named, mark_of(text).alias("__mark"))
 
 
 # ---- Links -------------------------------------------------------------------------
 def _texts_of(docs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, text) of the nodes in ``owners`` (owner, node), each from its owner's row.
-
-    A key that several rows share brings their texts too: readers check the node.
-    """
+    """(node, text) of the nodes in ``owners`` (owner, mark, node), each from its owner's row."""
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
-    named = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("text"))
-    met = named.join(owners, F.col("__key").eqNullSafe(F.col("owner")))
-    return met.select("node", "text")
+    same = F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__mark") == F.col("mark"))
+    met = _named(docs, key, text).join(owners, same)
+    return met.select("node", F.col("__text").alias("text"))
 
 
 def _node_of(hashes: np.ndarray) -> bytes | None:
@@ -508,20 +521,33 @@ def linked_components(
     an n-gram form one together. Repeated rows belong to the same component. A null key is
     larger than any key. Further columns don't matter; an empty table gives none.
     """
+    rows = linked_rows(docs, key, text, measure)
+    return rows.select(F.col("doc_id").alias(key), "n_shingles", "component_id")
+
+
+def linked_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
+) -> DataFrame:
+    """As ``linked_components``: (doc_id, mark, n_shingles, root, component_id).
+
+    ``root`` names the component, also where its keys are null or stand in other components
+    too; it is null for texts without words.
+    """
     sets = stored(node_sets(docs, key, text, measure), "node-sets")
     filled = sets.filter("n_shingles > 0")
     classes = filled.groupBy("node").agg(
-        F.min("doc_id").alias("first_doc"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("owner"),
         F.first("n_shingles").alias("n"),
         F.first("sketch").alias("sketch"),
         F.first("lists").alias("lists"),
     )
-    classes = stored(classes, "nodes")
+    owner = (F.col("owner.doc_id").alias("first_doc"), F.col("owner.mark").alias("mark"))
+    classes = stored(classes.select("*", *owner).drop("owner"), "nodes")
     nodes = classes.select("node", "n", "sketch")
     small = classes.filter(F.col("n") <= LARGEST_LIGHT * 2).groupBy("n").count().collect()
     boundary = boundary_of({r["n"]: r["count"] for r in small}, measure)
 
-    owners = classes.select(F.col("first_doc").alias("owner"), "node", "n")
+    owners = classes.select(F.col("first_doc").alias("owner"), "mark", "node", "n")
 
     def texts(wanted: DataFrame) -> DataFrame:
         return _texts_of(docs, owners.drop("n").join(wanted, "node", "left_semi"), key, text)
@@ -569,11 +595,17 @@ def linked_components(
         classes.select("node", "first_doc")
         .join(parts, "node", "left")
         .join(smallest, "root", "left")
-        .select("node", F.coalesce("component", "first_doc").alias("component_id"))
+        .select(
+            "node",
+            F.coalesce("root", "node").alias("root"),
+            F.coalesce("component", "first_doc").alias("component_id"),
+        )
     )
-    rows = sets.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    rows = sets.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     return rows.select(
-        F.col("doc_id").alias(key),
+        "doc_id",
+        "mark",
         "n_shingles",
+        "root",
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from billwright.llm import byte_bpe, decontaminate, jaccard_join, quality_rules
 from billwright.session import shared_folder, ship_package, stored
 
-#: Ids of kept documents are broadcast up to so many rows of 8 bytes (counted first); beyond
-#: it they meet the documents in a shuffle.
+#: Ids and text hashes of kept documents are broadcast up to so many rows of 16 bytes (counted
+#: first); beyond it they meet the documents in a shuffle.
 BROADCAST_ROWS = 400_000
 #: Near duplicates share at least 0.8 of their 5-word shingles.
 NEAR = jaccard_join.Measure(ngram=5, numerator=4, denominator=5)
@@ -27,18 +27,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates.
 
-    Rows that repeat an id and a text count as one document.
+    Of texts that share the smallest id, or of a group without ids, the one of the smallest
+    hash stays. Rows that repeat an id and a text count as one document; texts without words
+    are in no group.
     """
     ship_package(spark)
-    linked = jaccard_join.linked_components(docs, measure=NEAR)
-    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = stored(first.groupBy("doc_id").agg(F.count("*").alias("__rows")), "first-documents")
+    linked = jaccard_join.linked_rows(docs, measure=NEAR)
+    own = linked.groupBy("doc_id", "mark", "root").agg(F.count("*").alias("rows"))
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "mark"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "rows")
+    first = own.groupBy("root", alone.alias("alone")).agg(F.min(order).alias("first"))
+    first = stored(
+        first.select(
+            F.col("first.doc_id").alias("__first"),
+            F.col("first.mark").alias("__mark"),
+            F.col("first.rows").alias("__rows"),
+        ),
+        "first-documents",
+    )
     size = first.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
-    ids = first.select(F.col("doc_id").alias("__first"))
+    chosen = first.drop("__rows")
     if size["n"] <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")
-    if (size["most"] or 0) > 1:  # some row repeats an id
+        chosen = F.broadcast(chosen)
+    same = docs["doc_id"].eqNullSafe(F.col("__first")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
+    kept = docs.join(chosen, same, "left_semi")
+    if (size["most"] or 0) > 1:  # some row repeats an id and a text
         kept = kept.withColumn("__text", F.xxhash64("text"))
         kept = kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
     return kept

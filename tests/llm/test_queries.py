@@ -92,3 +92,17 @@ def test_near_copies_of_the_documents_equal_brute_force(spark):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in kept) == [k for k, root in brute_groups(texts, 5, (4, 5)) if k == root]
+
+
+def test_null_and_shared_ids_keep_one_row_of_each_group(spark):
+    one, two, three = (prose(k, 120) for k in range(3))
+    docs = [(None, one), (None, one + " end"), (None, one.upper())]  # near copies without ids
+    docs += [(3, two + " end"), (7, two), (7, three), (9, three + " end")]  # 7 has two texts
+    docs += [(7, three), (None, None), (None, ""), (None, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, frame, SF).collect()]
+    assert len(kept) == len(set(kept)) == 5
+    assert {k for k in kept if k[0] is not None} == {(3, two + " end"), (7, three)}
+    assert {(None, None), (None, "")} < set(kept)
+    again = corpus_pipeline.keep_one_of_each_group(spark, frame.orderBy(F.desc("text")), SF)
+    assert {tuple(r) for r in again.collect()} == set(kept)
