@@ -37,9 +37,9 @@ BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 END = xxhash.xxh3_64_intdigest(b" end")
 #: Context-frequency classes: 0, 1, 2-3, 4-7, ... ; the last takes all larger ones.
 CLASSES = 40
-#: Log-probabilities are tallied for the expectation step in steps of 1/STEPS of a power of e.
-STEPS = 8
 ROUNDS = 60
+#: So few tallies (28 bytes each, counted first) are fitted in the driver, with the same result.
+FEW_TALLIES = 200_000
 #: Share of each weight that is spread evenly, so that no weight is zero.
 EVEN = 1e-4
 
@@ -229,39 +229,61 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
 
 
 # ---- Weights and scores --------------------------------------------------------------
-def learned_weights(tallies: dict[tuple[int, int, int], int], uniform: float) -> np.ndarray:
+def learned_weights(tallies: DataFrame, uniform: float) -> np.ndarray:
     """Weights (class, [bigram, unigram, uniform]) by expectation-maximisation.
 
-    ``tallies`` counts held-out tokens by context class and by the stepped logarithms of
-    their bigram and unigram estimates (-1 stands for zero). Classes without
-    tokens take the weights of all classes together.
+    ``tallies`` (kind, two, one, n) counts held-out tokens by context class and by their exact
+    bigram and unigram estimates. Each round is an aggregate over them: three sums a class
+    reach the driver, or all of FEW_TALLIES rows once. Classes without tokens take the
+    weights of all classes together.
     """
-    rows = np.array([(*k, n) for k, n in tallies.items()], np.int64).reshape(-1, 4)
-    own, n = rows[:, 0], rows[:, 3].astype(float)
-    estimates = np.stack(
-        [
-            np.where(rows[:, 1] < 0, 0.0, np.exp(-rows[:, 1] / STEPS)),
-            np.where(rows[:, 2] < 0, 0.0, np.exp(-rows[:, 2] / STEPS)),
-            np.full(len(rows), uniform),
-        ],
-        axis=1,
-    )
-
-    def fit(chosen: np.ndarray, start: np.ndarray) -> np.ndarray:
+    estimates = (F.col("two"), F.col("one"), F.lit(uniform))
+    few = tallies.toPandas() if tallies.count() <= FEW_TALLIES else None
+
+    def fitted_here(start: dict[int, np.ndarray], kind: np.ndarray) -> dict[int, np.ndarray]:
+        probabilities = np.stack([few["two"], few["one"], np.full(len(few), uniform)], axis=1)
+        n, done = few["n"].to_numpy(float), {}
+        for k, weights in start.items():
+            own = kind == k
+            for _ in range(ROUNDS):
+                shares = probabilities[own] * weights
+                shares /= shares.sum(axis=1, keepdims=True)
+                weights = (shares * n[own, None]).sum(axis=0) / n[own].sum()
+                weights = weights * (1 - 3 * EVEN) + EVEN
+            done[k] = weights
+        return done
+
+    def fitted(start: dict[int, np.ndarray], kind) -> dict[int, np.ndarray]:
         weights = start
         for _ in range(ROUNDS):
-            shares = estimates[chosen] * weights
-            shares /= shares.sum(axis=1, keepdims=True)
-            weights = (shares * n[chosen, None]).sum(axis=0) / n[chosen].sum()
-            weights = weights * (1 - 3 * EVEN) + EVEN
+            ordered = sorted(weights)
+            at = F.array_position(F.array(*map(F.lit, ordered)), F.col("k")).cast("int")
+            tables = (F.array(*(F.lit(float(weights[k][i])) for k in ordered)) for i in range(3))
+            own = [F.element_at(table, at) for table in tables]
+            shares = [w * e for w, e in zip(own, estimates, strict=True)]
+            whole = shares[0] + shares[1] + shares[2]
+            sums = tallies.withColumn("k", kind).groupBy("k").agg(
+                F.sum("n").alias("n"), *(F.sum(F.col("n") * x / whole).alias(f"s{i}") for i, x in enumerate(shares))
+            )
+            weights = {
+                r.k: np.array([r.s0, r.s1, r.s2]) / r.n * (1 - 3 * EVEN) + EVEN for r in sums.collect()
+            }
         return weights
 
     common = np.array([0.4, 0.5, 0.1])
-    if len(rows):
-        common = fit(np.ones(len(rows), bool), common)
     weights = np.tile(common, (CLASSES, 1))
-    for k in np.unique(own):
-        weights[k] = fit(own == k, common)
+    if few is None:
+        kinds = [r.kind for r in tallies.select("kind").distinct().collect()]
+        common = fitted({0: common}, F.lit(0))[0]
+        own = fitted(dict.fromkeys(kinds, common), F.col("kind"))
+    elif len(few):
+        common = fitted_here({0: common}, np.zeros(len(few), int))[0]
+        own = fitted_here(dict.fromkeys(few["kind"].unique(), common), few["kind"].to_numpy())
+    else:
+        own = {}
+    weights[:] = common
+    for k, values in own.items():
+        weights[k] = values
     weights[0] = [0.0, *(weights[0, 1:] / weights[0, 1:].sum())]  # an unseen context
     return weights
 
@@ -275,7 +297,9 @@ def _estimates(chunk: _Opened, words: np.ndarray, bigrams: np.ndarray, total: in
     return context, two, one
 
 
-def _tallied(chunks: DataFrame, answers: DataFrame, total: int) -> dict:
+def _tallied(chunks: DataFrame, answers: DataFrame, total: int) -> DataFrame:
+    """Stored (kind, two, one, n): tokens of the parts apart by class and exact estimates."""
+
     def tally(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["kind", "two", "one", "n"]
         if left.empty or right.empty:
@@ -285,24 +309,18 @@ def _tallied(chunks: DataFrame, answers: DataFrame, total: int) -> dict:
         bigrams = _counts(right, 2, "seen") - _counts(right, 2, "apart")
         context, two, one = _estimates(chunk, words, bigrams, total)
 
-        def steps(p: np.ndarray) -> np.ndarray:
-            with np.errstate(divide="ignore"):
-                return np.where(p > 0, np.rint(-np.log(p) * STEPS), -1).astype(np.int64)
-
-        rows = np.stack([classes_of(context), steps(two), steps(one)], axis=1)
-        rows, n = np.unique(rows, axis=0, return_counts=True)
-        return pd.DataFrame(np.column_stack([rows, n]), columns=names)
+        rows = pd.DataFrame({"kind": classes_of(context), "two": two, "one": one})
+        return rows.groupby(names[:3], sort=False).size().reset_index(name="n")
 
     rows = (
         chunks.filter("part = 'apart'")
         .groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInPandas(tally, "kind int, two int, one int, n long")
+        .applyInPandas(tally, "kind int, two double, one double, n long")
         .groupBy("kind", "two", "one")
         .agg(F.sum("n").alias("n"))
-        .collect()
     )
-    return {(r.kind, r.two, r.one): r.n for r in rows}
+    return stored(rows, "lm-tallies")
 
 
 def scored(docs: DataFrame, part, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,8 +330,8 @@ def scored(docs: DataFrame, part, key: str = "doc_id", text: str = "text") -> Da
     blanks, A-Z lower-cased; each text ends with one more token. Null and empty texts have
     only that. ``base_score`` is the unigram score with one added to each count, ``score``
     the model's log10 probability. Repeated rows are scored each and count each; a null part
-    counts as ``learn``. Without learning documents all tokens are equally likely. The
-    tallies that go to the driver are bounded by classes and steps, not by the data.
+    counts as ``learn``. Without learning documents all tokens are equally likely. Only
+    three sums a class and round, or FEW_TALLIES rows, go to the driver.
     """
     named = docs.select(
         F.col(key).cast("long").alias("doc_id"),

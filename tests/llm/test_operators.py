@@ -267,6 +267,32 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert held[0] > 0.6 * held[1]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_weights_equal_plain_rounds_on_exact_estimates(spark, monkeypatch, few):
+    monkeypatch.setattr(lm_scoring, "FEW_TALLIES", few)
+    rng = random.Random(5)
+    rows = [(k, rng.random() ** 3, rng.random() ** 4, rng.randint(1, 9)) for k in (0, 2, 3, 7) for _ in range(50)]
+    rows += [(7, 0.0, 0.0, 3), (0, 0.0, 0.2, 1)]
+    uniform = 0.001
+
+    def fit(chosen, weights):
+        for _ in range(lm_scoring.ROUNDS):
+            sums = [0.0] * 3
+            for _, two, one, n in chosen:
+                shares = [w * e for w, e in zip(weights, (two, one, uniform), strict=True)]
+                sums = [s + n * x / sum(shares) for s, x in zip(sums, shares, strict=True)]
+            even, size = lm_scoring.EVEN, sum(r[3] for r in chosen)
+            weights = [s / size * (1 - 3 * even) + even for s in sums]
+        return weights
+
+    common = fit(rows, [0.4, 0.5, 0.1])
+    frame = spark.createDataFrame(rows, "kind int, two double, one double, n long").coalesce(2)
+    got = lm_scoring.learned_weights(frame, uniform)
+    for k in (1, 2, 3, 7):
+        own = fit([r for r in rows if r[0] == k], common) if k != 1 else common
+        assert list(got[k]) == pytest.approx(own, rel=1e-9)
+
+
 def test_small_shards_and_chunks_agree(spark, monkeypatch):
     frame = spark.createDataFrame([(k, prose(k, 40)) for k in range(40)], "doc_id long, text string")
     part = F.when(F.col("doc_id") % 7 == 3, "apart").otherwise("learn")
