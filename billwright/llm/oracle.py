@@ -4,6 +4,7 @@ The others are checked in ``tests/llm`` against brute force, a library or a roun
 sketches, mixture weights, merges, region scans and archives have no SQL form.
 """
 
+from billwright.llm import secret_scan
 from billwright.llm.url_filter import (
     CAPITALS,
     LEAST_SPREAD,
@@ -94,3 +95,76 @@ kept AS (SELECT * FROM wholes WHERE prefix NOT IN (SELECT prefix FROM turns WHER
 SELECT conv_id, cast(n_turns AS int) AS n_turns, n_copies,
   string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
 FROM kept JOIN conversations USING (conv_id) GROUP BY conv_id, n_turns, n_copies"""
+
+
+_ANY_CASE = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+             for word in ("password", "passwd", "secret", "token", "api_?key")]
+_ASSIGN = rf"""(?:{"|".join(_ANY_CASE)})["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)"""
+_STRING = secret_scan.IN_STRING
+
+
+def _cut(name: str, source: str, keys: str, pattern: str, group: int = 0) -> str:
+    """CTE of the pieces between a pattern's matches: place, piece, hit, value, end of the hit."""
+    return rf"""
+{name} AS (SELECT *, cast(sum(length(piece) + coalesce(length(hit), 0)) OVER (PARTITION BY {keys} ORDER BY place) AS BIGINT) AS stop
+  FROM (SELECT {keys}, base_at, unnest(range(1, len(pieces) + 1)) AS place, unnest(pieces) AS piece, unnest(hits) AS hit, unnest(vals) AS val
+    FROM (SELECT {keys}, base_at, regexp_split_to_array(body, '{pattern}') AS pieces, regexp_extract_all(body, '{pattern}', 0) AS hits,
+      regexp_extract_all(body, '{pattern}', {group}) AS vals FROM {source})))"""
+
+
+def _model(name: str, kind: str, uniform: float) -> str:
+    size, weight = len(secret_scan.ALPHABET), secret_scan.SMOOTHING
+    return f"""
+{name}_n AS (SELECT pair, count(*) AS n FROM pairs WHERE random = {kind} GROUP BY pair),
+{name}_one AS (SELECT c, (coalesce(n, 0) + 1.0) / ((SELECT coalesce(sum(n), 0) FROM {name}_n) + {size}) AS single
+  FROM letters LEFT JOIN (SELECT substr(pair, 2, 1) AS c, sum(n) AS n FROM {name}_n GROUP BY 1) USING (c)),
+{name} AS (SELECT a.c || b.c AS pair, {1 - uniform} * ((coalesce(p.n, 0) + {weight} * b.single)
+    / (coalesce(f.n, 0) + {weight})) + {uniform / size} AS p
+  FROM letters a CROSS JOIN {name}_one b LEFT JOIN {name}_n p ON p.pair = a.c || b.c
+  LEFT JOIN (SELECT substr(pair, 1, 1) AS c, sum(n) AS n FROM {name}_n GROUP BY 1) f ON f.c = a.c)"""
+
+
+def _simple_spans(name: str, kind: int) -> str:
+    return f"SELECT doc_id, {kind} AS kind, stop - length(hit) AS start, stop, hit AS val FROM {name} WHERE hit IS NOT NULL"
+
+
+def _listed(spans: str) -> str:
+    names = "['" + "', '".join(secret_scan.KINDS) + "'][kind]"
+    return f"""SELECT doc_id, string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS listed,
+    count(CASE WHEN kind = 1 THEN 1 END) AS n_assign, count(CASE WHEN kind = 2 THEN 1 END) AS n_access,
+    count(CASE WHEN kind = 3 THEN 1 END) AS n_hex FROM {spans} GROUP BY doc_id"""
+
+
+ORACLE["op12_secret_scan"] = rf"""
+WITH texts AS (SELECT doc_id, 0 AS base_at, coalesce(text, '') AS body FROM documents),
+{_cut("assigned", "texts", "doc_id", _ASSIGN, 1)},
+{_cut("accessed", "texts", "doc_id", "AKIA[A-Z0-9]{%d,}" % (secret_scan.LEAST_ACCESS - 4))},
+{_cut("hexed", "texts", "doc_id", "[0-9a-f]{%d,}" % secret_scan.LEAST_HEX)},
+base AS ({_simple_spans("assigned", 1).replace("hit AS val", "val")} AND length(val) >= {secret_scan.LEAST_ASSIGNED}
+  UNION ALL {_simple_spans("accessed", 2)} UNION ALL {_simple_spans("hexed", 3)}),
+pieces AS (SELECT doc_id, place AS outer_place, stop - coalesce(length(hit), 0) - length(piece) AS base_at, piece AS body FROM assigned),
+{_cut("strings", "pieces", "doc_id, outer_place", "%s{%d,}" % (_STRING, secret_scan.LEAST_CANDIDATE))},
+candidates AS (SELECT doc_id, 4 AS kind, base_at + stop - length(hit) AS start, base_at + stop AS stop, hit AS val FROM strings
+  WHERE hit IS NOT NULL AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+    AND NOT regexp_matches(hit, 'AKIA[A-Z0-9]{{{secret_scan.LEAST_ACCESS - 4},}}') AND NOT regexp_matches(hit, '[0-9a-f]{{{secret_scan.LEAST_HEX},}}')),
+secret_docs AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM base) ORDER BY md5(cast(doc_id AS VARCHAR)), doc_id LIMIT {secret_scan.SAMPLE_TEXTS}),
+plain_docs AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM base))
+  ORDER BY md5(cast(doc_id AS VARCHAR)), doc_id LIMIT {secret_scan.SAMPLE_TEXTS}),
+samples AS (SELECT val, true AS random FROM base WHERE doc_id IN (SELECT doc_id FROM secret_docs)
+  UNION ALL SELECT val, false AS random FROM (SELECT unnest(regexp_extract_all(body, '{_STRING}{{{secret_scan.LEAST_ORDINARY},}}')) AS val
+    FROM texts WHERE doc_id IN (SELECT doc_id FROM plain_docs))
+  WHERE length(val) < {secret_scan.LEAST_CANDIDATE} OR NOT regexp_matches(val, '[0-9]') OR NOT regexp_matches(val, '[A-Za-z]')),
+pairs AS (SELECT random, pair FROM (SELECT random, substr(val, unnest(range(1, length(val))), 2) AS pair FROM samples)
+  WHERE regexp_full_match(pair, '{_STRING}{{2}}')),
+letters AS (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS c),
+{_model("random_p", "true", secret_scan.UNIFORM[True])},
+{_model("ordinary_p", "false", secret_scan.UNIFORM[False])},
+scores AS (SELECT doc_id, kind, start, stop, val, sum(ln(r.p) - ln(o.p)) AS ratio
+  FROM (SELECT *, substr(val, unnest(range(1, length(val))), 2) AS pair FROM candidates)
+  JOIN random_p r USING (pair) JOIN ordinary_p o USING (pair) GROUP BY ALL),
+spans AS (SELECT doc_id, kind, start, stop FROM base UNION ALL
+  SELECT doc_id, kind, start, stop FROM scores WHERE ratio > {secret_scan.LEAST_RATIO}),
+base_listed AS ({_listed("base")}), all_listed AS ({_listed("spans")})
+SELECT d.doc_id, coalesce(b.n_assign, 0) AS n_assign, coalesce(b.n_access, 0) AS n_access, coalesce(b.n_hex, 0) AS n_hex,
+  sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(a.listed, '') AS spans
+FROM documents d LEFT JOIN base_listed b ON b.doc_id = d.doc_id LEFT JOIN all_listed a ON a.doc_id = d.doc_id"""

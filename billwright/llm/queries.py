@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billwright.llm import (
@@ -15,10 +15,13 @@ from billwright.llm import (
     html_extract,
     jaccard_join,
     lm_scoring,
+    periodic_runs,
     quality_rules,
+    secret_scan,
     token_counts,
     url_filter,
     warc,
+    whitening,
 )
 from billwright.session import ship_package
 
@@ -154,3 +157,68 @@ def op10_byte_bpe(spark, sf_dir):
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """``deviation`` is null where it outgrows a long."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(rows).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def _of_kind(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op12_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.with_secrets(docs, keep=["doc_id"]).select(
+        "doc_id",
+        _of_kind(1).alias("n_assign"),
+        _of_kind(2).alias("n_access"),
+        _of_kind(3).alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth document (by crc32 of its id) repeats from some word on.
+
+    Of its n words, those from a = g % n on repeat the first 1 + (n - a) // (3 + g % 8) of them,
+    with g = crc32 // 10.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    bare = F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    words = F.when((crc % 10 == 0) & (bare != ""), F.split(bare, r"[\x20\x09-\x0D]+", -1))
+    rows = docs.select("doc_id", "text", F.floor(crc / 10).cast("long").alias("g"), words.alias("w"))
+    n = F.size("w")
+    start = (F.col("g") % n).cast("int")
+    rows = rows.withColumn("a", start).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    )
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i)))
+    return rows.select(
+        "doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(F.array_join(again, " ")).alias("text")
+    )
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = planted_runs(table(spark, sf_dir, "documents"))
+    line = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    best = F.col("strongest")
+    return periodic_runs.with_runs(docs, keep=["doc_id"]).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

@@ -10,7 +10,7 @@ import corpus_pipeline
 from billwright.llm.oracle import ORACLE
 from billwright.llm.queries import QUERIES
 from compare import compare, connect
-from llm.test_operators import brute_components, brute_contamination, brute_counts, brute_groups, prose
+from llm.test_operators import brute_contamination, brute_counts, brute_groups, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +21,7 @@ def con():
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql())
 
@@ -35,9 +35,14 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_covers_its_table(spark, name):
-    table = "pages" if name.split("_")[0] in ("op8", "op9") else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
-    ids = [r[0] for r in QUERIES[name](spark, SF).select(key).collect()]
+    table, key = {
+        "op8": ("pages", "page_id"), "op9": ("pages", "page_id"), "op11": ("embeddings", "vec_id"),
+    }.get(name.split("_")[0], ("documents", "doc_id"))
+    rows = QUERIES[name](spark, SF)
+    if "component" in rows.columns:  # a row for each of eight components
+        assert sorted({r[0] for r in rows.select("component").collect()}) == list(range(1, 9))
+        rows = rows.filter("component = 8")
+    ids = [r[0] for r in rows.select(key).collect()]
     assert sorted(ids) == sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
 
 
@@ -60,8 +65,8 @@ def test_pipeline_stages(spark, tmp_path):
             short = [i for i in before if brute_counts(texts[i])[0] < 50]
             assert not set(short) & set(after) and len(after) > len(before) / 2
         elif name == "jaccard_join":
-            groups = brute_components([(i, texts[i]) for i in sorted(set(before))])
-            assert sorted(after) == sorted(i for i, _, root in groups if i == root)
+            groups = brute_groups([(i, texts[i]) for i in sorted(set(before))], 5, (4, 5))
+            assert sorted(after) == sorted(i for i, root in groups if i == root)
         elif name == "decontamination":
             tests = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
             judged = brute_contamination([(i, texts[i]) for i in before], tests)
