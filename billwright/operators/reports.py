@@ -38,6 +38,40 @@ def quality_report(rated: DataFrame) -> DataFrame:
     )
 
 
+def quality_rollup(rated: DataFrame) -> DataFrame:
+    """``quality_report`` with its subtotals by tier, by tier and validation, and the total.
+
+    ``level`` tells them from rows whose own value is null: 0 for the rows of the report, 1 for
+    a sum over formats, 3 over validation and formats, 7 over everything. One shuffle: the
+    subtotals are made from rows expanded in each task and combined there.
+    """
+    rows = rated.withColumn("format_name", F.col("format.name"))
+    return rows.rollup("confidence_tier", "validation_status", "format_name").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count("*").alias("documents"),
+        F.avg("extraction_confidence").alias("avg_confidence"),
+        F.count_if(F.col("total_amount").isNull()).alias("without_total"),
+    )
+
+
+def processed_per_session(events: DataFrame, key: str, ts: str = "ingest_ts", gap: str = "30 minutes") -> DataFrame:
+    """Documents of each session of a user: uploads at most ``gap`` apart, as (key, first, until, documents).
+
+    ``until`` is the last upload plus the gap. Sessions that a later row joins are merged. The
+    same code runs on a stream. Rows without a time are in no session; a null key is one user.
+    """
+    return (
+        events.groupBy(key, F.session_window(ts, gap).alias("w"))
+        .agg(F.count("*").alias("documents"))
+        .select(
+            key,
+            F.col("w.start").cast("timestamp_ntz").alias("first"),
+            F.col("w.end").cast("timestamp_ntz").alias("until"),
+            "documents",
+        )
+    )
+
+
 def field_fill_rate(records: DataFrame, *by: str) -> DataFrame:
     """Share of documents in which each field was found."""
 
@@ -51,13 +85,19 @@ def field_fill_rate(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def field_accuracy(pairs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+def field_accuracy(
+    pairs: DataFrame, fields: dict[str, tuple[str, str]], by_side: str | None = None
+) -> DataFrame:
     """Precision, recall and F1 per field from rows holding expected and actual values.
 
     ``fields`` maps a field name to its (expected, actual) columns. The counts of
     all fields are gathered in one pass and one exchange of a single row per task.
+    ``by_side`` names a column of ``both``, ``missing`` or ``unexpected``, whose rows are counted too.
     """
+    sides = {"records": "both", "missing_records": "missing", "unexpected_records": "unexpected"}
     counts = []
+    if by_side:
+        counts += [F.count_if(F.col(by_side) == side).alias(name) for name, side in sides.items()]
     for name, (expected, actual) in fields.items():
         e, a = F.col(expected), F.col(actual)
         same = F.coalesce(e == a, F.lit(False))
@@ -81,7 +121,8 @@ def field_accuracy(pairs: DataFrame, fields: dict[str, tuple[str, str]]) -> Data
         )
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return totals.select(rows.alias("r")).select("r.*").withColumns(
+    kept = list(sides) if by_side else []
+    return totals.select(rows.alias("r"), *kept).select("r.*", *kept).withColumns(
         {
             "precision": F.try_divide(tp, tp + fp),
             "recall": F.try_divide(tp, tp + fn),
@@ -90,6 +131,35 @@ def field_accuracy(pairs: DataFrame, fields: dict[str, tuple[str, str]]) -> Data
     )
 
 
+def expected_accuracy(
+    expected: DataFrame, actual: DataFrame, key: str, fields: tuple[str, ...]
+) -> DataFrame:
+    """``field_accuracy`` of two tables, with the records that only one of them has.
+
+    Both have the key and the fields by the same names. Of an expected record that is missing
+    every value is a false negative, of an unexpected one every value a false positive; the
+    columns ``missing_records`` and ``unexpected_records`` count them, ``records`` counts those
+    of both. Rows with a null key match nothing. Tables of ``session.bucketed`` with the same
+    number of buckets are joined where they lie.
+    """
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        values = (F.col(f).alias(f"__{name}_{f}") for f in fields)
+        return rows.select(F.col(key).alias(f"__{name}_key"), F.lit(True).alias(f"__{name}"), *values)
+
+    one, two = side(expected, "e"), side(actual, "a")
+    pairs = one.join(two, F.col("__e_key") == F.col("__a_key"), "full")
+    # a value stands on either side of a row that has no partner for it
+    pairs = pairs.select(
+        *(F.col(f"__{s}_{f}") for s in "ea" for f in fields),
+        F.when(F.col("__a").isNull(), "missing")
+        .when(F.col("__e").isNull(), "unexpected")
+        .otherwise("both")
+        .alias("__side"),
+    )
+    return field_accuracy(pairs, {f: (f"__e_{f}", f"__a_{f}") for f in fields}, by_side="__side")
+
+
 def processed_per_day(events: DataFrame, ts: str = "ingest_ts") -> DataFrame:
     """Documents processed per calendar day; the same code runs on a stream."""
     return (

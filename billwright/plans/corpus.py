@@ -93,6 +93,11 @@ _INVOICE_LINES = (
 )
 
 
+# Rows whose invoice gives the month first, and the pattern that swaps day and month.
+MONTH_FIRST_ROWS = "source IN ('1-URGENT', '3-MEDIUM') AND doc_id % 29 <> 0"
+SWAP = (r"(Date: )([0-9]{2})([/-])([0-9]{2})([/-])", "$1$4$3$2$5")
+
+
 def invoices(orders: DataFrame) -> DataFrame:
     """One invoice text per order, with the values that were written into it.
 
@@ -166,6 +171,15 @@ def invoices(orders: DataFrame) -> DataFrame:
     )
 
 
+def with_mixed_dates(texts: DataFrame) -> DataFrame:
+    """Invoices of some sources write the month first, but for a few that keep the day first.
+
+    What follows ``Date: `` is swapped, days and years of the other dates stay.
+    """
+    swapped = F.regexp_replace("text", *SWAP)
+    return texts.withColumn("text", F.when(F.expr(MONTH_FIRST_ROWS), swapped).otherwise(F.col("text")))
+
+
 def read_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(
         spark,
@@ -305,3 +319,77 @@ def landed_files(documents: DataFrame) -> DataFrame:
         F.octet_length(content).cast("bigint").alias("length"),
         content.alias("content"),
     )
+
+
+# ---- Format templates --------------------------------------------------------------
+# One row per mark: company forms of 97 vendors and shops, and marks that several of them hold.
+TEMPLATES = """
+SELECT concat('Vendor ', cast(n as string), ' SDN BHD') AS mark, 30 AS priority,
+  concat('Vendor ', cast(n as string)) AS name, 99.0D AS confidence, true AS supported FROM numbers
+UNION ALL SELECT concat('Shop ', cast(n as string)), 20 + n % 3, concat('Shop group ', cast(n % 7 as string)), 90.0D, n % 2 = 0 FROM numbers
+UNION ALL SELECT concat('Kedai ', cast(n as string), chr(10)), 25, 'Kedai', 80.0D, true FROM numbers WHERE n % 10 = 0
+UNION ALL SELECT 'SDN BHD', 10, 'Template A (Retail)', 95.0D, true FROM numbers WHERE n = 0
+UNION ALL SELECT 'hop 1', 40, 'Overlapping mark', 50.0D, false FROM numbers WHERE n = 0
+UNION ALL SELECT 'Corp.', 20, 'Corporation', 70.0D, true FROM numbers WHERE n = 0"""
+
+
+def format_templates(spark: SparkSession) -> DataFrame:
+    """About 200 templates, made by a rule from the numbers 0 to 96."""
+    numbers = spark.range(97).withColumnRenamed("id", "n")
+    made = spark.sql(TEMPLATES.replace("numbers", "{numbers}"), numbers=numbers)
+    return made.withColumn("indicators", F.array(F.concat(F.lit("Found "), "mark")))
+
+
+# ---- Image files, from documents ----------------------------------------------------
+# Width, height and colour type follow the document's number; so does what is wrong.
+IMAGE_WIDTH, IMAGE_HEIGHT = "1 + doc_id % 5000", "1 + doc_id * 7 % 3000"
+IMAGE_KIND = "CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpeg' END"
+IMAGE_COLOUR = "CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 6 END"
+IMAGE_COMPONENTS = "CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END"
+IMAGE_FAULT = """CASE doc_id % 17 WHEN 3 THEN 'cut_file' WHEN 5 THEN 'cut_header' WHEN 7 THEN 'not_an_image'
+  WHEN 11 THEN 'bad_header' WHEN 13 THEN 'no_content' END"""
+
+
+def _bytes(number: str, digits: int) -> str:
+    return f"unhex(lpad(hex(cast({number} as bigint)), {digits}, '0'))"
+
+
+def image_files(documents: DataFrame) -> DataFrame:
+    """(path, content): a PNG or JPEG file per document, whose data are the document's text.
+
+    JPEG files carry some application segments before their frame. Some files are cut, empty,
+    or have a wrong header. All bytes are written by column functions.
+    """
+    rows = documents.selectExpr(
+        "doc_id", f"{IMAGE_KIND} AS kind", f"{IMAGE_FAULT} AS fault", "encode(coalesce(text, ''), 'UTF-8') AS body"
+    )
+    size = f"{_bytes(IMAGE_WIDTH, 8)}, {_bytes(IMAGE_HEIGHT, 8)}"
+    header = f"concat(unhex('49484452'), {size}, unhex('08'), {_bytes(IMAGE_COLOUR, 2)}, unhex('000000'))"
+    rows = rows.withColumn("header", F.expr(header)).withColumns(
+        {
+            "png": F.expr(
+                "concat(unhex('89504E470D0A1A0A0000000D'), header, "
+                f"{_bytes('crc32(header) + CASE WHEN fault = {0} THEN 1 ELSE 0 END', 8)}".replace("{0}", "'bad_header'")
+                + f", {_bytes('octet_length(body)', 8)}, unhex('49444154'), body, {_bytes('crc32(body)', 8)}, "
+                "unhex('0000000049454E44AE426082'))"
+            ),
+            "jpeg": F.expr(
+                "concat(unhex('FFD8'), "
+                "CASE WHEN fault = 'bad_header' THEN unhex('00') ELSE unhex('') END, "
+                "CASE WHEN doc_id % 4 = 1 THEN unhex('FFE000104A46494600010100000100010000') ELSE unhex('FFFF01') END, "
+                # FFxx bytes within a segment's data must not be taken for markers
+                "unhex(repeat('FFE20006FFC0FFDA', cast(doc_id % 100 as int))), "
+                f"unhex('FFC2'), {_bytes(f'8 + 3 * ({IMAGE_COMPONENTS})', 4)}, unhex('08'), "
+                f"{_bytes(IMAGE_HEIGHT, 4)}, {_bytes(IMAGE_WIDTH, 4)}, {_bytes(IMAGE_COMPONENTS, 2)}, "
+                f"unhex(repeat('011100', {IMAGE_COMPONENTS})), unhex('FFDA000201'), body, unhex('FFD9'))"
+            ),
+        }
+    )
+    content = F.expr(
+        """CASE WHEN fault = 'no_content' THEN unhex('') WHEN fault = 'not_an_image' THEN body
+          WHEN fault = 'cut_header' THEN substring(CASE kind WHEN 'png' THEN png ELSE jpeg END, 1, 16)
+          WHEN fault = 'cut_file' THEN substring(CASE kind WHEN 'png' THEN png ELSE jpeg END, 1,
+            octet_length(CASE kind WHEN 'png' THEN png ELSE jpeg END) - 1)
+          ELSE CASE kind WHEN 'png' THEN png ELSE jpeg END END"""
+    )
+    return rows.select(F.format_string("/scans/%d.%s", "doc_id", "kind").alias("path"), content.alias("content"))

@@ -293,6 +293,71 @@ FROM (
 WHERE ext IN ('jpg', 'png', 'jpeg')"""
 
 
+CTES["mixed_text"] = rf"""
+SELECT corpus, doc_id, source, CASE WHEN {src.MONTH_FIRST_ROWS}
+  THEN regexp_replace(text, '{src.SWAP[0]}', '{src.SWAP[1].replace("$", chr(92))}', 'g') ELSE text END AS text FROM invoices
+UNION ALL SELECT 'documents', doc_id, source, text FROM documents"""
+
+CTES["mixed_dates"] = r"""
+SELECT corpus, doc_id, source, d, min(pat * 1000000 + ord) AS first_at FROM (
+  SELECT corpus, doc_id, source, 1 AS pat, unnest(m) AS d, unnest(range(len(m))) AS ord
+  FROM (SELECT corpus, doc_id, source, regexp_extract_all(text, '\d{2}[/-]\d{2}[/-]\d{4}') AS m FROM mixed_text)
+  UNION ALL SELECT corpus, doc_id, source, 2, unnest(m), unnest(range(len(m)))
+  FROM (SELECT corpus, doc_id, source, regexp_extract_all(text, '(\d{2}[/-]\d{2}[/-]\d{2})(?:\D|$)', 1) AS m FROM mixed_text)
+  UNION ALL SELECT corpus, doc_id, source, 3, unnest(m), unnest(range(len(m)))
+  FROM (SELECT corpus, doc_id, source, regexp_extract_all(text, '\d{4}[/-]\d{2}[/-]\d{2}') AS m FROM mixed_text))
+GROUP BY ALL"""
+
+CTES["order_votes"] = r"""
+SELECT corpus, source, count(*) FILTER (WHERE a BETWEEN 13 AND 31 AND b BETWEEN 1 AND 12) AS day_votes,
+  count(*) FILTER (WHERE b BETWEEN 13 AND 31 AND a BETWEEN 1 AND 12) AS month_votes
+FROM (SELECT corpus, source, cast(d[1:2] AS int) AS a, cast(d[4:5] AS int) AS b FROM mixed_dates m
+      WHERE NOT regexp_matches(d, '^\d{4}') AND NOT EXISTS (SELECT 1 FROM mixed_dates w
+        WHERE w.corpus = m.corpus AND w.doc_id = m.doc_id AND regexp_matches(w.d, '^\d{4}') AND w.d[3:] = m.d))
+GROUP BY ALL"""
+
+CTES["corpus_votes"] = """
+SELECT corpus, sum(day_votes) AS day_votes, sum(month_votes) AS month_votes FROM order_votes GROUP BY corpus"""
+
+CTES["parsed_dates"] = r"""
+SELECT corpus, doc_id, source, date, date_order,
+  CASE date_order WHEN 'year_first' THEN try_cast(replace(whole, '/', '-') AS date)
+    WHEN 'day_first' THEN try_cast(printf('%04d-%02d-%02d', y, b, a) AS date)
+    WHEN 'month_first' THEN try_cast(printf('%04d-%02d-%02d', y, a, b) AS date) END AS date_parsed,
+  CASE WHEN own IS NOT NULL THEN 'date' WHEN by_source IS NOT NULL THEN 'source' WHEN by_corpus IS NOT NULL THEN 'corpus' END AS decided_by
+FROM (
+  SELECT *, coalesce(own, by_source, by_corpus) AS date_order FROM (
+    SELECT t.corpus, t.doc_id, t.source, f.d AS date, whole, a, b, y,
+      CASE WHEN whole IS NOT NULL THEN 'year_first' WHEN a > 12 AND b BETWEEN 1 AND 12 THEN 'day_first'
+        WHEN b > 12 AND a BETWEEN 1 AND 12 THEN 'month_first' WHEN a = b AND a BETWEEN 1 AND 12 THEN 'day_first' END AS own,
+      CASE WHEN a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 12 THEN CASE WHEN s.day_votes > s.month_votes THEN 'day_first'
+        WHEN s.month_votes > s.day_votes THEN 'month_first' END END AS by_source,
+      CASE WHEN a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 12 THEN CASE WHEN c.day_votes > c.month_votes THEN 'day_first'
+        WHEN c.month_votes > c.day_votes THEN 'month_first' END END AS by_corpus
+    FROM mixed_text t LEFT JOIN (
+      SELECT *, try_cast(d[1:2] AS int) AS a, try_cast(d[4:5] AS int) AS b,
+        CASE WHEN length(d) = 8 AND cast(d[7:8] AS int) < 70 THEN 2000 + cast(d[7:8] AS int)
+          WHEN length(d) = 8 THEN 1900 + cast(d[7:8] AS int) ELSE try_cast(d[7:10] AS int) END AS y
+      FROM (SELECT m.corpus, m.doc_id, arg_min(m.d, m.first_at) AS d FROM mixed_dates m GROUP BY ALL) h
+      LEFT JOIN (SELECT corpus, doc_id, d AS whole, d[3:] AS tail FROM mixed_dates WHERE regexp_matches(d, '^\d{4}')) w
+        ON w.corpus = h.corpus AND w.doc_id = h.doc_id AND (w.tail = h.d OR w.whole = h.d)) f
+      ON f.corpus = t.corpus AND f.doc_id = t.doc_id
+    LEFT JOIN order_votes s ON s.corpus = t.corpus AND s.source = t.source
+    LEFT JOIN corpus_votes c ON c.corpus = t.corpus))"""
+
+
+CTES["image_headers"] = f"""
+SELECT '/scans/' || doc_id || '.' || named AS path,
+  CASE WHEN problem IN ('not_an_image', 'no_content') THEN 'none' ELSE named END AS kind,
+  CASE WHEN problem IS NULL THEN {src.IMAGE_WIDTH} END AS width, CASE WHEN problem IS NULL THEN {src.IMAGE_HEIGHT} END AS height,
+  CASE WHEN problem IS NULL THEN CASE named WHEN 'png' THEN CASE {src.IMAGE_COLOUR} WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 4 END
+    ELSE {src.IMAGE_COMPONENTS} END END AS channels, problem, CASE WHEN problem IS NOT NULL THEN 'bad_image' END AS error_class
+FROM (SELECT doc_id, named, CASE WHEN fault = 'not_an_image' AND coalesce(text, '') = '' THEN 'no_content'
+    WHEN fault = 'bad_header' AND named = 'png' THEN 'bad_checksum'
+    ELSE fault END AS problem
+  FROM (SELECT *, {src.IMAGE_KIND} AS named, {src.IMAGE_FAULT} AS fault FROM documents))"""
+
+
 def _needs(sql: str, seen: list[str]) -> list[str]:
     words = set("".join(ch if ch.isalnum() or ch == "_" else " " for ch in sql).split())
     for name in CTES:
@@ -314,6 +379,13 @@ def oracle(name: str, sql: str) -> None:
 oracle("scan_text", "SELECT doc_id, length(text) AS n_chars, md5(text) AS md5 FROM documents")
 oracle("scan_image_manifest", "SELECT * FROM manifest")
 oracle("first_sample", "SELECT * FROM manifest ORDER BY path LIMIT 1")
+oracle("scan_image_checked", "SELECT * FROM image_headers")
+oracle(
+    "image_faults",
+    """
+SELECT kind, problem, count(*) AS files, sum(cast(width AS bigint) * height * channels) AS samples
+FROM image_headers GROUP BY ALL""",
+)
 oracle("scan_ocr_words", "SELECT * FROM ocr")
 oracle(
     "sink_json",
@@ -323,6 +395,13 @@ SELECT corpus, doc_id, output_name, count(*) OVER (PARTITION BY output_name) > 1
   bill_to_name IS NULL AS null_kept
 FROM (SELECT *, cast(doc_id % 20000 AS varchar) || '_rules.json' AS output_name FROM records)""",
 )
+oracle(
+    "sink_json_files",
+    """
+SELECT doc_id, cast(doc_id // 3 AS varchar) || '_rules.json' AS output_name, receipt_number, date, bill_to_name,
+  n_items, total_amount, extraction_confidence, true AS indented, bill_to_name IS NULL AS null_kept
+FROM records WHERE corpus = 'documents'""",
+)
 oracle(
     "sink_export_named",
     """
@@ -459,6 +538,16 @@ SELECT corpus, doc_id, CASE WHEN retail THEN 'Template A (Retail)' ELSE 'Unknown
        ELSE 'No known company suffixes found' END AS indicators
 FROM (SELECT *, coalesce(contains(text, 'SDN BHD'), false) AS retail FROM corpus_text)""",
 )
+oracle(
+    "detect_format_templates",
+    f"""
+, numbers AS (SELECT unnest(range(97)) AS n), templates AS ({_dialect(src.TEMPLATES).replace("0D", "0")}),
+found AS (SELECT t.corpus, t.doc_id, f.* FROM corpus_text t JOIN templates f ON contains(t.text, f.mark)
+  QUALIFY row_number() OVER (PARTITION BY t.corpus, t.doc_id ORDER BY priority DESC, length(mark) DESC, mark) = 1)
+SELECT t.corpus, t.doc_id, coalesce(f.name, 'Unknown Format') AS name, coalesce(f.confidence, 20.0) AS confidence,
+  coalesce(f.supported, false) AS supported, f.mark, coalesce('Found ' || f.mark, 'No known company suffixes found') AS indicators
+FROM corpus_text t LEFT JOIN found f ON f.corpus = t.corpus AND f.doc_id = t.doc_id""",
+)
 oracle(
     "format_recommendations",
     """
@@ -566,6 +655,53 @@ oracle(
 SELECT confidence_tier, validation_passed AS validation_status, format_name, count(*) AS documents,
   round(avg(extraction_confidence), 4) AS avg_confidence FROM rated GROUP BY ALL""",
 )
+oracle(
+    "date_parsed",
+    """
+SELECT *, CASE WHEN date IS NOT NULL AND date_parsed IS NULL THEN CASE WHEN date_order IS NULL AND
+    cast(date[1:2] AS int) BETWEEN 1 AND 12 AND cast(date[4:5] AS int) BETWEEN 1 AND 12 THEN 'undecided_order'
+  ELSE 'impossible_date' END END AS date_problem FROM parsed_dates""",
+)
+oracle(
+    "date_votes",
+    """
+SELECT corpus, source, count(*) FILTER (WHERE decided_by = 'date') AS by_date,
+  count(*) FILTER (WHERE decided_by = 'source') AS by_source, count(*) FILTER (WHERE date_parsed IS NULL) AS unread,
+  min(date_parsed) AS first_day, max(date_parsed) AS last_day
+FROM parsed_dates WHERE date IS NOT NULL GROUP BY ALL""",
+)
+oracle(
+    "amount_statistics",
+    """
+, grouped AS MATERIALIZED (
+  SELECT a.corpus, t.source, a.amount FROM amount_rows a JOIN corpus_text t USING (corpus, doc_id)
+  UNION ALL SELECT corpus, '(all)', amount FROM amount_rows),
+counted AS (SELECT corpus, source, amount, count(*) AS c FROM grouped GROUP BY ALL),
+ranked AS (SELECT corpus, source, amount, row_number() OVER (PARTITION BY corpus, source ORDER BY amount) AS r,
+  count(*) OVER (PARTITION BY corpus, source) AS n FROM grouped),
+sizes AS (SELECT corpus, source, count(*) AS n, count(DISTINCT amount) AS n_distinct, min(amount) AS least,
+  max(amount) AS most, round(cast(sum(cast(amount AS decimal(18, 6))) AS double), 2) AS total FROM grouped GROUP BY ALL),
+tops AS (SELECT corpus, source, string_agg(printf('%.2f x %d', amount, c), ', ' ORDER BY c DESC, amount) AS common
+  FROM (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY corpus, source ORDER BY c DESC, amount) <= 3) GROUP BY ALL),
+quantiles AS (SELECT corpus, source, max(amount) FILTER (WHERE r = (n * 500 + 999) // 1000) AS p500,
+  max(amount) FILTER (WHERE r = (n * 950 + 999) // 1000) AS p950 FROM ranked GROUP BY ALL)
+SELECT * FROM sizes JOIN quantiles USING (corpus, source) JOIN tops USING (corpus, source)""",
+)
+oracle(
+    "amount_heavy_hitters",
+    """
+SELECT corpus, place, amount AS value, n FROM (
+  SELECT corpus, amount, count(*) AS n, row_number() OVER (PARTITION BY corpus ORDER BY count(*) DESC, amount) AS place
+  FROM amount_rows GROUP BY corpus, amount) WHERE place <= 20""",
+)
+oracle(
+    "quality_rollup",
+    """
+SELECT confidence_tier, validation_passed AS validation_status, format_name,
+  grouping_id(confidence_tier, validation_passed, format_name) AS level, count(*) AS documents,
+  round(avg(extraction_confidence), 4) AS avg_confidence, count(*) FILTER (WHERE total_amount IS NULL) AS without_total
+FROM rated GROUP BY ROLLUP (confidence_tier, validation_passed, format_name)""",
+)
 oracle(
     "field_fill_rate",
     """
@@ -594,6 +730,27 @@ FROM (
   GROUP BY field)""",
 )
 
+oracle(
+    "expected_accuracy",
+    """
+SELECT field, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+  round(2 * tp / (2 * tp + fp + fn), 6) AS f1, records, missing_records, unexpected_records
+FROM (
+  SELECT field, count(*) FILTER (WHERE e = a) AS tp,
+    count(*) FILTER (WHERE a IS NOT NULL AND e IS DISTINCT FROM a) AS fp,
+    count(*) FILTER (WHERE e IS NOT NULL AND e IS DISTINCT FROM a) AS fn,
+    count(*) FILTER (WHERE ek IS NOT NULL AND ak IS NOT NULL) AS records,
+    count(*) FILTER (WHERE ak IS NULL) AS missing_records, count(*) FILTER (WHERE ek IS NULL) AS unexpected_records
+  FROM (
+    SELECT i.doc_id AS ek, r.doc_id AS ak,
+      unnest(['receipt_number', 'date', 'total_amount', 'bill_to_name']) AS field,
+      unnest([truth_number, truth_date, cast(truth_total AS varchar), truth_name]) AS e,
+      unnest([receipt_number, date, cast(total_amount AS varchar), bill_to_name]) AS a
+    FROM (SELECT * FROM invoices WHERE doc_id % 41 <> 0) i
+    FULL JOIN (SELECT * EXCLUDE (lang, source) FROM records WHERE corpus = 'invoices') r ON r.doc_id = i.doc_id)
+  GROUP BY field)""",
+)
+
 # ---- Streams -------------------------------------------------------------------------------------
 oracle(
     "ingest_without_repeats",
@@ -610,3 +767,19 @@ FROM (SELECT * FROM corpus_text WHERE corpus = 'invoices') t LEFT JOIN records r
 )
 for _name in ("processed_per_day", "processed_per_day_stream"):
     oracle(_name, "SELECT date_trunc('day', ts) AS day, count(*) AS documents FROM events GROUP BY ALL")
+for _name in ("processed_per_session", "processed_per_session_stream"):
+    oracle(
+        _name,
+        """
+SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 8 HOUR AS until, count(*) AS documents
+FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 8 HOUR THEN 1 ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events))
+GROUP BY user_id, island""",
+    )
+oracle(
+    "unprocessed_docs_stream",
+    """
+SELECT doc_id, epoch_ms((doc_id + 1704067200) * 1000) AS uploaded
+FROM documents WHERE doc_id % 7 = 0 OR doc_id * 37 % 80 > 60""",
+)

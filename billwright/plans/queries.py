@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from billwright.functions import entities as ent
 from billwright.functions import quality
-from billwright.operators import entities, records, reports, words
+from billwright.operators import dates, entities, formats, records, reports, statistics, words
 from billwright.plans import corpus as src
-from billwright.session import input_partitions, shared_folder, spread, stored
-from billwright.sources import images, sinks, tables
+from billwright.session import bucketed, input_partitions, shared_folder, spread, stored
+from billwright.sources import images, record_files, sinks, tables
 from billwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,22 @@ def first_sample(spark, sf_dir):
     return images.first_sample(src.landed_files(_documents(spark, sf_dir)), LANDING)
 
 
+@query
+def scan_image_checked(spark, sf_dir):
+    """Sizes and faults of image files, whose bytes hold the texts of ``documents``."""
+    return images.checked_headers(src.image_files(_documents(spark, sf_dir)))
+
+
+@query
+def image_faults(spark, sf_dir):
+    """How many files of each kind have each fault, and the pixels of the sound ones."""
+    found = scan_image_checked(spark, sf_dir)
+    return found.groupBy("kind", "problem").agg(
+        F.count("*").alias("files"),
+        F.sum(F.col("width").cast("long") * F.col("height") * F.col("channels")).alias("samples"),
+    )
+
+
 @query
 def scan_ocr_words(spark, sf_dir):
     path = shared_folder(spark, "ocr-words")
@@ -145,6 +161,31 @@ def sink_json(spark, sf_dir):
     return _read_back(spark, path, shared)
 
 
+@query
+def sink_json_files(spark, sf_dir):
+    """The records of ``documents``, one indented file each, read back; stems repeat."""
+    path = shared_folder(spark, "record-files")
+    kept = records.split_quarantine(records.structure_records(_documents(spark, sf_dir)))[0]
+    kept = kept.withColumn("stem", F.floor(F.col("doc_id") / 3)).select(
+        "doc_id", "stem", "method", *records.RULE_FIELDS
+    )
+    record_files.sink_json_files(kept, path, "stem")
+    back = record_files.read_json_files(spark, path)
+    schema = JSON_SCHEMA.replace("corpus string, ", "").rpartition(", ")[0]
+    return back.withColumn("r", F.from_json("value", schema)).select(
+        "r.doc_id",
+        F.regexp_replace("file", "~[0-9]+", "").alias("output_name"),
+        "r.receipt_number",
+        "r.date",
+        F.col("r.bill_to.name").alias("bill_to_name"),
+        F.size("r.items").alias("n_items"),
+        "r.total_amount",
+        "r.extraction_confidence",
+        F.startswith("value", F.lit('{\n  "doc_id": ')).alias("indented"),
+        F.contains("value", F.lit('\n  "bill_to": null')).alias("null_kept"),
+    )
+
+
 @query
 def sink_export_named(spark, sf_dir):
     run_time = datetime(2024, 2, 3, 4, 5, 6)
@@ -242,6 +283,28 @@ def first_date(spark, sf_dir):
     return out.select(*KEY, "date")
 
 
+@query
+def date_parsed(spark, sf_dir):
+    """Invoices, in which some sources write the month first, and all documents."""
+    columns = [*KEY, "source", "text"]
+    texts = src.with_mixed_dates(src.read_invoices(spark, sf_dir)).select(*columns)
+    texts = texts.unionByName(_documents(spark, sf_dir).select(*columns))
+    return dates.with_parsed_dates(records.with_dates(texts), list(KEY))
+
+
+@query
+def date_votes(spark, sf_dir):
+    """How many dates of each source speak for each order, and what they decide."""
+    decided = date_parsed(spark, sf_dir).filter("date IS NOT NULL")
+    return decided.groupBy("corpus", "source").agg(
+        F.count_if(F.col("decided_by") == "date").alias("by_date"),
+        F.count_if(F.col("decided_by") == "source").alias("by_source"),
+        F.count_if(F.col("date_problem").isNotNull()).alias("unread"),
+        F.min("date_parsed").alias("first_day"),
+        F.max("date_parsed").alias("last_day"),
+    )
+
+
 @query
 def extract_amounts(spark, sf_dir):
     out = records.with_amounts(_texts(spark, sf_dir))
@@ -259,6 +322,30 @@ def explode_amounts(spark, sf_dir):
     return records.explode_amounts(records.with_amounts(_texts(spark, sf_dir))).drop("text")
 
 
+@query
+def amount_statistics(spark, sf_dir):
+    """Amounts of all texts, per corpus and source and per corpus (source ``(all)``)."""
+    amounts = records.explode_amounts(
+        records.with_amounts(src.corpus(spark, sf_dir).select("corpus", "source", "text"))
+    )
+    amounts = stored(amounts.filter("amount IS NOT NULL").select("corpus", "source", "amount"), "amounts")
+    by_source = statistics.value_statistics(amounts, "amount", ("corpus", "source"))
+    whole = statistics.value_statistics(amounts, "amount", ("corpus",))
+    both = by_source.unionByName(whole.withColumn("source", F.lit("(all)")))
+    common = F.transform(
+        "common", lambda c: F.format_string("%.2f x %d", c["value"], c["n"])
+    )
+    return both.withColumn("common", F.array_join(common, ", ")).withColumn("total", F.round("total", 2))
+
+
+@query
+def amount_heavy_hitters(spark, sf_dir):
+    """The 20 commonest amounts of each corpus."""
+    amounts = records.explode_amounts(records.with_amounts(src.corpus(spark, sf_dir).select("corpus", "text")))
+    counts = statistics.value_counts(amounts, "amount", "corpus")
+    return statistics.common_values(counts, ("corpus",), 20)
+
+
 @query
 def extract_total(spark, sf_dir):
     return records.with_total(_texts(spark, sf_dir)).drop("text")
@@ -375,6 +462,20 @@ def detect_format(spark, sf_dir):
     )
 
 
+@query
+def detect_format_templates(spark, sf_dir):
+    """The strongest of about 200 templates, by one pattern."""
+    found = formats.with_format(_texts(spark, sf_dir), src.format_templates(spark))
+    return found.select(
+        *KEY,
+        "format.name",
+        "format.confidence",
+        "format.supported",
+        "format.mark",
+        F.array_join("format.indicators", "|").alias("indicators"),
+    )
+
+
 @query
 def format_recommendations(spark, sf_dir):
     advice = quality.recommendations(quality.detect_format(F.col("text"))["supported"])
@@ -547,6 +648,12 @@ def quality_report(spark, sf_dir):
     return report.withColumn("avg_confidence", F.round("avg_confidence", 4))
 
 
+@query
+def quality_rollup(spark, sf_dir):
+    report = reports.quality_rollup(records.with_quality(_records(spark, sf_dir)))
+    return report.withColumn("avg_confidence", F.round("avg_confidence", 4))
+
+
 @query
 def field_fill_rate(spark, sf_dir):
     rates = reports.field_fill_rate(_records(spark, sf_dir), "corpus", "lang", "source")
@@ -572,6 +679,31 @@ def field_accuracy(spark, sf_dir):
     return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+EXPECTED_BUCKETS = 16
+
+
+@query
+def expected_accuracy(spark, sf_dir):
+    """Records of the invoices against what ``orders`` expects; each side lacks some."""
+    invoices = src.read_invoices(spark, sf_dir)
+    expected = invoices.filter("doc_id % 41 != 0").select(
+        "doc_id",
+        F.col("truth_number").alias("receipt_number"),
+        F.col("truth_date").alias("date"),
+        F.col("truth_total").alias("total_amount"),
+        F.col("truth_name").alias("bill_to_name"),
+    )
+    found = records.split_quarantine(records.structure_records(invoices))[0]
+    found = found.withColumn("bill_to_name", F.col("bill_to.name"))
+    fields = ("receipt_number", "date", "total_amount", "bill_to_name")
+    tables_of = [
+        bucketed(t.select("doc_id", *fields), name, "doc_id", EXPECTED_BUCKETS)
+        for t, name in ((expected, "expected-records"), (found, "actual-records"))
+    ]
+    scores = reports.expected_accuracy(*tables_of, "doc_id", fields)
+    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 # ---- Streams -------------------------------------------------------------------------------
 def _stream(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     whole = src.table(spark, sf_dir, name, *columns)
@@ -638,3 +770,65 @@ def processed_per_day_stream(spark, sf_dir):
     output, checkpoint = shared_folder(spark, "daily"), shared_folder(spark, "daily-state")
     ingest.daily_counts(events, output, checkpoint, "ts", "2 days").awaitTermination()
     return ingest.latest_daily_counts(spark, output)
+
+
+SESSION_GAP = "8 hours"
+
+
+@query
+def processed_per_session(spark, sf_dir):
+    events = src.table(spark, sf_dir, "events", "user_id", "ts")
+    return reports.processed_per_session(events, "user_id", "ts", SESSION_GAP)
+
+
+@query
+def processed_per_session_stream(spark, sf_dir):
+    """The sessions of ``events`` from a stream of four parts of the time, in four micro-batches.
+
+    A last row far in the future closes what is open.
+    """
+    landing, output, checkpoint = (shared_folder(spark, f"sessions-{n}") for n in ("in", "out", "state"))
+    events = src.table(spark, sf_dir, "events", "user_id", F.to_timestamp("ts").alias("ts"))
+    bounds = events.agg(F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high"))
+    low, high = bounds.first()
+    at = F.col("ts").cast("double")
+    part = F.least(F.floor((at - low) / max(high - low, 1.0) * 4), F.lit(3))
+    for k in range(4):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(landing)
+    end = F.timestamp_seconds(F.lit(high + 365 * 86400))
+    closing = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), end.alias("ts"))
+    closing.coalesce(1).write.mode("append").parquet(landing)
+    stream = ingest.stream_table(spark, landing, "user_id long, ts timestamp", max_files=1)
+    ingest.session_counts(stream, output, checkpoint, "user_id", "ts", SESSION_GAP, "1 hour").awaitTermination()
+    found = spark.read.parquet(output).select("user_id", "first", "until", "documents")
+    return found.filter("user_id IS NOT NULL")
+
+
+@query
+def unprocessed_docs_stream(spark, sf_dir):
+    """Documents whose result does not follow their upload within an hour, from two streams.
+
+    A document is uploaded a second after the one before; its result takes some minutes, with
+    some beyond the hour, and one in seven never comes. A last row on either side ends the time.
+    """
+    docs = src.table(spark, sf_dir, "documents", "doc_id")
+    uploads = docs.select("doc_id", F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("uploaded"))
+    minutes = F.pmod(F.col("doc_id") * 37, F.lit(80))
+    results = uploads.filter("doc_id % 7 != 0").select(
+        "doc_id", F.timestamp_seconds(F.unix_timestamp("uploaded") + minutes * 60).alias("finished")
+    )
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.timestamp_seconds(F.lit(4102444800)).alias("t"))
+    streams = []
+    for name, rows in (("uploaded", uploads), ("finished", results)):
+        landing = shared_folder(spark, f"{name}-in")
+        for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+            rows.filter(part).coalesce(1).write.mode("append").parquet(landing)
+        end.withColumnRenamed("t", name).coalesce(1).write.mode("append").parquet(landing)
+        streams.append(ingest.stream_table(spark, landing, f"doc_id long, {name} timestamp", max_files=1))
+    # files hold the whole range of times, so a row may be as late as that
+    lost = ingest.unanswered(*streams, "doc_id", "uploaded", "finished", "1 HOUR", "10000 days")
+    output, checkpoint = shared_folder(spark, "unanswered"), shared_folder(spark, "unanswered-state")
+    ingest.append_table(lost, output, checkpoint).awaitTermination()
+    return spark.read.parquet(output).filter("doc_id >= 0").select(
+        "doc_id", F.col("uploaded").cast("timestamp_ntz").alias("uploaded")
+    )

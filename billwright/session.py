@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -113,3 +114,18 @@ def input_partitions(spark: SparkSession) -> int | None:
     """The setting ``spark.billwright.inputPartitions``: for inputs of few files; unset: none."""
     setting = spark.conf.get("spark.billwright.inputPartitions", None)
     return int(setting) if setting else None
+
+
+def bucketed(df: DataFrame, purpose: str, key: str, buckets: int) -> DataFrame:
+    """Write a table dealt by ``key`` into sorted buckets, one file each, and read it back.
+
+    Tables with as many buckets by keys of the same type are joined on them, and grouped by
+    them, without a further shuffle, as often as they are read. The files lie in the session's
+    shared folder; the name is known to this session's catalog alone.
+    """
+    spark = df.sparkSession
+    name = f"billwright_{re.sub('[^0-9a-z]', '_', purpose)}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", shared_folder(spark, purpose)).saveAsTable(name)
+    return spark.table(name)

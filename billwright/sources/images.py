@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billwright.functions import image_headers as header
+
 # Supported extensions in their listing order, case as given.
 EXTENSIONS = ("jpg", "png", "jpeg")
 _GLOB = "*.{" + ",".join(EXTENSIONS) + "}"
@@ -95,6 +97,31 @@ def scan_first_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _hashed(_listed(scan_files(spark, first.path), posixpath.dirname(first.path)))
 
 
+def checked_headers(files: DataFrame) -> DataFrame:
+    """(path, kind, width, height, channels, problem, error_class) of every file.
+
+    Sizes are read from the bytes of PNG and JPEG headers, without decoding pixels and without
+    Python; the bytes stay where they are read. ``error_class`` is ``bad_image`` where
+    ``problem`` names a fault: no bytes, another format, a header that is cut, wrong or fails
+    its checksum, or a file that lacks its end. An empty table gives an empty one.
+    """
+    content = F.col("content")
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.lit("bad_header").alias("state"))
+    walked = files.withColumn(
+        "__walk", F.when(header.is_jpeg(content), header.jpeg_frame(content)).otherwise(nothing)
+    )
+    walked = walked.withColumn("__frame", header.rest_of_header(content, F.col("__walk")))
+    info = header.image_info(content, F.col("__frame"))
+    return walked.select("path", info.alias("i")).select(
+        "path", "i.*", F.when(F.col("i.problem").isNotNull(), "bad_image").alias("error_class")
+    )
+
+
+def scan_image_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """``checked_headers`` of the image files directly in a folder."""
+    return checked_headers(scan_files(spark, folder))
+
+
 def scan_image_checked(spark: SparkSession, folder: str) -> DataFrame:
     """Size of every image; files that cannot be decoded carry ``bad_image``.
 
