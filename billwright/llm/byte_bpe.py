@@ -3,7 +3,8 @@
 Within one piece of text, a segment tree over byte positions holds for each live position
 the rank of the pair that starts there; its root is the leftmost pair of minimum rank. A
 merge kills one position and changes the pairs of two neighbours, so it costs three point
-updates of logarithmic length, and a piece of n bytes O(n log n), whatever its content.
+updates of logarithmic length, and a piece of n bytes O(n log n), whatever its content. Nodes
+have sixteen children: a word's tree is one node, a text of a million bytes has five levels.
 Pieces are encoded once per task and remembered in a bounded table.
 """
 
@@ -15,13 +16,17 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces remembered by one Python worker; a full table is emptied. Bounds memory only.
-REMEMBERED = 250_000
+#: Pieces remembered by one Python worker: a full table becomes the older one, in place of the
+#: last, and pieces found there come back. Bounds memory only.
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 64
+#: Children of a segment tree's node: few levels, each renewed by one call.
+FAN = 16
 #: Rows handed to Arrow at once hold about so many ids at most (a longer text goes alone).
 IDS_PER_BATCH = 1_000_000
 
@@ -42,52 +47,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: merge the leftmost pair of lowest rank until none is left."""
+    """Ids of one piece: merge the leftmost pair of lowest rank until none is left.
+
+    The lowest level of the tree holds rank * size + place of the pair that starts at each
+    byte, so that the least value is the leftmost pair of least rank; every node above holds
+    the least of its FAN children.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     size = len(piece)
-    leaves = 1 << (size - 1).bit_length() if size > 1 else 1
     rank_of = ranks.get
-    none = (len(ranks) + 1 << 1) * leaves * 4
-    tree = [none] * (2 * leaves)
-    after = list(range(1, size + 2))  # next live position
-    before = list(range(-1, size))
+    none = (len(ranks) + 1 << 1) * size * 4
+    keys = [none] * size
     for at in range(size - 1):
         rank = rank_of(piece[at : at + 2])
         if rank is not None:
-            tree[leaves + at] = rank * leaves + at
-    for node in range(leaves - 1, 0, -1):
-        left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left < right else right
-
-    def put(at: int, key: int) -> None:
-        node = leaves + at
-        if tree[node] == key:
-            return
-        tree[node] = key
-        while node > 1:
-            other = tree[node ^ 1]
-            low = key if key < other else other
-            node >>= 1
-            if tree[node] == low:
-                return
-            tree[node] = low
-            key = low
-
-    while tree[1] < none:
-        at = tree[1] % leaves
+            keys[at] = rank * size + at
+    levels = [keys]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[at : at + FAN]) for at in range(0, len(below), FAN)])
+    top, inner = levels[-1], levels[1:]
+    after = list(range(1, size + 2))  # next live position
+    before = list(range(-1, size))
+
+    while True:
+        least = min(top)
+        if least >= none:
+            break
+        at = least % size
         gone = after[at]
         end = after[gone]
-        after[at] = end
-        before[end if end < size else size - 1] = at
-        put(gone, none)
-        rank = rank_of(piece[at : after[end]]) if end < size else None
-        put(at, none if rank is None else rank * leaves + at)
         left = before[at]
+        after[at] = end
+        keys[gone] = none
+        if end < size:
+            before[end] = at
+            rank = rank_of(piece[at : after[end]])
+            keys[at] = none if rank is None else rank * size + at
+        else:
+            keys[at] = none
         if left >= 0:
             rank = rank_of(piece[left:end])
-            put(left, none if rank is None else rank * leaves + left)
+            keys[left] = none if rank is None else rank * size + left
+        if inner:  # renew what lies above the three changed places
+            below, changed = keys, {gone // FAN, at // FAN, max(left, 0) // FAN}
+            for level in inner:
+                for node in changed:
+                    level[node] = min(below[node * FAN : node * FAN + FAN])
+                below, changed = level, {node // FAN for node in changed}
     ids, at = [], 0
     while at < size:
         ids.append(ranks[piece[at : after[at]]])
@@ -113,23 +122,58 @@ class Encoder:
             if r"\p" not in quick:
                 self.quick_pieces_of = re.compile(quick).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def piece(self, piece: str) -> bytes:
-        ids = array("i", merged(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
+        if len(piece) > LONGEST_REMEMBERED:
+            return self._merged(piece)
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        ids = self.known[piece] = self.older.get(piece) or self._merged(piece)
         return ids
 
+    def _merged(self, piece: str) -> bytes:
+        return array("i", merged(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers, one after another."""
         find = self.pieces_of if _BEYOND.search(text) else self.quick_pieces_of
-        known, piece = self.known.get, self.piece
-        return b"".join([known(p) or piece(p) for p in find(text)])
+        pieces = find(text)
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            piece = self.piece
+            ids = [i or piece(p) for i, p in zip(ids, pieces, strict=True)]
+        return b"".join(ids)
+
+    def decoder(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes one after another, and where each id's begin and how many they are."""
+        most = max(self.tokens, default=-1) + 1
+        sizes = np.full(most, -1, np.int64)
+        for rank, token in self.tokens.items():
+            sizes[rank] = len(token)
+        starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))[:most]
+        joined = b"".join(self.tokens.get(rank, b"") for rank in range(most))
+        return np.frombuffer(joined, np.uint8), starts, sizes
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of rows of ids: row r has ``ids[offsets[r]:offsets[r + 1]]``."""
+        if self.whole is None:
+            self.whole = self.decoder()
+        data, starts, sizes = self.whole
+        unknown = (ids < 0) | (ids >= len(sizes))
+        if unknown.any() or (sizes[ids] < 0).any():
+            raise KeyError("an id that the rank file lacks")
+        lengths = sizes[ids]
+        ends = np.cumsum(lengths)
+        # every byte's place among all tokens' bytes: its token's start, less where it begins here
+        shift = starts[ids] - (ends - lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = data[np.repeat(shift, lengths) + np.arange(total)]
+        borders = np.concatenate(([0], ends))[offsets]
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(borders), pa.py_buffer(flat)]
+        )
 
 
 @lru_cache(maxsize=2)
@@ -197,8 +241,19 @@ def decoded(
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(rank_path, "")
         for batch in batches:
-            values = [own.decode(v.as_py() or ()) for v in batch.column(ids)]
-            columns = [*(batch.column(c) for c in kept), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+            lists = batch.column(ids).fill_null([])
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = offsets - offsets[0]
+            start = 0
+            while start < len(lists):  # rows of so many ids at a time; a longer one goes alone
+                end = int(np.searchsorted(offsets, offsets[start] + IDS_PER_BATCH, "right")) - 1
+                end = min(max(end, start + 1), len(lists))
+                own_ids = flat[offsets[start] : offsets[end]]
+                values = own.decode(own_ids, offsets[start : end + 1] - offsets[start])
+                part = batch.slice(start, end - start)
+                columns = [*(part.column(c) for c in kept), values.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+                start = end
 
     return tokens.select(*dict.fromkeys([*kept, ids])).mapInArrow(decode, schema)
