@@ -18,6 +18,7 @@ from billwright.session import stored
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = 10
+END = ""
 #: Tables derived from the test texts or from matches are broadcast up to so many rows of a
 #: few dozen bytes (counted first); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -55,17 +56,26 @@ def indexed(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     """The stored postings (term, doc, text_hash, position from 0) of the words in ``terms``.
 
     ``terms`` has one row per word. A document is named by its id and its text's hash, so
-    that rows which repeat an id with another text stay apart.
+    that rows which repeat an id with another text stay apart. Behind its last word each row
+    has a posting of the term ``END``, no word, whose position is its number of words.
     """
+    terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term")))
     n_terms = terms.count()
     tokens = docs.select(
         F.col(key).alias("doc"),
         F.xxhash64(text).alias("text_hash"),
-        F.posexplode(words_of(F.col(text))).alias("position", "term"),
+        F.posexplode(F.concat(words_of(F.col(text)), F.array(F.lit(END)))).alias("position", "term"),
     )
     return stored(tokens.join(_small(terms, n_terms), "term"), "postings")
 
 
+def lengths(postings: DataFrame) -> DataFrame:
+    """(doc, text_hash, n_words): one row per indexed row."""
+    return postings.filter(F.col("term") == END).select(
+        "doc", "text_hash", F.col("position").cast("long").alias("n_words")
+    )
+
+
 def _plan(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     """(phrase, term, offset, rank, size): a phrase's places from its rarest term on.
 
@@ -209,12 +219,17 @@ def contamination(
     same = F.col("doc").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))
     marks = stored(items.join(marks, same).drop("doc", "text_hash"), "contaminated")
     results = ("n_words", "n_hit", "n_items", "items", "contaminated")
-    rows = docs.select(
-        *(c for c in (keep or [key]) if c not in results),
-        F.col(key).alias("__doc"),
-        F.xxhash64(text).alias("__hash"),
-        F.size(words_of(F.col(text))).cast("long").alias("n_words"),
-    )
+    if keep is None:  # the index knows the rows and their lengths: the texts are read once
+        rows = lengths(postings).select(
+            F.col("doc").alias(key), F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), "n_words"
+        )
+    else:
+        rows = docs.select(
+            *(c for c in keep if c not in results),
+            F.col(key).alias("__doc"),
+            F.xxhash64(text).alias("__hash"),
+            F.size(words_of(F.col(text))).cast("long").alias("n_words"),
+        )
     same = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
     found_items = F.coalesce("__items", F.array().cast("array<string>"))
     return (
