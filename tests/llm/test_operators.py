@@ -365,6 +365,8 @@ def test_small_units_and_shuffled_texts_agree(spark, monkeypatch):
     docs = near_copies()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(jaccard_join, "UNIT", 3)
+    monkeypatch.setattr(jaccard_join, "PART", 2)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
     monkeypatch.setattr(jaccard_join, "FIRST_CLOSEST", 1)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     rows = jaccard_join.linked_components(frame).collect()
@@ -380,8 +382,12 @@ def test_linked_sets_share_a_list():
         import numpy as np
 
         a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
-        if len(b) >= jaccard_join.least_overlap(len(a), len(b)):
-            assert set(jaccard_join.block_lists(a)) & set(jaccard_join.block_lists(b))
+        counts = np.random.default_rng(2).choice([0, 0, 17, 40, 5000], 1 << jaccard_join.CELL_BITS)
+        for measure in (jaccard_join.TRIGRAMS, jaccard_join.Measure(5, 4, 5)):
+            one, two = (jaccard_join.prefix_lists(x, counts, measure)[0].tolist() for x in (a, b))
+            assert len(one) == jaccard_join.prefix_size(len(a), measure)
+            if len(b) >= jaccard_join.least_overlap(len(a), len(b), measure):
+                assert set(one) & set(two)
 
 
 def brute_groups(docs, ngram, least):
