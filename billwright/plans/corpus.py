@@ -138,7 +138,7 @@ def invoices(orders: DataFrame) -> DataFrame:
             ),
             "truth_date_line": F.expr(
                 """CASE WHEN truth_date IS NULL THEN NULL
-                        WHEN k % 4 = 3 THEN concat('Date: ', truth_date, ' 11:05:16 AM Due: ',
+                        WHEN k % 4 = 3 THEN concat('Date: ', truth_date, ' 09:41:27 PM Due: ',
                                                    date_format(o_orderdate, 'yyyy/MM/dd'))
                         ELSE concat('Date: ', truth_date) END"""
             ),

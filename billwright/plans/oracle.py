@@ -45,7 +45,7 @@ SELECT *,
        WHEN k % 7 = 2 THEN concat('receipt ', lower(truth_number))
        WHEN truth_number IS NOT NULL THEN concat('Invoice No: ', truth_number) END AS truth_number_line,
   CASE WHEN truth_date IS NULL THEN NULL
-       WHEN k % 4 = 3 THEN concat('Date: ', truth_date, ' 11:05:16 AM Due: ', strftime(o_orderdate, '%Y/%m/%d'))
+       WHEN k % 4 = 3 THEN concat('Date: ', truth_date, ' 09:41:27 PM Due: ', strftime(o_orderdate, '%Y/%m/%d'))
        ELSE concat('Date: ', truth_date) END AS truth_date_line,
   {_dialect(src._money('total_cents'))} AS total_text,
   {_dialect(src._grouped_money('total_cents'))} AS total_grouped
@@ -783,3 +783,15 @@ oracle(
 SELECT doc_id, epoch_ms((doc_id + 1704067200) * 1000) AS uploaded
 FROM documents WHERE doc_id % 7 = 0 OR doc_id * 37 % 80 > 60""",
 )
+# Documents without a third version keep their second one, which is their first line.
+_cut = "CASE WHEN doc_id % 5 = 0 THEN string_split(text, chr(10))[1] ELSE text END"
+oracle(
+    "corrected_uploads",
+    """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 3 END AS version, receipt_number, date, total_amount, n_items
+FROM records WHERE corpus = 'documents'""",
+)
+_whole = "UNION ALL SELECT doc_id, 'documents', lang, source, text FROM documents"
+if _whole not in ORACLE["corrected_uploads"]:
+    raise ValueError("the corpus is written in another way")
+ORACLE["corrected_uploads"] = ORACLE["corrected_uploads"].replace(_whole, _whole.replace("source, text", f"source, {_cut}"))

@@ -17,7 +17,7 @@ from billwright.operators import dates, entities, formats, records, reports, sta
 from billwright.plans import corpus as src
 from billwright.session import bucketed, input_partitions, shared_folder, spread, stored
 from billwright.sources import images, record_files, sinks, tables
-from billwright.streaming import ingest
+from billwright.streaming import corrections, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -745,7 +745,8 @@ def incremental_ingest(spark, sf_dir):
         return records.structure_records(src.invoices(batch).select("doc_id", "text"))
 
     output, checkpoint = shared_folder(spark, "ingest"), shared_folder(spark, "ingest-state")
-    ingest.incremental_ingest(orders, output, checkpoint, extract).awaitTermination()
+    parts = input_partitions(spark)
+    ingest.incremental_ingest(orders, output, checkpoint, extract, parts).awaitTermination()
     return spark.read.parquet(output).select(
         "doc_id",
         "receipt_number",
@@ -832,3 +833,29 @@ def unprocessed_docs_stream(spark, sf_dir):
     return spark.read.parquet(output).filter("doc_id >= 0").select(
         "doc_id", F.col("uploaded").cast("timestamp_ntz").alias("uploaded")
     )
+
+
+@query
+def corrected_uploads(spark, sf_dir):
+    """Three runs over the documents: some come with their third version first, some with none older.
+
+    The second run brings the versions that the first one left out, the third repeats some.
+    """
+    landing, output, checkpoint = (shared_folder(spark, f"corrections-{n}") for n in ("in", "out", "state"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    versions = docs.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"))
+    # only the newest version has the whole text: an older one ends after its first line
+    text = F.when(F.col("version") == 3, F.col("text")).otherwise(F.substring_index("text", "\n", 1))
+    at = F.timestamp_seconds(F.col("doc_id") + F.col("version") * 3600 + 1704067200)
+    uploads = versions.filter("version < 3 OR doc_id % 5 != 0").select(
+        "doc_id", F.col("version").cast("long"), text.alias("text"), at.alias("uploaded")
+    )
+    first = "(doc_id % 3 = 0 AND version = 3) OR (doc_id % 3 = 1 AND version = 1) OR (doc_id % 3 = 2 AND version = 2)"
+    for part in (first, f"NOT ({first})", "doc_id % 2 = 0 AND version = 2"):
+        uploads.filter(part).write.mode("append").parquet(landing)
+        stream = ingest.stream_table(spark, landing, corrections.UPLOAD_SCHEMA)
+        corrections.ingest_corrections(stream, output, checkpoint, "10 days").awaitTermination()
+    current = corrections.current_records(spark.read.parquet(output))
+    return current.select(
+        "doc_id", "version", "receipt_number", "date", "total_amount", F.size("items").alias("n_items")
+    )

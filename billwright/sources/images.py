@@ -79,8 +79,13 @@ def scan_image_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_sample(files: DataFrame, folder: str) -> DataFrame:
-    """The first image of a listing; only the chosen file is hashed."""
-    return _hashed(_listed(files, folder).orderBy("path").limit(1))
+    """The first image of a listing: its path goes to the driver, then one row is read.
+
+    Only paths are compared, in each task first; no bytes are sorted or moved.
+    """
+    first = _listed(files.select("path"), folder).agg(F.min("path")).first()[0]
+    chosen = files.filter(F.lit(False) if first is None else F.col("path") == first)
+    return _hashed(_listed(chosen, folder)).limit(1)
 
 
 def first_path(spark: SparkSession, folder: str) -> DataFrame:
