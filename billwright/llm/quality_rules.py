@@ -2,8 +2,10 @@
 
 Each text gets a few counts. For every (lang, source) mergeable KLL sketches summarise the
 rates built from the counts, and a text is kept when none of its rates lies beyond the
-upper fence of its own group. Everything is DataFrame functions: counting is row-local, the
-sketches merge map-side, and only one small row per group meets the texts again.
+upper fence of its own group. No rate has a written cutoff: a fence is made of quantiles of the
+group's texts and, where labels are given, of its language's texts known to be good, whose
+sketches are merged from those of its groups. Everything is DataFrame functions: counting is
+row-local, the sketches merge map-side, and only one small row per group meets the texts again.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ NOT_WHITE = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rate -> (counts it divides, least distance between a group's median and its fence).
-#: The distance is what a rate may exceed the median by in a group without any spread.
+#: Rate -> the counts it divides, and what one event adds to the upper one: a window found
+#: twice makes six words repeated.
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", 0.15),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 0.50),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.40),
-    "word_length": ("word_chars", "n_words", 4.0),
+    "symbol_rate": ("n_symbols", "n_words", 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 6),
+    "word_length": ("word_chars", "n_words", 1),
 }
-#: A fence lies this many (median - low quantile) spreads above the median.
-SPREADS = 6.0
-LOW_RANK = 0.10
+#: With labels, a fence lies this many (upper - median) spreads above the quantile UPPER_RANK of
+#: the good texts of the language; without, SPREADS (median - low quantile) above the median.
+GOOD_SPREADS, UPPER_RANK = 3.0, 0.99
+SPREADS, LOW_RANK = 6.0, 0.10
+#: Events may exceed what the fence allows for by so many standard deviations of a Poisson
+#: count, as they do in short texts by chance.
+DEVIATIONS = 3.0
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -127,25 +133,52 @@ def _rate(name: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
-def group_fences(counted: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def _sketches(counted: DataFrame, *keys: str) -> DataFrame:
+    return counted.groupBy(*keys).agg(*(F.kll_sketch_agg_double(_rate(r)).alias(f"__{r}") for r in RATES))
+
+
+def _merged(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Upper quantiles of each rate from the sketches of several groups."""
+    merged = sketches.groupBy(*keys).agg(*(F.kll_merge_agg_double(f"__{r}").alias(f"__{r}") for r in RATES))
+    upper = (
+        F.kll_sketch_get_quantile_double(f"__{r}", F.lit(UPPER_RANK)).alias(f"__upper_{r}") for r in RATES
+    )
+    return merged.select(*keys, *upper)
+
+
+def group_fences(
+    counted: DataFrame, keys: tuple[str, ...] = ("lang", "source"), good: DataFrame | None = None
+) -> DataFrame:
     """One row per group: an upper fence for each rate, from sketches of its texts.
 
-    Texts without words and those that fail the base rules take no part, so that they
-    can't widen the fence. The fence is the median plus ``SPREADS`` times the distance from
-    a low quantile to the median: junk raises upper quantiles, not these two, as long as
-    it is under half of the group.
+    Texts without words and those that fail the base rules take no part, so that they can't
+    widen the fence. ``good`` are those of ``counted`` that are labelled good. The fence lies
+    beyond the upper quantile of the good texts of the first key (of all keys where it has
+    none) by a multiple of that quantile's distance to the group's median. Without ``good`` (or
+    if it is empty) the fence is the median plus a multiple of the distance from a low quantile
+    to the median: junk raises upper quantiles, not these two, below half of the group.
     """
-    sketches = counted.filter(~base_failed()).groupBy(*keys).agg(
-        *(F.kll_sketch_agg_double(_rate(r)).alias(f"__{r}") for r in RATES)
-    )
+    own = _sketches(counted.filter(~base_failed()), *keys)
     quantile = F.kll_sketch_get_quantile_double
-    columns = []
-    for rate, (_, _, least) in RATES.items():
-        middle = quantile(f"__{rate}", F.lit(0.5))
-        low = quantile(f"__{rate}", F.lit(LOW_RANK))
-        fence = middle + F.greatest(F.lit(SPREADS) * (middle - low), F.lit(least))
-        columns.append(fence.alias(f"{rate}_fence"))
-    return sketches.select(*keys, *columns)
+    middle = {r: quantile(f"__{r}", F.lit(0.5)) for r in RATES}
+    low = {r: quantile(f"__{r}", F.lit(LOW_RANK)) for r in RATES}
+    whole = None
+    if good is not None:
+        by_group = stored(_sketches(good.filter(~base_failed()), *keys), "good-sketches")
+        whole = _merged(by_group).first()
+    if whole is None or whole[0] is None:
+        return own.select(
+            *keys, *((middle[r] + SPREADS * (middle[r] - low[r])).alias(f"{r}_fence") for r in RATES)
+        )
+    first = keys[0]
+    by_first = _merged(by_group, first).withColumnRenamed(first, "__first")
+    joined = own.join(by_first, F.col(first).eqNullSafe(F.col("__first")), "left")
+    fences = []
+    for at, rate in enumerate(RATES):
+        upper = F.coalesce(F.col(f"__upper_{rate}"), F.lit(whole[at]))
+        fence = upper + GOOD_SPREADS * F.greatest(upper - middle[rate], F.lit(0.0))
+        fences.append(fence.alias(f"{rate}_fence"))
+    return joined.select(*keys, *fences)
 
 
 def judged(
@@ -153,32 +186,48 @@ def judged(
     text: str = "text",
     keys: tuple[str, ...] = ("lang", "source"),
     columns: list[str] | None = None,
+    labels: DataFrame | None = None,
+    key: str = "doc_id",
 ) -> DataFrame:
     """Add counts, ``base_failed``, ``failed_rates`` (array of names) and ``kept``.
 
-    ``columns``: those of ``docs`` to carry (default all). Null keys form a group of their
-    own. Repeated rows are judged each. A group whose texts all fail the base rules has no
-    fence and keeps none. An empty table gives an empty result. Input columns that carry
-    the name of a result are replaced.
+    ``labels`` has the ``key`` and ``quality`` (1: good) of some texts. ``columns``: those of
+    ``docs`` to carry (default all). Null keys form a group of their own. Repeated rows are
+    judged each. A group whose texts all fail the base rules has no fence and keeps none. An
+    empty table gives an empty result. Input columns that carry the name of a result are
+    replaced.
     """
     results = (*BASE_COLUMNS, "n_lines", "base_failed", "failed_rates", "kept")
     carried = [c for c in (columns or docs.columns) if c not in results]
-    needed = list(dict.fromkeys([*carried, *keys, text]))
+    named = [] if labels is None else [key]
+    needed = list(dict.fromkeys([*carried, *keys, *named, text]))
     counted = with_counts(docs.select(*needed), text)
     counted = counted.select(
-        *dict.fromkeys([*carried, *keys]), *BASE_COLUMNS, "n_lines"
+        *dict.fromkeys([*carried, *keys, *named]), *BASE_COLUMNS, "n_lines"
     )
     counted = stored(counted.withColumn("base_failed", base_failed()), "quality-counts")
+    good = None
+    if labels is not None:
+        known = labels.filter("quality = 1").select(F.col(key).alias("__known"))
+        sized = counted.select(*dict.fromkeys([key, *keys]), *BASE_COLUMNS, "n_lines")
+        good = sized.join(known, F.col(key) == F.col("__known"), "left_semi")
     marks = [f"__key{i}" for i in range(len(keys))]
-    fences = group_fences(counted, keys).withColumnsRenamed(dict(zip(keys, marks, strict=True)))
+    fences = group_fences(counted, keys, good).withColumnsRenamed(dict(zip(keys, marks, strict=True)))
     same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks, strict=True)]
     joined = counted.join(fences, same, "left")
     failed = F.filter(
-        F.array(*(F.when(_rate(r) > F.col(f"{r}_fence"), F.lit(r)) for r in RATES)),
+        F.array(*(F.when(_beyond(r), F.lit(r)) for r in RATES)),
         lambda x: x.isNotNull(),
     )
     judged_rows = joined.withColumn("failed_rates", failed)
-    kept = ~F.col("base_failed") & (F.size("failed_rates") == 0)
+    fenced = F.col(f"{next(iter(RATES))}_fence").isNotNull()
+    kept = ~F.col("base_failed") & (F.size("failed_rates") == 0) & fenced
     return judged_rows.withColumn("kept", kept).select(
         *carried, *BASE_COLUMNS, "base_failed", "failed_rates", "kept"
     )
+
+
+def _beyond(rate: str) -> Column:
+    top, bottom, event = RATES[rate]
+    allowed = F.greatest(F.col(f"{rate}_fence") * F.col(bottom) / event, F.lit(0.0))
+    return F.col(top) / event > allowed + DEVIATIONS * F.sqrt(allowed) + DEVIATIONS**2

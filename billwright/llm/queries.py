@@ -107,8 +107,8 @@ def op5_jaccard_join(spark, sf_dir):
 
 @query
 def op6_quality_rules(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    judged = quality_rules.judged(docs, columns=["doc_id"])
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality_rules.judged(docs, columns=["doc_id"], labels=labels)
     return judged.select("doc_id", *quality_rules.BASE_COLUMNS, "base_failed", "kept")
 
 

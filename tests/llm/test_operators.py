@@ -471,6 +471,77 @@ def test_fences_follow_their_group(spark):
     assert not out[2001].kept
 
 
+def brute_kept(rows, good_ids, spreads=3.0, deviations=3.0):
+    """Verdicts of (id, text, lang, source) with exact quantiles in place of sketches."""
+    counted = []
+    for key, text, lang, source in rows:
+        words, chars, symbols, dups, repeats = brute_counts(text)
+        lines = sum(bool(re.search("[^\x20\x09-\x0d]", line)) for line in (text or "").split("\n"))
+        base_failed = words < 50 or 100 * repeats > 50 * words
+        parts = {"symbol_rate": (symbols, words), "dup_line_rate": (dups, lines), "repeat_rate": (repeats, words), "word_length": (chars, words)}
+        counted.append((key, lang, source, base_failed, parts))
+
+    def quantile(values, rank):
+        ordered = sorted(values)
+        return ordered[max(0, math.ceil(rank * len(ordered)) - 1)]
+
+    def rate(parts, name):
+        top, bottom = parts[name]
+        return top / bottom if bottom else 0.0
+
+    verdicts, fences = {}, {}
+    for key, lang, source, base_failed, parts in counted:
+        kept = not base_failed
+        for name, (top, bottom) in parts.items():
+            if not kept:
+                break
+            if (lang, source, name) not in fences:
+                group = [rate(p, name) for _, g, s, b, p in counted if (g, s, b) == (lang, source, False)]
+                good = [rate(p, name) for k, g, _, b, p in counted if g == lang and not b and k in good_ids]
+                upper = quantile(good, 0.99)
+                fences[lang, source, name] = upper + spreads * max(upper - quantile(group, 0.5), 0.0)
+            event = 6 if name == "repeat_rate" else 1
+            allowed = fences[lang, source, name] * bottom / event
+            kept = top / event <= allowed + deviations * math.sqrt(allowed) + deviations**2
+        verdicts[key] = kept
+    return verdicts, fences
+
+
+def test_verdicts_equal_exact_quantiles_on_the_given_tables(spark):
+    """The sketches decide: no rate has a cutoff of its own, and groups differ."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    verdicts, fences = brute_kept(rows, good)
+    judged = quality_rules.judged(docs, labels=labels)
+    got = {r.doc_id: r.kept for r in judged.select("doc_id", "kept").collect()}
+    assert got == verdicts
+    lengths = sorted({v for (_, _, name), v in fences.items() if name == "word_length"})
+    assert lengths[-1] - lengths[0] > 0.5  # words that one group lets pass fail in another
+    assert not any(got[k] for k in {r.doc_id for r in labels.filter("quality = 0").collect()})
+    assert sum(got[k] for k in good) >= 0.97 * sum(brute_counts(t)[0] >= 50 for k, t, *_ in rows if k in good)
+
+
+def test_equal_rates_get_the_verdict_of_their_group(spark):
+    """Groups of the given tables, in one of which all words are longer."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang IN ('en', 'de')")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    longer = F.when(F.col("lang") == "de", F.regexp_replace("text", r"(\pL{4,})", "$1$1")).otherwise(F.col("text"))
+    docs = docs.withColumn("text", longer)
+    sample = docs.filter("lang = 'de'").join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    sample = sample.orderBy("doc_id").limit(5)
+    moved = sample.withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("lang", F.lit("en"))
+    both = docs.unionByName(moved)
+    got = {r.doc_id: r for r in quality_rules.judged(both, labels=labels).collect()}
+    ids = [r.doc_id for r in sample.collect()]
+    checked = [i for i in ids if got[i].n_words >= 300]
+    assert checked and all(got[i].kept for i in checked)
+    assert all(got[10**6 + i].failed_rates == ["word_length"] for i in checked)
+
+
 # ---- Chat --------------------------------------------------------------------------------------
 def test_snapshots_collapse(spark):
     def talk(conv, *texts):
