@@ -21,7 +21,8 @@ NEAR = jaccard_join.Measure(ngram=5, numerator=4, denominator=5)
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judged(docs).filter("kept").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judged(docs, labels=labels).filter("kept").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
