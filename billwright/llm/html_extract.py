@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +27,7 @@ VOID = frozenset(
 UNSEEN = frozenset("script style noscript template iframe svg canvas object head title".split())
 CONTROLS = frozenset("form select option button textarea label fieldset datalist dialog".split())
 ASIDE = frozenset("nav footer aside menu".split())
+OFF_ELEMENTS = ASIDE | CONTROLS | {"header"}
 ARTICLE = frozenset("article main".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span "
@@ -69,15 +70,101 @@ START_TAG = {
 NEUTRAL = "aside"
 
 
-class _Reader(HTMLParser):
-    """Turns a page into events: (place, words of a text run or None, block number, text)."""
+# A tag: quotes hold a '>' only behind an equals sign. Possessive, so that no try goes back.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements whose content is no markup.
+RAW = frozenset("script style".split())
+
+
+def tokens_of(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page: kinds are text, start, startend and end.
+
+    One pass: an unfinished comment, script or tag is looked for its end once, and what
+    follows the last ``>`` is text, so hostile pages cost no more than others.
+    """
+    at, shown, size = 0, 0, len(html)
+    last = html.rfind(">")
+    while at < size:
+        at = html.find("<", at)
+        if at < 0 or at > last:
+            break
+        follows = html[at + 1 : at + 2]
+        closing = follows == "/"
+        initial = html[at + 2 : at + 3] if closing else follows
+        if initial.isascii() and initial.isalpha():
+            match = _TAG.match(html, at)
+            end = match.end() if match else html.find(">", at) + 1
+            found = match or _TAG.match(html[at:end].replace("=", " "))
+        elif html.startswith("<!--", at):
+            end, found = html.find("-->", at + 2) + 3, None
+            end = end if end > 2 else size
+        elif follows in ("!", "?") or closing:
+            end, found = html.find(">", at) + 1, None
+        else:
+            at += 1  # a sign of its own, part of the text
+            continue
+        if at > shown:
+            yield "text", html[shown:at], ""
+        at = shown = end
+        if not found:
+            continue
+        name, rest = found[2].lower(), found[3]
+        if closing:
+            yield "end", name, ""
+            continue
+        whole = rest.endswith("/")
+        yield ("startend" if whole else "start"), name, rest
+        if name in RAW and not whole:
+            content = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(html, at)
+            at = content.start() if content else size
+            if at > shown:
+                yield "raw", html[shown:at], ""
+            shown = at
+    if shown < size:
+        yield "text", html[shown:], ""
+
+
+class _Reader:
+    """Turns a page into events: (place, words of a text run or None, block number, text).
+
+    What depends on the open elements is kept as counts, so that an event costs the same at
+    any depth.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []  # element and its own zone
+        self.open: Counter = Counter()
+        self.off = 0  # open elements that stand off by their name
         self.events: list[tuple[str, int, int, str]] = []
         self.block = 0
 
+    def read(self, html: str) -> list[tuple[str, int, int, str]]:
+        for kind, value, rest in tokens_of(html):
+            if kind == "text":
+                self.data(unescape(value))
+            elif kind == "raw":
+                self.data(value)
+            elif kind == "end":
+                self.end(value)
+            else:
+                self.start(value, rest)
+                if kind == "startend" and value not in VOID and value in UNSEEN:
+                    self.end(value)
+        return self.events
+
+    def push(self, name: str, zone: str) -> None:
+        self.stack.append((name, zone))
+        self.open[name] += 1
+        self.off += name in OFF_ELEMENTS
+
+    def cut(self, size: int) -> None:
+        """Close all open elements from a depth on."""
+        while len(self.stack) > size:
+            name, _ = self.stack.pop()
+            self.open[name] -= 1
+            self.off -= name in OFF_ELEMENTS
+
     def zone(self) -> str:
         return self.stack[-1][1] if self.stack else "out"
 
@@ -87,12 +174,11 @@ class _Reader(HTMLParser):
             return NEUTRAL
         if zone in ("unseen", "off", "lasting"):
             return "off"
-        names = [name for name, _ in self.stack]
         if zone == "in":
             return "in"
-        if "a" in names:
+        if self.open["a"]:
             return "link"
-        return "out-text" if any(n in TEXTUAL for n in names[-6:]) else "out"
+        return "out-text" if any(name in TEXTUAL for name, _ in self.stack[-6:]) else "out"
 
     def tag(self, name: str) -> None:
         if self.zone() != "unseen":
@@ -100,46 +186,41 @@ class _Reader(HTMLParser):
         if name not in INLINE:
             self.block += 1
 
-    def handle_starttag(self, name, attrs):
+    def start(self, name: str, rest: str) -> None:
         if name in CLOSES_PARAGRAPH:
             self.end_open("p", CLOSES_PARAGRAPH)
         elif name in ("li", "option", "tr", "td", "th", "dt", "dd"):
             self.end_open(name, frozenset(("ul", "ol", "table", "select", "dl")))
         self.tag(name)
         if name not in VOID:
-            self.stack.append((name, self.zone_of(name, attrs)))
-
-    def handle_startendtag(self, name, attrs):
-        self.handle_starttag(name, attrs)
-        if name not in VOID and name in UNSEEN | frozenset(("br",)):
-            self.handle_endtag(name)
-
-    def handle_endtag(self, name):
-        if name == "br":
-            self.tag(name)
-            return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == name:
-                del self.stack[at:]
-                break
+            self.push(name, self.zone_of(name, rest))
+
+    def end(self, name: str) -> None:
+        if name != "br" and self.open[name]:
+            at = len(self.stack) - 1
+            while self.stack[at][0] != name:
+                at -= 1
+            self.cut(at)
         self.tag(name)
 
     def end_open(self, name: str, limits: frozenset[str]) -> None:
         """End an open element that a new one closes, unless it stands outside of it."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == name:
-                del self.stack[at:]
-                return
+        if not self.open[name]:
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != name:
             if self.stack[at][0] in limits:
                 return
+            at -= 1
+        self.cut(at)
 
-    def zone_of(self, name: str, attrs) -> str:
+    def zone_of(self, name: str, rest: str) -> str:
         zone = self.zone()
         inside = zone in ("in", "off-in", "lasting-in")
         if zone == "unseen" or name in UNSEEN:
             return "unseen"
         if name in ARTICLE and zone not in ("lasting", "lasting-in"):
-            return "in" if zone in ("in", "out") or not self.tagged_off() else zone
+            return "in" if zone in ("in", "out") or not self.off else zone
         if zone in ("off", "off-in", "lasting", "lasting-in"):
             return zone
         end = "-in" if inside else ""
@@ -148,29 +229,24 @@ class _Reader(HTMLParser):
         if name in ("html", "body"):
             return zone
         marks = set()
-        for key, value in attrs:
-            if key in ("class", "id", "role") and value:
-                marks.update(re.split(r"[^a-z0-9]+", value.lower()))
+        for key, *values in _ATTRIBUTE.findall(rest):
+            if key.lower() in ("class", "id", "role"):
+                marks.update(re.split(r"[^a-z0-9]+", unescape("".join(values)).lower()))
         if marks & LASTING:
             return "lasting" + end
         return "off" + end if marks & MARKS else zone
 
-    def tagged_off(self) -> bool:
-        return any(n in ASIDE or n in CONTROLS or n == "header" for n, _ in self.stack)
-
-    def handle_data(self, data):
+    def data(self, data: str) -> None:
         if self.zone() != "unseen":
             self.events.append((self.place(), len(data.split()), self.block, data))
 
 
 def events_of(html: str) -> list[tuple[str, int, int, str]]:
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    if any(event[0] in ("in", NEUTRAL) for event in reader.events):
-        return reader.events
+    events = _Reader().read(html)
+    if any(event[0] in ("in", NEUTRAL) for event in events):
+        return events
     bare = {"out": "bare", "out-text": "bare-text"}
-    return [(bare.get(event[0], event[0]), *event[1:]) for event in reader.events]
+    return [(bare.get(event[0], event[0]), *event[1:]) for event in events]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

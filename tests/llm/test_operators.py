@@ -11,6 +11,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -582,6 +583,29 @@ def test_main_text():
     assert html_extract.main_text("plain words", weights) == "plain words"
 
 
+def test_hostile_pages_are_read_in_linear_time():
+    pieces = ["<div>", "<a ", "<!--", "<b><p>x", "<a b='>", '<a b=">x', "<", "</p>", "<script>", "&amp", "<ul><li>", "<a =", "</a "]
+    weights = html_extract.weights_from({})
+    started = time.perf_counter()
+    for piece in pieces:
+        html = piece * (1_000_000 // len(piece))
+        html_extract.main_text(html, weights)
+        html_extract.main_text(html + ">", weights)
+    assert time.perf_counter() - started < 120  # a quadratic reader takes hours
+    cases = {
+        "<p>a < b and c > d": "a < b and c > d",
+        "<p title=it's>x</p> y": "x y",
+        '<p a="x>y">z': "z",
+        "<p>x<!-- <p>no --> y": "x y",
+        "<p>x<!doctype y>z<?php a ?>b": "xzb",
+        "<script>a</scripty><p>no</script ><p>yes": "yes",
+        "<p>a<br/>b</ p>c<p": "a bc<p",
+        "<P CLASS=ad>x</P><p>y": "y",
+    }
+    for html, text in cases.items():
+        assert html_extract.main_text(html, weights) == text, html
+
+
 def test_best_region():
     rng = random.Random(8)
     for _ in range(300):
