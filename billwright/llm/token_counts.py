@@ -25,6 +25,7 @@ SPACE = "▁"
 UNKNOWN_COST = 10.0
 #: Words remembered by one task; a full table is emptied. It bounds memory, not results.
 REMEMBERED = 200_000
+LONGEST_REMEMBERED = 64
 #: Zipf-Mandelbrot shift of the scores made from ranks.
 SHIFT = 2.7
 
@@ -74,9 +75,10 @@ class Counter:
             count = known.get(word)
             if count is None:
                 count = self.word(SPACE + word)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = count
+                if len(word) <= LONGEST_REMEMBERED:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = count
             total += count
         return total
 
@@ -122,7 +124,8 @@ def token_counts(
     """Add the number of pieces of ``text`` as ``name``; null and empty texts have 0.
 
     ``model_path`` is a file that every executor has at the same place. Rows keep their
-    partitions; repeated rows are counted each; an input column ``name`` is replaced.
+    partitions; repeated rows are counted each; an input column ``name`` is replaced; an empty
+    table gives an empty one.
     """
     kept = [c for c in docs.columns if c != name]
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T.LongType())])
