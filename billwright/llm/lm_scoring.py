@@ -31,7 +31,7 @@ from billwright.session import stored
 
 CHUNK_TOKENS = 2_000_000
 SHARD_TOKENS = 2_000_000
-WORDS_REMEMBERED = 200_000
+WORDS_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: Hashes of the text's begin and end: of strings with a blank, so of no word.
 BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -127,9 +127,11 @@ def encoded(docs: DataFrame) -> DataFrame:
                 for at, word in enumerate(words):
                     value = known.get(word)
                     if value is None:
-                        if len(known) >= WORDS_REMEMBERED:
-                            known.clear()
-                        value = known[word] = xxhash.xxh3_64_intdigest(word)
+                        value = xxhash.xxh3_64_intdigest(word)
+                        if len(word) <= LONGEST_REMEMBERED:
+                            if len(known) >= WORDS_REMEMBERED:
+                                known.clear()
+                            known[word] = value
                     hashes[at] = value
                 hashes[-1] = END
                 own = "apart" if part.as_py() == "apart" else "other"
