@@ -193,7 +193,8 @@ def encoded(
 
     Each match of ``pattern`` is encoded by itself, without special tokens. ``rank_path``
     is a file that every executor has at the same place. ``keep``: the columns to carry
-    (default all); an input column ``name`` is replaced. Rows keep their partitions.
+    (default all); an input column ``name`` is replaced. Rows keep their partitions; an empty
+    table gives an empty one.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c != name]
     ids = T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
@@ -231,7 +232,8 @@ def decoded(
 ) -> DataFrame:
     """Add ``name``, the bytes that an array of ids stands for; null has no bytes.
 
-    An id that the file lacks ends the job with a KeyError. ``keep`` as in ``encoded``.
+    An id that the file lacks ends the job with a KeyError. ``keep`` as in ``encoded``; an empty
+    table gives an empty one.
     """
     kept = [c for c in (keep if keep is not None else tokens.columns) if c != name]
     schema = T.StructType(

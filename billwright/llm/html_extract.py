@@ -354,7 +354,8 @@ def extracted(
     """Add the main text as ``name``; null and empty pages have the empty text.
 
     Rows keep their partitions, repeated rows are read each, an input column ``name`` is
-    replaced. Broken markup never fails: what can't be read as a tag is text.
+    replaced. Broken markup never fails: what can't be read as a tag is text. An empty table
+    gives an empty one.
     """
     kept = [c for c in pages.columns if c not in (name, html)]
     fields = [*pages.select(*kept).schema.fields, T.StructField(name, T.StringType(), False)]
