@@ -9,11 +9,12 @@ them. How rare elements are is counted over all documents in a table of hashed c
 gives the same links, a better one shorter lists. Where light ends is chosen by the rows both
 ways would make for the sizes at hand.
 
-Lists are never expanded to pairs. Every member is compared with its list's first member;
-linked nodes are merged; only lists that still hold several components are compared further,
-in blocks of bounded size, on odd sketches whose distance is a lower bound of the true one,
-and the closest pairs of each two components go on to the exact check, more of them in each
-round, until no allowed pair is left untested. Lists without such pairs are not looked at again.
+Lists are never expanded to pairs. Every member is compared with its list's first member on odd
+sketches, whose distance is a lower bound of the true one; of the pairs that this allows, each
+node's closest is checked exactly and linked nodes are merged. Only lists that still hold several
+components are compared further, in blocks of bounded size; allowed pairs are kept from round to
+round, and each component's closest go on to the exact check, more of them in each round, until
+no pair of different components is left untested. Lists without any are not looked at again.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billwright.session import shared_folder, stored
+from billwright.session import stored
 
 #: Cells of the table that counts how frequent elements are; its size bounds what is broadcast.
 CELL_BITS = 20
@@ -54,7 +55,7 @@ WORDS_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 BROADCAST_ROWS = 400_000
 
 SET_SCHEMA = "doc_id long, mark long, n_shingles long, node binary, cells binary"
-LIST_SCHEMA = "node binary, n long, sketch binary, keys array<long>, parts array<int>"
+LIST_SCHEMA = "num long, n long, sketch binary, keys array<long>, parts array<int>"
 
 
 @dataclass(frozen=True)
@@ -282,7 +283,7 @@ def cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def listed_nodes(texts: DataFrame, counts: np.ndarray, measure: Measure) -> DataFrame:
-    """(node, n, sketch, keys, parts) of the nodes in ``texts`` (node, text).
+    """(num, n, sketch, keys, parts) of the nodes in ``texts`` (node, num, text).
 
     ``parts`` says into how many parts the list of each key is cut.
     """
@@ -296,24 +297,25 @@ def listed_nodes(texts: DataFrame, counts: np.ndarray, measure: Measure) -> Data
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 rows = []
-                for node, value in zip(part.column("node"), part.column("text"), strict=True):
-                    hashes, name = shingler.hashes(value.as_py()), node.as_py()
-                    if len(hashes) and _node_of(hashes) == name:
+                columns = (part.column(c) for c in ("node", "num", "text"))
+                for node, num, value in zip(*columns, strict=True):
+                    hashes = shingler.hashes(value.as_py())
+                    if len(hashes) and _node_of(hashes) == node.as_py():
                         keys, many = prefix_lists(hashes, counts, measure)
-                        rows.append((name, len(hashes), odd_sketch(hashes), keys, 1 + many // PART))
+                        rows.append((num.as_py(), len(hashes), odd_sketch(hashes), keys, 1 + many // PART))
                 if not rows:
                     continue
-                names, sizes, sketches, keys, parts = zip(*rows, strict=True)
+                nums, sizes, sketches, keys, parts = zip(*rows, strict=True)
                 borders = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names, pa.binary()),
+                        pa.array(nums, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sketches, pa.binary()),
                         pa.ListArray.from_arrays(borders, pa.array(np.concatenate(keys))),
                         pa.ListArray.from_arrays(borders, pa.array(np.concatenate(parts), pa.int32())),
                     ],
-                    names=["node", "n", "sketch", "keys", "parts"],
+                    names=["num", "n", "sketch", "keys", "parts"],
                 )
 
     return texts.mapInArrow(read, LIST_SCHEMA)
@@ -330,7 +332,10 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 # ---- Links -------------------------------------------------------------------------
 def _texts_of(docs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, num, text) of the nodes in ``owners`` (owner, mark, node, num), from their owners' rows."""
+    """(node, num, text) of the nodes in ``owners`` (owner, mark, node, num), from their owners' rows.
+
+    An owner whose row stands several times gives as many rows.
+    """
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
     same = F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__mark") == F.col("mark"))
@@ -380,13 +385,16 @@ def _light_links(texts: DataFrame, boundary: int, measure: Measure) -> DataFrame
 
 
 def _close_pairs(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (u, v) whose sizes and sketches allow a link."""
+    """(u, v, distance) of pairs whose sizes and sketches allow a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n", "sketch", "m", "sketch_v")]
-            keep = [_allowed(*row, measure) for row in zip(*columns, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+            apart = [_distance(one, two) for _, one, _, two in zip(*columns, strict=True)]
+            keep = [a <= most_apart(n, m, measure) for a, n, m in zip(apart, columns[0], columns[2], strict=True)]
+            made = [batch.column("u"), batch.column("v"), pa.array(apart, pa.int64())]
+            found = pa.RecordBatch.from_arrays(made, names=["u", "v", "distance"])
+            yield found.filter(pa.array(keep, pa.bool_()))
 
     one = nodes.select(F.col("num").alias("u"), "n", "sketch")
     two = nodes.select(F.col("num").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("sketch_v"))
@@ -394,7 +402,7 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFr
     both_sides = measure.numerator + measure.denominator
     most = F.floor((F.col("n") + F.col("m")) * (measure.denominator - measure.numerator) / both_sides)
     both = both.filter(F.abs(F.col("n") - F.col("m")) <= most)
-    return both.mapInArrow(near, "u long, v long")
+    return both.mapInArrow(near, "u long, v long, distance long")
 
 
 def _folded(sketch: bytes, size: int) -> np.ndarray:
@@ -404,13 +412,26 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return bits
 
 
-def _allowed(n: int, one: bytes, m: int, two: bytes, measure: Measure) -> bool:
+def _distance(one: bytes, two: bytes) -> int:
+    """Differing bits of two sketches: no more than their sets' differing elements."""
     size = min(len(one), len(two))
-    apart = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
-    return apart <= most_apart(n, m, measure)
+    return int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+
+
+def _nearest(pairs: DataFrame, limit: int) -> DataFrame:
+    """(u, v): of the pairs (u, v, distance, low, high), each component's ``limit`` closest ones.
+
+    ``low`` and ``high`` are the components. Tasks keep their own closest before any are moved.
+    """
+    once = pairs.groupBy("u", "v").agg(*(F.min(c).alias(c) for c in ("distance", "low", "high")))
+    sides = once.select("u", "v", "distance", F.explode(F.array("low", "high")).alias("root"))
+    order = Window.partitionBy("root").orderBy("distance", "u", "v")
+    return sides.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= limit).select(
+        "u", "v"
+    ).distinct()
 
 
-def _linked(pairs: DataFrame, texts, measure: Measure) -> DataFrame:
+def _linked(pairs: DataFrame, texts, measure: Measure, repeated: bool) -> DataFrame:
     """The pairs (u, v) that are links, checked on the whole sets.
 
     ``texts`` makes (node, num, text) of a table of numbers. Only sets of nodes in pairs are sent.
@@ -440,7 +461,9 @@ def _linked(pairs: DataFrame, texts, measure: Measure) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     named = pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct()
-    made = texts(named).mapInArrow(sets, "num long, elements binary").dropDuplicates(["num"])
+    made = texts(named).mapInArrow(sets, "num long, elements binary")
+    if repeated:  # rows that repeat an id and a text
+        made = made.dropDuplicates(["num"])
     made = stored(made, "sets-in-pairs")
     one = made.select(F.col("num").alias("u"), F.col("elements").alias("one"))
     two = made.select(F.col("num").alias("v"), F.col("elements").alias("two"))
@@ -484,7 +507,7 @@ def components(links: DataFrame) -> DataFrame:
 def _split_pairs(
     members: DataFrame, tested: DataFrame, closest: int, measure: Measure, tasks: int
 ) -> DataFrame:
-    """(key, u, v): allowed pairs of different components in the same list, not yet tested.
+    """(key, u, v, distance): allowed pairs of different components in the same list, not yet tested.
 
     Of each two components in a unit, the ``closest`` pairs; with 0, a spanning forest of a
     unit's components (closest pairs first). The caller comes back for the rest; lists
@@ -507,17 +530,17 @@ def _split_pairs(
     dealt = dealt.select("key", "num", "n", "sketch", "root", "tested", "block", "low", "high", task.alias("task"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         for (key, low, high), unit in frame.groupby(["key", "low", "high"], sort=False):
             near = _compared(unit, low, high, measure)
             if closest:
                 for pairs in near.values():
-                    found.extend((key, a, b) for _, a, b in heapq.nsmallest(closest, pairs))
+                    found.extend((key, a, b, d) for d, a, b in heapq.nsmallest(closest, pairs))
             else:
-                found.extend((key, a, b) for a, b in _forest(near))
-        return pd.DataFrame(found, columns=["key", "u", "v"])
+                found.extend((key, a, b, d) for d, a, b in _forest(near))
+        return pd.DataFrame(found, columns=["key", "u", "v", "distance"])
 
-    return dealt.groupBy("task").applyInPandas(compare, "key long, u long, v long")
+    return dealt.groupBy("task").applyInPandas(compare, "key long, u long, v long, distance long")
 
 
 def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict[tuple, list]:
@@ -551,7 +574,7 @@ def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict
     return pairs
 
 
-def _forest(found: dict[tuple, list]) -> Iterator[tuple[int, int]]:
+def _forest(found: dict[tuple, list]) -> Iterator[tuple[int, int, int]]:
     """Pairs that join all components with allowed pairs, the closest ones first."""
     parent: dict[int, int] = {}
 
@@ -560,11 +583,11 @@ def _forest(found: dict[tuple, list]) -> Iterator[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for (_, a, b), roots in sorted((min(near), roots) for roots, near in found.items()):
+    for (distance, a, b), roots in sorted((min(near), roots) for roots, near in found.items()):
         one, two = (top(r) for r in roots)
         if one != two:
             parent[max(one, two)] = min(one, two)
-            yield a, b
+            yield distance, a, b
 
 
 def linked_components(
@@ -630,10 +653,10 @@ def linked_rows(
 
 def _joined(docs: DataFrame, key: str, text: str, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, mark, n_shingles, node), nodes (node, num, root, component_id), found links."""
-    spark = docs.sparkSession
     sets = stored(node_sets(docs, key, text, measure), "node-sets")
     counts = cell_counts(sets)
     sets = sets.filter("cells IS NULL").drop("cells")
+    repeated = not sets.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty()
     classes = sets.filter("n_shingles > 0").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("owner"),
         F.first("n_shingles").alias("n"),
@@ -653,20 +676,21 @@ def _joined(docs: DataFrame, key: str, text: str, measure: Measure) -> tuple[Dat
     light = _light_links(texts(classes.filter(F.col("n") <= boundary)), boundary, measure)
     heavy = classes.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
     listed = listed_nodes(_texts_of(docs, heavy.select("owner", "mark", "node", "num"), key, text), counts, measure)
-    listed = stored(listed.join(classes.select("node", "num"), "node"), "listed-nodes")
+    listed = listed.dropDuplicates(["num"]) if repeated else listed
+    listed = stored(listed, "listed-nodes")
     nodes = listed.select("num", "n", "sketch")
-    lists_folder = shared_folder(spark, "lists")
-    lists = stored(_lists(listed), "lists", lists_folder)
+    lists = stored(_lists(listed), "lists")
     star = lists.filter("num != first").select(F.col("first").alias("u"), F.col("num").alias("v"))
-    star = stored(_close_pairs(star.distinct(), nodes, measure), "star-pairs")
-    found = stored(_linked(star, texts, measure).unionByName(light), "star-links")
-    links, tested, closest, live = found, star, 0, lists.filter("num != first AND members > 2")
+    # pairs that may be linked; those that are not tested stay for the next round
+    pool = stored(_close_pairs(star.distinct(), nodes, measure), "star-pairs")
+    tested = stored(_nearest(pool.withColumns({"low": F.col("u"), "high": F.col("v")}), 1), "tested")
+    found = stored(_linked(tested, texts, measure, repeated).unionByName(light), "links")
+    links, closest, limit = found, 0, 2
+    live = lists.filter("num != first AND members > 2")  # first members' pairs are in the pool
     while True:
         parts = stored(components(links), "components")
-        # first members are tested with all others: what is left are the others' components
-        whole = Window.partitionBy("key")
-        rooted = live.join(parts, F.col("num") == F.col("member"), "left").drop("member")
-        rooted = rooted.withColumn("root", F.coalesce("root", "num"))
+        whole = live.join(parts, F.col("num") == F.col("member"), "left").drop("member")
+        rooted = whole.withColumn("root", F.coalesce("root", "num"))
         mixed = rooted.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rest")
         )
@@ -674,17 +698,27 @@ def _joined(docs: DataFrame, key: str, text: str, measure: Measure) -> tuple[Dat
         rows = mixed.agg(F.sum(F.col("rest") * F.ceil(F.col("rest") / UNIT))).first()[0] or 0
         members = rooted.join(mixed, "key").join(nodes, "num")
         tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-        pairs = stored(_split_pairs(members, tested, closest, measure, tasks), "split-pairs")
-        if pairs.isEmpty():
+        more = stored(_split_pairs(members, tested, closest, measure, tasks), "split-pairs")
+        ends = {
+            side: parts.select(F.col("member").alias(f"__{side}"), F.col("root").alias(name))
+            for side, name in (("u", "low"), ("v", "high"))
+        }
+        pool = pool.select("u", "v", "distance").unionByName(more.select("u", "v", "distance"))
+        pool = pool.join(tested, ["u", "v"], "left_anti")
+        for side, name in (("u", "low"), ("v", "high")):
+            pool = pool.join(ends[side], F.col(side) == F.col(f"__{side}"), "left").drop(f"__{side}")
+            pool = pool.withColumn(name, F.coalesce(name, side))
+        pool = stored(pool.filter("low != high"), "pairs-left")
+        if pool.isEmpty():
             break
-        chosen = pairs.select("u", "v").distinct()
-        more = stored(_linked(chosen, texts, measure), "more-links")
-        found = found.unionByName(more)
+        chosen = stored(_nearest(pool, limit), "chosen-pairs")
+        fresh = stored(_linked(chosen, texts, measure, repeated), "more-links")
+        found, tested = found.unionByName(fresh), tested.unionByName(chosen)
         # the links found so far come down to their stars
         stars = parts.filter("member != root").select(F.col("member").alias("u"), F.col("root").alias("v"))
-        links = stars.unionByName(more)
-        live = live.join(pairs.select("key").distinct(), "key", "left_semi")
-        tested, closest = tested.unionByName(chosen), max(FIRST_CLOSEST, closest * 16)
+        links = stars.unionByName(fresh)
+        live = live.join(more.select("key").distinct(), "key", "left_semi")
+        closest, limit = max(FIRST_CLOSEST, closest * 16), limit * 16
     owned = classes.select("node", "num", F.col("owner").alias("first_doc"))
     met = owned.join(parts, F.col("num") == F.col("member"), "left").drop("member")
     met = met.withColumn("root", F.coalesce("root", "num"))
