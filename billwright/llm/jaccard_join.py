@@ -3,18 +3,15 @@
 Size-aware and heavy-light. Documents of equal sets are one node. *Light* nodes (small sets)
 enumerate fixed-size subsets: for each pair of sizes, the subsets of the least overlap that
 makes a link, so nodes that meet in a subset are linked without further checks. *Heavy* nodes
-scan inverted lists of their elements. Only a set's prefix is listed: the elements that come
-first in one order of all elements, the rarest first, so many that linked sets share one of
-them. How rare elements are is counted over all documents in a table of hashed cells; any order
-gives the same links, a better one shorter lists. Where light ends is chosen by the rows both
-ways would make for the sizes at hand.
-
-Lists are never expanded to pairs. Every member is compared with its list's first member on odd
-sketches, whose distance is a lower bound of the true one; of the pairs that this allows, each
-node's closest is checked exactly and linked nodes are merged. Only lists that still hold several
-components are compared further, in blocks of bounded size; allowed pairs are kept from round to
-round, and each component's closest go on to the exact check, more of them in each round, until
-no pair of different components is left untested. Lists without any are not looked at again.
+scan inverted lists: a set is cut into more blocks (by element hash) than a linked pair has
+differing elements, so a linked pair shares a whole block, and the lists are kept by block
+content. Where light ends is chosen by the rows both ways would make for the sizes at hand.
+
+Lists are never expanded to pairs. Every member is compared with its list's first member;
+linked nodes are merged; only lists that still hold several components are compared further,
+in blocks of bounded size, on odd sketches whose distance is a lower bound of the true one,
+and the closest pairs of each two components go on to the exact check, more of them in each
+round, until no allowed pair is left untested. Lists without such pairs are not looked at again.
 """
 
 from __future__ import annotations
@@ -36,12 +33,10 @@ from pyspark.sql import functions as F
 
 from billwright.session import stored
 
-#: Cells of the table that counts how frequent elements are; its size bounds what is broadcast.
-CELL_BITS = 20
-#: A task reports cells of at least so many elements, and so many times its mean.
-LEAST_FREQUENT, TIMES_MEAN = 16, 4
-#: Lists of frequent elements are cut into parts of about so many members.
-PART = 20_000
+#: Classes of set sizes grow by this factor; a class shares its number of blocks.
+CLASS_FACTOR = 1.5
+#: Blocks per element that a pair may differ in; above 1, so that empty blocks don't matter.
+SPARE = 1.3
 LARGEST_LIGHT = 40
 #: Members of a list that are compared in one go; longer lists are cut into such blocks.
 UNIT = 1000
@@ -54,8 +49,9 @@ WORDS_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: ones meet the texts in a shuffle.
 BROADCAST_ROWS = 400_000
 
-SET_SCHEMA = "doc_id long, mark long, n_shingles long, node binary, cells binary"
-LIST_SCHEMA = "num long, n long, sketch binary, keys array<long>, parts array<int>"
+SET_SCHEMA = (
+    "doc_id long, mark long, n_shingles long, node binary, sketch binary, lists array<long>"
+)
 
 
 @dataclass(frozen=True)
@@ -63,7 +59,8 @@ class Measure:
     """N-grams of ``ngram`` words; linked sets have numerator * union <= denominator *
     intersection.
 
-    The least similarity is above 2 / 3: prefixes of lower ones are nearly whole sets.
+    The least similarity is above 1 / CLASS_FACTOR, so that linked sets are at most one class
+    apart.
     """
 
     ngram: int = 3
@@ -71,8 +68,8 @@ class Measure:
     denominator: int = 10
 
     def __post_init__(self):
-        if self.ngram < 1 or not 2 * self.denominator < 3 * self.numerator:
-            raise ValueError("least similarity must exceed 2 / 3, n-grams need a word")
+        if self.ngram < 1 or not self.denominator < CLASS_FACTOR * self.numerator:
+            raise ValueError(f"least similarity must exceed 1 / {CLASS_FACTOR}, n-grams need a word")
         if self.numerator > self.denominator:
             raise ValueError("least similarity must not exceed 1")
 
@@ -96,9 +93,20 @@ def largest_partner(n: int, measure: Measure = TRIGRAMS) -> int:
     return measure.denominator * n // measure.numerator
 
 
-def prefix_size(n: int, measure: Measure = TRIGRAMS) -> int:
-    """Listed elements of a set: linked sets share numerator / denominator of either one."""
-    return n + measure.numerator * -n // measure.denominator + 1
+@lru_cache(maxsize=200_000)
+def size_class(n: int) -> int:
+    k = max(0, int(math.log(n) / math.log(CLASS_FACTOR)))
+    while CLASS_FACTOR ** (k + 1) <= n:
+        k += 1
+    while k and CLASS_FACTOR**k > n:
+        k -= 1
+    return k
+
+
+@lru_cache(maxsize=10_000)
+def blocks_of(k: int, measure: Measure = TRIGRAMS) -> int:
+    largest = math.ceil(CLASS_FACTOR ** (k + 1)) - 1
+    return int(SPARE * most_apart(largest, largest, measure)) + 2
 
 
 @lru_cache(maxsize=1000)
@@ -120,7 +128,8 @@ def light_rows(n: int, boundary: int, measure: Measure = TRIGRAMS) -> int:
 
 def heavy_rows(n: int, measure: Measure = TRIGRAMS) -> int:
     """List rows of a heavy set, and the elements to send for an exact check."""
-    return prefix_size(n, measure) + n
+    classes = {size_class(n), size_class(largest_partner(n, measure))}
+    return sum(blocks_of(k, measure) for k in classes) + n
 
 
 def boundary_of(sizes: dict[int, int], measure: Measure = TRIGRAMS) -> int:
@@ -185,25 +194,28 @@ def odd_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(parity, bitorder="little").tobytes()
 
 
-def cells_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
+def block_lists(hashes: np.ndarray, measure: Measure = TRIGRAMS) -> list[int]:
+    """Keys of the inverted lists that a heavy set stands in.
 
-def prefix_lists(
-    hashes: np.ndarray, counts: np.ndarray, measure: Measure = TRIGRAMS
-) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the inverted lists that a heavy set stands in, and the count of each key's cell.
-
-    ``hashes`` is sorted. The order of elements is by the power of two of their cell's count,
-    then by hash: the same for all sets, whatever the counts.
+    Linked sets differ in fewer elements than there are blocks, so a block is equal in both.
+    Equal empty blocks say nothing; a set with so many of them that they might be the only
+    equal ones is listed under them too.
     """
-    size = prefix_size(len(hashes), measure)
-    cells = counts[cells_of(hashes)]
-    rare = hashes[cells == 0]
-    if len(rare) >= size:
-        return rare[:size].view(np.int64), np.zeros(size, np.int64)
-    order = np.lexsort((hashes, np.frexp(cells)[1]))[:size]
-    return hashes[order].view(np.int64), cells[order]
+    size, keys = len(hashes), []
+    content = _mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15))
+    partner = largest_partner(size, measure)
+    apart = most_apart(size, partner, measure)
+    for k in sorted({size_class(size), size_class(partner)}):
+        blocks = blocks_of(k, measure)
+        places = (hashes % np.uint64(blocks)).astype(np.int64)
+        sums = np.zeros(blocks, np.uint64)
+        np.add.at(sums, places, content)
+        filled = np.bincount(places, minlength=blocks) > 0
+        if blocks - filled.sum() >= blocks - apart:
+            filled[:] = True
+        salt = np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)
+        keys.extend(_mixed(_mixed(salt) + sums)[filled].view(np.int64).tolist())
+    return keys
 
 
 def subset_lists(
@@ -224,101 +236,37 @@ def subset_lists(
 def node_sets(
     docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
 ) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, cells): a row per document, without texts.
+    """(doc_id, mark, n_shingles, node, sketch, lists): a row per document, without texts.
 
     ``mark`` is the hash of the text; with the key it tells rows apart whose keys are null or
-    repeated. Each task ends with a row that has ``cells`` alone: numbers and counts of the
-    cells that hold many of its elements.
+    repeated.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(measure.ngram), np.zeros(1 << CELL_BITS, np.int64)
+        shingler = Shingler(measure.ngram)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                sizes, nodes = [], []
+                sizes, nodes, sketches, lists = [], [], [], []
                 for value in part.column("__text"):
                     hashes = shingler.hashes(value.as_py())
-                    counts[cells_of(hashes)] += 1
                     sizes.append(len(hashes))
                     nodes.append(_node_of(hashes))
+                    sketches.append(odd_sketch(hashes) if len(hashes) else None)
+                    lists.append(block_lists(hashes, measure) if len(hashes) else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("__key"),
                         part.column("__mark"),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
-                        pa.nulls(len(part), pa.binary()),
-                    ],
-                    names=["doc_id", "mark", "n_shingles", "node", "cells"],
-                )
-        least = max(LEAST_FREQUENT, TIMES_MEAN * counts.sum() / len(counts))
-        many = np.nonzero(counts >= least)[0]
-        packed = np.stack([many, counts[many]], axis=1).tobytes()
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())],
-            names=["doc_id", "mark", "n_shingles", "node", "cells"],
-        )
-
-    return _named(docs, key, text).mapInArrow(read, SET_SCHEMA)
-
-
-def cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many elements the frequent cells hold over all documents; 0 for other cells."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for packed in batch.column("cells"):
-                pairs = np.frombuffer(packed.as_py(), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cell", "n"]
-                )
-
-    rows = sets.filter("cells IS NOT NULL").select("cells").mapInArrow(unpack, "cell long, n long")
-    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2^CELL_BITS
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def listed_nodes(texts: DataFrame, counts: np.ndarray, measure: Measure) -> DataFrame:
-    """(num, n, sketch, keys, parts) of the nodes in ``texts`` (node, num, text).
-
-    ``parts`` says into how many parts the list of each key is cut.
-    """
-    frequent = np.nonzero(counts)[0]
-    held = counts[frequent]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(measure.ngram), np.zeros(1 << CELL_BITS, np.int64)
-        counts[frequent] = held
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = []
-                columns = (part.column(c) for c in ("node", "num", "text"))
-                for node, num, value in zip(*columns, strict=True):
-                    hashes = shingler.hashes(value.as_py())
-                    if len(hashes) and _node_of(hashes) == node.as_py():
-                        keys, many = prefix_lists(hashes, counts, measure)
-                        rows.append((num.as_py(), len(hashes), odd_sketch(hashes), keys, 1 + many // PART))
-                if not rows:
-                    continue
-                nums, sizes, sketches, keys, parts = zip(*rows, strict=True)
-                borders = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(nums, pa.int64()),
-                        pa.array(sizes, pa.int64()),
                         pa.array(sketches, pa.binary()),
-                        pa.ListArray.from_arrays(borders, pa.array(np.concatenate(keys))),
-                        pa.ListArray.from_arrays(borders, pa.array(np.concatenate(parts), pa.int32())),
+                        pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    names=["num", "n", "sketch", "keys", "parts"],
+                    names=["doc_id", "mark", "n_shingles", "node", "sketch", "lists"],
                 )
 
-    return texts.mapInArrow(read, LIST_SCHEMA)
+    return _named(docs, key, text).mapInArrow(read, SET_SCHEMA)
 
 
 def mark_of(text: str) -> Column:
@@ -332,15 +280,12 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 # ---- Links -------------------------------------------------------------------------
 def _texts_of(docs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, num, text) of the nodes in ``owners`` (owner, mark, node, num), from their owners' rows.
-
-    An owner whose row stands several times gives as many rows.
-    """
+    """(node, text) of the nodes in ``owners`` (owner, mark, node), each from its owner's row."""
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
     same = F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__mark") == F.col("mark"))
     met = _named(docs, key, text).join(owners, same)
-    return met.select("node", "num", F.col("__text").alias("text"))
+    return met.select("node", F.col("__text").alias("text"))
 
 
 def _node_of(hashes: np.ndarray) -> bytes | None:
@@ -348,61 +293,57 @@ def _node_of(hashes: np.ndarray) -> bytes | None:
 
 
 def _light_links(texts: DataFrame, boundary: int, measure: Measure) -> DataFrame:
-    """Links (u, v) among light nodes by number; ``texts`` has (node, num, text) of those."""
+    """Links (u, v) among light nodes; ``texts`` has (node, text) of those."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(measure.ngram)
         for batch in batches:
-            columns = (batch.column(c) for c in ("node", "num", "text"))
-            for node, num, value in zip(*columns, strict=True):
+            for node, value in zip(batch.column("node"), batch.column("text"), strict=True):
                 hashes = shingler.hashes(value.as_py())
                 if _node_of(hashes) != node.as_py():
                     continue
                 keys, smaller, larger = subset_lists(hashes, boundary, measure)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([num.as_py()] * len(keys), pa.int64()),
+                        pa.array([node.as_py()] * len(keys), pa.binary()),
                         pa.array([len(hashes)] * len(keys), pa.int64()),
                         pa.array(keys, pa.int64()),
                         pa.array(smaller, pa.int64()),
                         pa.array(larger, pa.int64()),
                     ],
-                    names=["num", "n", "key", "smaller", "larger"],
+                    names=["node", "n", "key", "smaller", "larger"],
                 )
 
-    rows = texts.mapInArrow(subsets, "num long, n long, key long, smaller long, larger long")
+    rows = texts.mapInArrow(subsets, "node binary, n long, key long, smaller long, larger long")
     ends = rows.groupBy("key", "smaller", "larger").agg(
-        F.min(F.when(F.col("n") == F.col("smaller"), F.col("num"))).alias("low"),
-        F.min(F.when(F.col("n") == F.col("larger"), F.col("num"))).alias("high"),
+        F.min(F.when(F.col("n") == F.col("smaller"), F.col("node"))).alias("low"),
+        F.min(F.when(F.col("n") == F.col("larger"), F.col("node"))).alias("high"),
         F.count("*").alias("members"),
     )
     # every member of the smaller size is linked with every one of the larger size
     ends = ends.filter("members > 1 AND low IS NOT NULL AND high IS NOT NULL")
     met = rows.join(ends.drop("members"), ["key", "smaller", "larger"])
     other = F.when(F.col("n") == F.col("smaller"), F.col("high")).otherwise(F.col("low"))
-    pairs = met.select(F.col("num").alias("u"), other.alias("v"))
+    pairs = met.select(F.col("node").alias("u"), other.alias("v"))
     return pairs.filter("u != v").distinct()
 
 
 def _close_pairs(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """(u, v, distance) of pairs whose sizes and sketches allow a link."""
+    """Pairs (u, v) whose sizes and sketches allow a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n", "sketch", "m", "sketch_v")]
-            apart = [_distance(one, two) for _, one, _, two in zip(*columns, strict=True)]
-            keep = [a <= most_apart(n, m, measure) for a, n, m in zip(apart, columns[0], columns[2], strict=True)]
-            made = [batch.column("u"), batch.column("v"), pa.array(apart, pa.int64())]
-            found = pa.RecordBatch.from_arrays(made, names=["u", "v", "distance"])
-            yield found.filter(pa.array(keep, pa.bool_()))
-
-    one = nodes.select(F.col("num").alias("u"), "n", "sketch")
-    two = nodes.select(F.col("num").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("sketch_v"))
+            keep = [_allowed(*row, measure) for row in zip(*columns, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    one = nodes.select(F.col("node").alias("u"), "n", "sketch")
+    two = nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("sketch_v"))
     both = pairs.join(one, "u").join(two, "v")
     both_sides = measure.numerator + measure.denominator
     most = F.floor((F.col("n") + F.col("m")) * (measure.denominator - measure.numerator) / both_sides)
     both = both.filter(F.abs(F.col("n") - F.col("m")) <= most)
-    return both.mapInArrow(near, "u long, v long, distance long")
+    return both.mapInArrow(near, "u binary, v binary")
 
 
 def _folded(sketch: bytes, size: int) -> np.ndarray:
@@ -412,29 +353,16 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return bits
 
 
-def _distance(one: bytes, two: bytes) -> int:
-    """Differing bits of two sketches: no more than their sets' differing elements."""
+def _allowed(n: int, one: bytes, m: int, two: bytes, measure: Measure) -> bool:
     size = min(len(one), len(two))
-    return int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
-
+    apart = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+    return apart <= most_apart(n, m, measure)
 
-def _nearest(pairs: DataFrame, limit: int) -> DataFrame:
-    """(u, v): of the pairs (u, v, distance, low, high), each component's ``limit`` closest ones.
-
-    ``low`` and ``high`` are the components. Tasks keep their own closest before any are moved.
-    """
-    once = pairs.groupBy("u", "v").agg(*(F.min(c).alias(c) for c in ("distance", "low", "high")))
-    sides = once.select("u", "v", "distance", F.explode(F.array("low", "high")).alias("root"))
-    order = Window.partitionBy("root").orderBy("distance", "u", "v")
-    return sides.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= limit).select(
-        "u", "v"
-    ).distinct()
 
-
-def _linked(pairs: DataFrame, texts, measure: Measure, repeated: bool) -> DataFrame:
+def _linked(pairs: DataFrame, texts, measure: Measure) -> DataFrame:
     """The pairs (u, v) that are links, checked on the whole sets.
 
-    ``texts`` makes (node, num, text) of a table of numbers. Only sets of nodes in pairs are sent.
+    ``texts`` makes (node, text) of a table of nodes. Only sets of nodes in pairs are sent.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +374,7 @@ def _linked(pairs: DataFrame, texts, measure: Measure, repeated: bool) -> DataFr
                 own = [_node_of(h) == n.as_py() for h, n in zip(hashes, part["node"], strict=True)]
                 values = pa.array([h.tobytes() for h in hashes], pa.binary())
                 made = pa.RecordBatch.from_arrays(
-                    [part.column("num"), values], names=["num", "elements"]
+                    [part.column("node"), values], names=["node", "elements"]
                 )
                 yield made.filter(pa.array(own, pa.bool_()))
 
@@ -460,18 +388,16 @@ def _linked(pairs: DataFrame, texts, measure: Measure, repeated: bool) -> DataFr
                 keep.append(common >= least_overlap(len(a), len(b), measure))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct()
-    made = texts(named).mapInArrow(sets, "num long, elements binary")
-    if repeated:  # rows that repeat an id and a text
-        made = made.dropDuplicates(["num"])
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    made = texts(named).mapInArrow(sets, "node binary, elements binary").dropDuplicates(["node"])
     made = stored(made, "sets-in-pairs")
-    one = made.select(F.col("num").alias("u"), F.col("elements").alias("one"))
-    two = made.select(F.col("num").alias("v"), F.col("elements").alias("two"))
-    return pairs.join(one, "u").join(two, "v").mapInArrow(check, "u long, v long")
+    one = made.select(F.col("node").alias("u"), F.col("elements").alias("one"))
+    two = made.select(F.col("node").alias("v"), F.col("elements").alias("two"))
+    return pairs.join(one, "u").join(two, "v").mapInArrow(check, "u binary, v binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(member, root) of every node in ``links`` (u, v): root is the component's least node.
+    """(node, root) of every node in ``links`` (u, v): root is the component's least node.
 
     Alternates the large-star and small-star steps until the links are stars; each round
     writes the links anew, a logarithmic number of times.
@@ -498,54 +424,55 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    roots = edges.select(F.col("v").alias("member")).distinct()
-    return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(
-        roots.select("member", F.col("member").alias("root"))
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        roots.select("node", F.col("node").alias("root"))
     )
 
 
 def _split_pairs(
-    members: DataFrame, tested: DataFrame, closest: int, measure: Measure, tasks: int
+    members: DataFrame, tested: DataFrame, closest: int, tasks: int, measure: Measure
 ) -> DataFrame:
-    """(key, u, v, distance): allowed pairs of different components in the same list, not yet tested.
+    """(key, u, v): allowed pairs of different components in the same list, not yet tested.
 
     Of each two components in a unit, the ``closest`` pairs; with 0, a spanning forest of a
-    unit's components (closest pairs first). The caller comes back for the rest; lists
-    without any such pair have none later either, since components only grow.
+    unit's components (closest pairs first). The caller comes back for the rest; a list
+    without any such pair has none later either, since components only grow.
 
-    ``members`` has (key, num, n, sketch, root, rest), ``rest`` members to a list. Lists longer
-    than UNIT are compared block against block; the units are dealt out over tasks by their hash.
+    ``members`` has (key, node, n, sketch, root, place, members): ``place`` is the row's
+    number in its list. Lists longer than UNIT are compared block against block; the units
+    are dealt out over tasks by their hash.
     """
-    blocks = F.floor((F.col("rest") - 1) / UNIT)
-    block = F.pmod(F.xxhash64("num", F.lit(1)), blocks + 1)
-    before = tested.groupBy(F.col("v").alias("num")).agg(F.collect_set("u").alias("tested"))
+    block = F.floor((F.col("place") - 1) / UNIT)
+    blocks = F.floor((F.col("members") - 1) / UNIT)
+    before = tested.groupBy(F.col("v").alias("node")).agg(F.collect_set("u").alias("tested"))
     dealt = (
-        members.join(before, "num", "left")
+        members.join(before, "node", "left")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
     task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks))
-    dealt = dealt.select("key", "num", "n", "sketch", "root", "tested", "block", "low", "high", task.alias("task"))
+    dealt = dealt.drop("place", "members", "other").withColumn("task", task)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int, int]] = []
+        pairs: list[tuple[int, bytes, bytes]] = []
         for (key, low, high), unit in frame.groupby(["key", "low", "high"], sort=False):
-            near = _compared(unit, low, high, measure)
+            found = _compared(unit, low, high, measure)
             if closest:
-                for pairs in near.values():
-                    found.extend((key, a, b, d) for d, a, b in heapq.nsmallest(closest, pairs))
+                for near in found.values():
+                    pairs.extend((key, a, b) for _, a, b in heapq.nsmallest(closest, near))
             else:
-                found.extend((key, a, b, d) for d, a, b in _forest(near))
-        return pd.DataFrame(found, columns=["key", "u", "v", "distance"])
+                pairs.extend((key, a, b) for a, b in _forest(found))
+        return pd.DataFrame(pairs, columns=["key", "u", "v"])
 
-    return dealt.groupBy("task").applyInPandas(compare, "key long, u long, v long, distance long")
+    return dealt.groupBy("task").applyInPandas(compare, "key long, u binary, v binary")
 
 
 def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict[tuple, list]:
     """Allowed untested pairs of a unit, with their sketches' distance, by components."""
-    pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    pairs: dict[tuple[bytes, bytes], list[tuple[int, bytes, bytes]]] = defaultdict(list)
     sizes = unit["n"].to_numpy()
     sketches = unit["sketch"].tolist()
     width = min(map(len, sketches))
@@ -553,7 +480,7 @@ def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict
     roots = unit["root"].tolist()
     number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     labels = np.array([number[r] for r in roots])
-    nodes = unit["num"].tolist()
+    nodes = unit["node"].tolist()
     tested = [set() if t is None else set(t) for t in unit["tested"]]
     left = np.nonzero(unit["block"].to_numpy() == low)[0]
     right = np.nonzero(unit["block"].to_numpy() == high)[0]
@@ -574,20 +501,20 @@ def _compared(unit: pd.DataFrame, low: int, high: int, measure: Measure) -> dict
     return pairs
 
 
-def _forest(found: dict[tuple, list]) -> Iterator[tuple[int, int, int]]:
+def _forest(found: dict[tuple, list]) -> Iterator[tuple[bytes, bytes]]:
     """Pairs that join all components with allowed pairs, the closest ones first."""
-    parent: dict[int, int] = {}
+    parent: dict[bytes, bytes] = {}
 
-    def top(x: int) -> int:
+    def top(x: bytes) -> bytes:
         while x in parent:
             x = parent[x]
         return x
 
-    for (distance, a, b), roots in sorted((min(near), roots) for roots, near in found.items()):
+    for (_, a, b), roots in sorted((min(near), roots) for roots, near in found.items()):
         one, two = (top(r) for r in roots)
         if one != two:
             parent[max(one, two)] = min(one, two)
-            yield distance, a, b
+            yield a, b
 
 
 def linked_components(
@@ -604,34 +531,6 @@ def linked_components(
     return rows.select(F.col("doc_id").alias(key), "n_shingles", "component_id")
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
-    """(key, num, first, members): the lists of two or more nodes, by number.
-
-    Lists are dealt out by key and part, so that a frequent element's list is many tasks'
-    work; what the parts of a list have in common is aggregated from them.
-    """
-    entry = F.explode(F.arrays_zip("keys", "parts")).alias("e")
-    rows = nodes.select("num", entry).select(
-        F.col("e.keys").alias("key"),
-        "num",
-        F.col("e.parts").alias("parts"),
-        F.pmod(F.xxhash64("num"), F.col("e.parts")).cast("int").alias("part"),
-    )
-    whole = Window.partitionBy("key", "part")
-    rows = rows.withColumn("first", F.min("num").over(whole)).withColumn("members", F.count("*").over(whole))
-    rows = stored(rows.filter("members > 1 OR parts > 1"), "list-parts")
-    cut = rows.filter("parts > 1").groupBy("key").agg(
-        F.min("num").alias("__first"), F.count("*").alias("__members")
-    )
-    rows = rows.join(cut, "key", "left").select(
-        "key",
-        "num",
-        F.coalesce("__first", "first").alias("first"),
-        F.coalesce("__members", "members").alias("members"),
-    )
-    return rows.filter("members > 1")
-
-
 def linked_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
 ) -> DataFrame:
@@ -640,87 +539,81 @@ def linked_rows(
     ``root`` names the component, also where its keys are null or stand in other components
     too; it is null for texts without words.
     """
-    rows, of_node, _ = _joined(docs, key, text, measure)
-    rows = rows.join(of_node, "node", "left")
-    return rows.select(
-        "doc_id",
-        "mark",
-        "n_shingles",
-        "root",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
-
-
-def _joined(docs: DataFrame, key: str, text: str, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, mark, n_shingles, node), nodes (node, num, root, component_id), found links."""
     sets = stored(node_sets(docs, key, text, measure), "node-sets")
-    counts = cell_counts(sets)
-    sets = sets.filter("cells IS NULL").drop("cells")
-    repeated = not sets.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty()
-    classes = sets.filter("n_shingles > 0").groupBy("node").agg(
+    filled = sets.filter("n_shingles > 0")
+    classes = filled.groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("owner"),
         F.first("n_shingles").alias("n"),
+        F.first("sketch").alias("sketch"),
+        F.first("lists").alias("lists"),
     )
-    owner = (F.col("owner.doc_id").alias("owner"), F.col("owner.mark").alias("mark"))
-    classes = classes.select("node", "n", *owner)
-    # numbers are given once, where they are written
-    classes = stored(classes.withColumn("num", F.monotonically_increasing_id()), "nodes")
+    owner = (F.col("owner.doc_id").alias("first_doc"), F.col("owner.mark").alias("mark"))
+    classes = stored(classes.select("*", *owner).drop("owner"), "nodes")
+    nodes = classes.select("node", "n", "sketch")
     small = classes.filter(F.col("n") <= LARGEST_LIGHT * 2).groupBy("n").count().collect()
     boundary = boundary_of({r["n"]: r["count"] for r in small}, measure)
 
+    owners = classes.select(F.col("first_doc").alias("owner"), "mark", "node", "n")
+
     def texts(wanted: DataFrame) -> DataFrame:
-        """(node, num, text) of the nodes in a table of numbers."""
-        owners = classes.join(wanted.select("num"), "num", "left_semi").select("owner", "mark", "node", "num")
-        return _texts_of(docs, owners, key, text)
-
-    light = _light_links(texts(classes.filter(F.col("n") <= boundary)), boundary, measure)
-    heavy = classes.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
-    listed = listed_nodes(_texts_of(docs, heavy.select("owner", "mark", "node", "num"), key, text), counts, measure)
-    listed = listed.dropDuplicates(["num"]) if repeated else listed
-    listed = stored(listed, "listed-nodes")
-    nodes = listed.select("num", "n", "sketch")
-    lists = stored(_lists(listed), "lists")
-    star = lists.filter("num != first").select(F.col("first").alias("u"), F.col("num").alias("v"))
-    # pairs that may be linked; those that are not tested stay for the next round
-    pool = stored(_close_pairs(star.distinct(), nodes, measure), "star-pairs")
-    tested = stored(_nearest(pool.withColumns({"low": F.col("u"), "high": F.col("v")}), 1), "tested")
-    found = stored(_linked(tested, texts, measure, repeated).unionByName(light), "links")
-    links, closest, limit = found, 0, 2
-    live = lists.filter("num != first AND members > 2")  # first members' pairs are in the pool
+        return _texts_of(docs, owners.drop("n").join(wanted, "node", "left_semi"), key, text)
+
+    small_texts = texts(owners.filter(F.col("n") <= boundary).select("node"))
+    light = _light_links(small_texts, boundary, measure)
+    order = Window.partitionBy("key").orderBy("node")
+    whole = Window.partitionBy("key")
+    lists = (
+        classes.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
+        .select("node", F.explode("lists").alias("key"))
+        .withColumn("first", F.first("node").over(order))
+        .withColumn("place", F.row_number().over(order))
+        .withColumn("members", F.count("*").over(whole))
+        .filter("members > 1")
+    )
+    lists = stored(lists, "block-lists")
+    rows = lists.agg(F.sum(F.ceil(F.col("members") / UNIT))).first()[0] or 0
+    tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
+    star = lists.filter("place > 1").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    star = stored(_close_pairs(star.distinct(), nodes, measure), "star-pairs")
+    links = stored(_linked(star, texts, measure).unionByName(light), "star-links")
+    tested, closest, live = star, 0, lists
     while True:
         parts = stored(components(links), "components")
-        whole = live.join(parts, F.col("num") == F.col("member"), "left").drop("member")
-        rooted = whole.withColumn("root", F.coalesce("root", "num"))
-        mixed = rooted.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rest")
+        named_lists = live.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = named_lists.withColumn("low", F.min("root").over(whole)).withColumn(
+            "high", F.max("root").over(whole)
         )
-        mixed = stored(mixed.filter("low != high").select("key", "rest"), "mixed-lists")
-        rows = mixed.agg(F.sum(F.col("rest") * F.ceil(F.col("rest") / UNIT))).first()[0] or 0
-        members = rooted.join(mixed, "key").join(nodes, "num")
-        tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-        more = stored(_split_pairs(members, tested, closest, measure, tasks), "split-pairs")
-        ends = {
-            side: parts.select(F.col("member").alias(f"__{side}"), F.col("root").alias(name))
-            for side, name in (("u", "low"), ("v", "high"))
-        }
-        pool = pool.select("u", "v", "distance").unionByName(more.select("u", "v", "distance"))
-        pool = pool.join(tested, ["u", "v"], "left_anti")
-        for side, name in (("u", "low"), ("v", "high")):
-            pool = pool.join(ends[side], F.col(side) == F.col(f"__{side}"), "left").drop(f"__{side}")
-            pool = pool.withColumn(name, F.coalesce(name, side))
-        pool = stored(pool.filter("low != high"), "pairs-left")
-        if pool.isEmpty():
+        members = mixed.filter("low != high").drop("low", "high", "first").join(nodes, "node")
+        pairs = stored(_split_pairs(members, tested, closest, tasks, measure), "split-pairs")
+        if pairs.isEmpty():
             break
-        chosen = stored(_nearest(pool, limit), "chosen-pairs")
-        fresh = stored(_linked(chosen, texts, measure, repeated), "more-links")
-        found, tested = found.unionByName(fresh), tested.unionByName(chosen)
         # the links found so far come down to their stars
-        stars = parts.filter("member != root").select(F.col("member").alias("u"), F.col("root").alias("v"))
-        links = stars.unionByName(fresh)
-        live = live.join(more.select("key").distinct(), "key", "left_semi")
-        closest, limit = max(FIRST_CLOSEST, closest * 16), limit * 16
-    owned = classes.select("node", "num", F.col("owner").alias("first_doc"))
-    met = owned.join(parts, F.col("num") == F.col("member"), "left").drop("member")
-    met = met.withColumn("root", F.coalesce("root", "num"))
-    smallest = met.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return sets, met.join(smallest, "root").select("node", "num", "root", "component_id"), found
+        stars = parts.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        chosen = stored(pairs.select("u", "v").distinct(), "chosen-pairs")
+        links = stored(stars.unionByName(_linked(chosen, texts, measure)), "links-so-far")
+        live = live.join(pairs.select("key").distinct(), "key", "left_semi")
+        tested, closest = tested.unionByName(chosen), max(FIRST_CLOSEST, closest * 16)
+    smallest = (
+        classes.select("node", "first_doc")
+        .join(parts, "node")
+        .groupBy("root")
+        .agg(F.min("first_doc").alias("component"))
+    )
+    of_node = (
+        classes.select("node", "first_doc")
+        .join(parts, "node", "left")
+        .join(smallest, "root", "left")
+        .select(
+            "node",
+            F.coalesce("root", "node").alias("root"),
+            F.coalesce("component", "first_doc").alias("component_id"),
+        )
+    )
+    rows = sets.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
+    return rows.select(
+        "doc_id",
+        "mark",
+        "n_shingles",
+        "root",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
