@@ -835,6 +835,9 @@ def unprocessed_docs_stream(spark, sf_dir):
     )
 
 
+STATE_PARTITIONS = 8  # a few Python workers; one number per document is held
+
+
 @query
 def corrected_uploads(spark, sf_dir):
     """Three runs over the documents: some come with their third version first, some with none older.
@@ -854,7 +857,10 @@ def corrected_uploads(spark, sf_dir):
     for part in (first, f"NOT ({first})", "doc_id % 2 = 0 AND version = 2"):
         uploads.filter(part).write.mode("append").parquet(landing)
         stream = ingest.stream_table(spark, landing, corrections.UPLOAD_SCHEMA)
-        corrections.ingest_corrections(stream, output, checkpoint, "10 days").awaitTermination()
+        run = corrections.ingest_corrections(
+            stream, output, checkpoint, "10 days", partitions=STATE_PARTITIONS
+        )
+        run.awaitTermination()
     current = corrections.current_records(spark.read.parquet(output))
     return current.select(
         "doc_id", "version", "receipt_number", "date", "total_amount", F.size("items").alias("n_items")

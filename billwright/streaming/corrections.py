@@ -20,6 +20,7 @@ from billwright.streaming.ingest import _write_batches
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 UPLOAD_SCHEMA = "doc_id long, version long, text string, uploaded timestamp"
 ACCEPTED, STALE = "accepted", "stale"
 
@@ -95,25 +96,42 @@ def unversioned(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("error_class", lacking).filter("error_class IS NOT NULL")
 
 
-def with_keyed_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
-    """Start a query whose state lies in RocksDB; other queries of the session keep theirs."""
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, PROVIDER)
+def with_keyed_state(
+    spark: SparkSession, start: Callable[[], StreamingQuery], partitions: int | None = None
+) -> StreamingQuery:
+    """Start a query whose state lies in RocksDB; other queries of the session keep theirs.
+
+    ``partitions`` of the state are fixed by the first run (default: the session's shuffle
+    partitions).
+    """
+    wanted = {PROVIDER_KEY: PROVIDER}
+    if partitions is not None:
+        wanted[PARTITIONS_KEY] = str(partitions)
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         return start()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER_KEY)
-        else:
-            spark.conf.set(PROVIDER_KEY, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def ingest_corrections(
-    uploads: DataFrame, output: str, checkpoint: str, late_by: str = "1 day", keep_days: int = 30
+    uploads: DataFrame,
+    output: str,
+    checkpoint: str,
+    late_by: str = "1 day",
+    keep_days: int = 30,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Extract the records of accepted uploads into a table; stale ones are kept with their verdict.
 
-    One run over what has come; a later run goes on from the checkpoint, with its state.
+    One run over what has come; a later run goes on from the checkpoint, with its state, of which
+    each of the ``partitions`` is a Python worker's task in every micro-batch.
     """
 
     def prepare(batch: DataFrame) -> DataFrame:
@@ -126,7 +144,7 @@ def ingest_corrections(
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
     )
-    return with_keyed_state(uploads.sparkSession, writer.start)
+    return with_keyed_state(uploads.sparkSession, writer.start, partitions)
 
 
 def current_records(table: DataFrame) -> DataFrame:
