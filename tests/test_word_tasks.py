@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from billwright.operators import entities as E
 from billwright.operators import words as W
-from billwright.plans import corpus
-from billwright.session import tasks_for
+from billwright.plans import corpus, queries
+from billwright.session import bucketed, tasks_for
 from billwright.sources.tables import WORD_SCHEMA
 
 
@@ -64,3 +64,22 @@ def test_page_sizes_are_looked_up_without_a_sort(spark):
     assert "ShuffledHashJoin" in plan(out) and "Sort [" not in plan(out)
     found = {(r.doc_id, r.error_class) for r in out.select("doc_id", "error_class").distinct().collect()}
     assert found == {(0, None), (1, "zero_page_size"), (2, "no_page_size")}
+
+
+def test_stored_runs_and_labels_are_read_where_they_lie(spark):
+    docs = spark.createDataFrame(
+        [(d, " ".join(f"w{i}" for i in range(40 * d))) for d in range(60)] + [(90, None)], "doc_id long, text string"
+    )
+    kept = queries._stored_words(docs, 4)
+    runs = plan(kept.groupBy("doc_id", "ocr_run").count())
+    assert "Exchange" not in runs and "out of 4" in runs
+    assert "conf" not in kept.columns
+    labels = bucketed(queries._labels_of(kept, 4), "labels", "doc_id", 4, is_dealt=True)
+    whole = W.filter_confident_words(corpus.ocr_words(docs))
+    old = E.word_labels(corpus.token_predictions(whole), corpus.LABELS)
+    assert rows_of(labels) == rows_of(old)
+    merged, plain = E.merge_entities(labels, W.word_boxes(kept), 4), E.merge_entities(old, W.word_boxes(whole))
+    assert rows_of(merged) == rows_of(plain)
+    record = E.entities_to_record(docs.select("doc_id"), merged, kept, None, 4).drop("raw_predictions")
+    by_old = E.entities_to_record(docs.select("doc_id"), plain, whole).drop("raw_predictions")
+    assert rows_of(record) == rows_of(by_old)
