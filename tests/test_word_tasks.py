@@ -83,3 +83,7 @@ def test_stored_runs_and_labels_are_read_where_they_lie(spark):
     record = E.entities_to_record(docs.select("doc_id"), merged, kept, None, 4).drop("raw_predictions")
     by_old = E.entities_to_record(docs.select("doc_id"), plain, whole).drop("raw_predictions")
     assert rows_of(record) == rows_of(by_old)
+    errors = E.page_errors(labels, kept, corpus.page_sizes(docs))
+    p = plan(E.entities_to_record(docs.select("doc_id"), merged, kept, errors, 4))
+    # pages that lie together stay there: only rows of errors and sizes go elsewhere
+    assert not [part for part in p.split("Exchange")[1:] if "SortMergeJoin" in part[:120]]
