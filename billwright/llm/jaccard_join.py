@@ -49,9 +49,7 @@ WORDS_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: ones meet the texts in a shuffle.
 BROADCAST_ROWS = 400_000
 
-SET_SCHEMA = (
-    "doc_id long, mark long, n_shingles long, node binary, sketch binary, lists array<long>"
-)
+SET_SCHEMA = "doc_id long, mark long, n_shingles long, node binary, sketch binary"
 
 
 @dataclass(frozen=True)
@@ -236,7 +234,7 @@ def subset_lists(
 def node_sets(
     docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = TRIGRAMS
 ) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, sketch, lists): a row per document, without texts.
+    """(doc_id, mark, n_shingles, node, sketch): a row per document, without texts.
 
     ``mark`` is the hash of the text; with the key it tells rows apart whose keys are null or
     repeated.
@@ -247,13 +245,12 @@ def node_sets(
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                sizes, nodes, sketches, lists = [], [], [], []
+                sizes, nodes, sketches = [], [], []
                 for value in part.column("__text"):
                     hashes = shingler.hashes(value.as_py())
                     sizes.append(len(hashes))
                     nodes.append(_node_of(hashes))
                     sketches.append(odd_sketch(hashes) if len(hashes) else None)
-                    lists.append(block_lists(hashes, measure) if len(hashes) else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("__key"),
@@ -261,9 +258,8 @@ def node_sets(
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
                         pa.array(sketches, pa.binary()),
-                        pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "mark", "n_shingles", "node", "sketch", "lists"],
+                    names=["doc_id", "mark", "n_shingles", "node", "sketch"],
                 )
 
     return _named(docs, key, text).mapInArrow(read, SET_SCHEMA)
@@ -292,6 +288,33 @@ def _node_of(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
+def _block_rows(texts: DataFrame, measure: Measure) -> DataFrame:
+    """(node, key): the inverted lists of heavy nodes; ``texts`` has (node, text) of those.
+
+    A set has hundreds of keys, so they are made where they are dealt out and never stored
+    with their set. A node whose owner's row is repeated comes as often.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(measure.ngram)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                nodes, lists = [], []
+                for node, value in zip(part.column("node"), part.column("text"), strict=True):
+                    hashes = shingler.hashes(value.as_py())
+                    if _node_of(hashes) == node.as_py():
+                        nodes.append(node.as_py())
+                        lists.append(block_lists(hashes, measure))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                    names=["node", "lists"],
+                )
+
+    rows = texts.mapInArrow(read, "node binary, lists array<long>")
+    return rows.select("node", F.explode("lists").alias("key"))
+
+
 def _light_links(texts: DataFrame, boundary: int, measure: Measure) -> DataFrame:
     """Links (u, v) among light nodes; ``texts`` has (node, text) of those."""
 
@@ -545,7 +568,6 @@ def linked_rows(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("owner"),
         F.first("n_shingles").alias("n"),
         F.first("sketch").alias("sketch"),
-        F.first("lists").alias("lists"),
     )
     owner = (F.col("owner.doc_id").alias("first_doc"), F.col("owner.mark").alias("mark"))
     classes = stored(classes.select("*", *owner).drop("owner"), "nodes")
@@ -562,12 +584,15 @@ def linked_rows(
     light = _light_links(small_texts, boundary, measure)
     order = Window.partitionBy("key").orderBy("node")
     whole = Window.partitionBy("key")
+    heavy = owners.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
     lists = (
-        classes.filter(F.floor(F.col("n") * measure.denominator / measure.numerator) > boundary)
-        .select("node", F.explode("lists").alias("key"))
+        _block_rows(texts(heavy.select("node")), measure)
         .withColumn("first", F.first("node").over(order))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("members", F.count("*").over(whole))
+        .withColumn("place", F.dense_rank().over(order).cast("long"))
+        .withColumn("before", F.lag("node").over(order))
+        .filter("before IS NULL OR before != node")
+        .drop("before")
+        .withColumn("members", F.max("place").over(whole))
         .filter("members > 1")
     )
     lists = stored(lists, "block-lists")
