@@ -66,12 +66,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text.
+
+    The ids are stored before they are decoded: in one stage, every core would keep a Python
+    worker for each of the two steps, with the tables of both.
+    """
     ship_package(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kept = [c for c in docs.columns if c != "text"]
     source = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     ids = byte_bpe.encoded(source, ranks, public_tokenizers.PATTERN, keep=[*kept, "__sha"])
+    ids = stored(ids, "token-ids")
     same = F.sha2("decoded", 256) == F.col("__sha")
     return byte_bpe.decoded(ids, ranks).select(
         *kept, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
